@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.llm.near_dup import op3_near_dup
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.token_orc import op1_token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sharding": op2_sharding,
+    "op3_near_dup": op3_near_dup,
 }
 
 SQL: dict[str, str] = {}
