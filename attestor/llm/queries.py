@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestor.llm.near_dup import op3_near_dup
+from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.token_orc import op1_token_orc
 
@@ -14,6 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sharding": op2_sharding,
     "op3_near_dup": op3_near_dup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_decontaminate": OP6_SQL,
+}
