@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.llm.audio import op9_audio
 from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestor.llm.near_dup import op3_near_dup
+from attestor.llm.packing import op10_best_two_fit
 from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.token_orc import op1_token_orc
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
+    "op9_audio": op9_audio,
+    "op10_best_two_fit": op10_best_two_fit,
 }
 
 SQL: dict[str, str] = {
