@@ -213,5 +213,11 @@ def _linked(links: DataFrame | None, found: DataFrame | None, pairs: DataFrame,
     return links, components(links)
 
 
+def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of docs, with all columns, that classes() keeps: one document of each component."""
+    out = written(classes(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"), k=4)

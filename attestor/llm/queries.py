@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.audio import op9_audio
 from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
+from attestor.llm.language_id import language_id_pages, op4_language_id
 from attestor.llm.near_dup import op3_near_dup
 from attestor.llm.packing import op10_best_two_fit
 from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.token_orc import op1_token_orc
+from attestor.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_orc": op1_token_orc,
     "op2_sharding": op2_sharding,
     "op3_near_dup": op3_near_dup,
+    "op4_language_id": op4_language_id,
+    "language_id_pages": language_id_pages,
+    "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
     "op9_audio": op9_audio,
