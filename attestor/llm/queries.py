@@ -11,6 +11,7 @@ from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestor.llm.language_id import language_id_pages, op4_language_id
 from attestor.llm.near_dup import op3_near_dup
 from attestor.llm.packing import op10_best_two_fit
+from attestor.llm.pii import op8_pii
 from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.token_orc import op1_token_orc
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
     "op9_audio": op9_audio,
     "op10_best_two_fit": op10_best_two_fit,
 }
