@@ -27,6 +27,8 @@ FIT_ROWS, FIT_STRINGS = 2000, 20_000
 LEAST_LENGTH = 20
 #: Mean log-likelihood ratio a character from which a candidate is reported.
 THRESHOLD = 0.5
+#: Weight, in characters, of the characters' own frequencies in each row of transitions.
+BACK_OFF = 20.0
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,12 +69,15 @@ class Ratio:
         n = len(_ALPHABET) + 1
         sides = []
         for strings in (random_strings, ordinary):
-            first, step = np.full(n, 0.5), np.full((n, n), 0.1)
+            first, step = np.full(n, 0.5), np.zeros((n, n))
             for s in strings:
                 c = _CODE[np.frombuffer(s.encode(), dtype=np.uint8)]
                 first[c[0]] += 1
                 np.add.at(step, (c[:-1], c[1:]), 1)
-            sides.append((np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True))))
+            # rare contexts fall back on the characters' own frequencies
+            single = (step.sum(axis=0) + 0.5) / (step.sum() + 0.5 * n)
+            step = (step + BACK_OFF * single) / (step.sum(axis=1, keepdims=True) + BACK_OFF)
+            sides.append((np.log(first / first.sum()), np.log(step)))
         (fa, sa), (fb, sb) = sides
         return Ratio(fa - fb, sa - sb)
 
@@ -89,7 +94,10 @@ def draws(n: int, seed: int = 5) -> list[str]:
 
 
 def labelled(texts: Iterable[str | None]) -> tuple[list[str], list[str]]:
-    """Random strings and ordinary ones: values inside fixed formats, and identifiers outside of them."""
+    """Random strings and ordinary ones: values inside fixed formats, and identifiers outside of them.
+
+    Long identifiers with digits are what is to be judged, so they have no label.
+    """
     secret, plain = [], []
     for text in texts:
         spans = base_spans(text or "")
@@ -97,7 +105,8 @@ def labelled(texts: Iterable[str | None]) -> tuple[list[str], list[str]]:
         secret += [m for h in held for m in _TOKEN.findall(h) if len(m) >= 16]
         at = 0
         for a, e in [*((a, e) for a, _, e in spans), (len(text or ""), 0)]:
-            plain += _IDENTIFIER.findall((text or "")[at:a]) if a > at else []
+            words = _IDENTIFIER.findall((text or "")[at:a]) if a > at else []
+            plain += [w for w in words if len(w) < LEAST_LENGTH or not any(c.isdigit() for c in w)]
             at = max(at, e)
         if len(plain) >= FIT_STRINGS and len(secret) >= FIT_STRINGS:
             break
