@@ -150,7 +150,8 @@ class Judge:
                 yield batch.assign(raw=replies)
 
         asked = gated.select(*CLAIM, prompt(F.col("parents"), F.col("claim")).alias("prompt")).repartition(self.calls)
-        out = asked.mapInPandas(ask, asked.schema.add("raw", "string")).drop("prompt")
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+        out = asked.mapInPandas(ask, f"{kept}, raw string").drop("prompt")
         return gated.join(out, CLAIM)
 
 
