@@ -14,6 +14,7 @@ from attestor.llm.packing import op10_best_two_fit
 from attestor.llm.pii import op8_pii
 from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
+from attestor.llm.sql import OP3_SQL
 from attestor.llm.token_orc import op1_token_orc
 from attestor.llm.toxicity import op5_toxicity
 
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_near_dup": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
 }
