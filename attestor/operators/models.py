@@ -7,6 +7,9 @@ the same columns.
 
 from __future__ import annotations
 
+import json
+import os
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -155,6 +158,24 @@ class Judge:
         return gated.join(out, CLAIM)
 
 
+def remote_judge(url: str, model: str, key_name: str = "JUDGE_API_KEY", calls: int = 4, seconds: float = 60.0) -> Judge:
+    """A judge behind a chat-completions service. Each worker reads the key from its own environment.
+
+    ValueError if the key isn't set where the plan is made; what goes wrong in a call is that claim's UNKNOWN.
+    """
+    if not os.environ.get(key_name):
+        raise ValueError(f"{key_name} isn't set")
+
+    def call(prompt: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": 0.1, "max_tokens": 300}
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ[key_name]}"}
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=seconds) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+    return Judge(call, calls)
+
+
 def judged(gated: DataFrame, judge: Callable[[DataFrame], DataFrame] = judge_by_rule) -> DataFrame:
     """response_id, doc_id, claim_no and the judge's parsed reply for each gated claim."""
     return judge(gated).select(*CLAIM, *parsed_reply(F.col("raw")), F.col("raw").alias("llm_raw"))

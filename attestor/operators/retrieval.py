@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +115,30 @@ def contexts(hits: DataFrame) -> DataFrame:
     """response_id, doc_id, claim_no, claim, parents (by rank) and context, all parents joined with repeats."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "parent"))), lambda x: x["parent"])
     return hits.groupBy("response_id", "doc_id", "claim_no", "claim").agg(listed.alias("parents")).withColumn("context", F.array_join("parents", " "))
+
+
+def embedded(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
+    """rows with `embedding` of a text column; load() is called once a worker and gives a function of texts."""
+
+    @F.pandas_udf("array<float>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for texts in batches:
+            yield pd.Series([[float(x) for x in v] for v in model(texts.tolist())])
+
+    return rows.withColumn("embedding", embed(column))
+
+
+def model_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A semantic provider by an embedding model: cosine of claims and the chunks of their own documents.
+
+    Each claim and each chunk is embedded once, before they are paired.
+    """
+
+    def provide(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+        own = chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+        asked = embedded(claims.select("response_id", "claim_no", "doc_id", "claim"), "claim", load).withColumnRenamed("embedding", "q")
+        pairs = asked.join(embedded(own.select("doc_id", "idx", "text"), "text", load), "doc_id")
+        return pairs.select("response_id", "claim_no", "doc_id", "idx", cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+    return provide

@@ -186,3 +186,29 @@ def test_stream(spark, tmp_path):
     verify_stream(spark, turns, docs, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.response_id, r.claim) for r in got] == [("1-1", "The tower stands 330 meters tall and was built by Gustave Eiffel.")]
+
+
+def test_embedding_provider(spark):
+    from attestor.operators.retrieval import model_cosine
+
+    def load():
+        return lambda texts: [[t.lower().count(c) + 0.1 for c in "aeiourst"] for t in texts]
+
+    docs, said = pair(spark, TOWER, "The tower was built by Gustave Eiffel in the year of the World Fair.")
+    row = verify(docs, said, Providers(semantic=model_cosine(load))).first()
+    assert row.verdict in ("Hallucinated", "Uncertain", "Supported") and row.evidence
+
+
+def test_a_remote_judge_needs_its_key(monkeypatch):
+    monkeypatch.delenv("NO_SUCH_KEY", raising=False)
+    with pytest.raises(ValueError, match="NO_SUCH_KEY"):
+        models.remote_judge("http://localhost/none", "m", "NO_SUCH_KEY")
+
+
+def test_progress(spark):
+    from attestor.plans.progress import progress
+
+    told = []
+    with progress(spark, lambda message, part: told.append(part), 0.05):
+        spark.range(0, 200_000, 1, 8).selectExpr("count(sha2(cast(id as string), 256))").collect()
+    assert told[-1] == 1.0 and told == sorted(told)
