@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class at once. Class representatives get MinHash samples; bands of
 them make buckets, and all samples are folded into a parity bitmap (odd sketch), whose XOR population count
 estimates high similarities. In each round a bucket's members are compared with its leader only, so pairs
-grow with the members and not with their square; then members that are still in different components
-are compared with one another. Buckets too large for that take an exact prefix-filter join. A pair passes the
-sketch first and then the comparison of the full sets.
+grow with the members and not with their square. Buckets whose members are then still in different components are
+cut into tiles, and the sketches of two tiles are compared in one task, which gives out only the pairs that pass.
+Every pair that passes its sketch is confirmed by comparing the full sets.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.llm.common import U64, chunked, distinct_in_text, lists, mix, shingle_hashes, table, word_hashes, written
@@ -24,18 +24,19 @@ SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**28, below 4e-7.
 BANDS, ROWS = 28, 4
-#: Bits of the odd sketch, and the XOR count up to which a pair is confirmed: an estimate of 0.55 or more.
-SKETCH_BITS, SKETCH_MOST = 256, 69
+#: Samples that the odd sketch folds (the bands use the first of them), its bits, and the XOR count up to which a pair
+#: is confirmed: an estimate of 0.65 or more, over five standard errors below the threshold.
+SAMPLES, SKETCH_BITS, SKETCH_MOST = 224, 1024, 135
 LEADER_ROUNDS = 2
-#: Buckets of more members than this are searched by the prefix-filter join.
-PAIRED_MEMBERS = 64
+#: Members of a bucket that are compared with one another in one go; larger buckets are cut into tiles of this size.
+TILE = 512
 #: Ids of so many documents at most are broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(977)
-_A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.int64).astype(U64)
-_FOLD = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64))
+_A = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
+_FOLD = mix(np.arange(1, SAMPLES + 1, dtype=U64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     bits = np.zeros((n, SKETCH_BITS), dtype=np.uint8)
     every = np.arange(n)
     for i in range(len(mins)):
-        bits[every, (mix(mins[i] + _FOLD[i]) >> U64(56)).astype(np.int64) % SKETCH_BITS] ^= 1
+        bits[every, (mix(mins[i] + _FOLD[i]) >> U64(40)).astype(np.int64) % SKETCH_BITS] ^= 1
     return np.packbits(bits, axis=1, bitorder="little").view(U64)
 
 
@@ -119,12 +120,31 @@ def _similar(n_a: str, n_b: str, percent: int):
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sketches agree and whose full sets reach the threshold."""
-    sides = {s: reps.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "uv"}
-    differ = sum((F.bit_count(F.col("sketch_u")[i].bitwiseXOR(F.col("sketch_v")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    near = pairs.join(sides["u"], "u").join(sides["v"], "v").where(_similar("n_u", "n_v", percent)).where(differ <= SKETCH_MOST)
-    near = written(near.select("u", "v", "n_u", "n_v"), "near")
+def _agree(percent: int) -> Column:
+    """Whether sizes and sketches of both sides of a join allow the threshold."""
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("head_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return _similar("n_shingles", "head_n", percent) & (differ <= SKETCH_MOST)
+
+
+def led_pairs(rows: DataFrame, reps: DataFrame, turn: int, percent: int) -> DataFrame:
+    """u, v, n_u, n_v of each bucket's members and its leader, where sizes and sketches agree and components differ.
+
+    A member's draw decides who leads: its own at first, so that overlapping buckets have one leader, and then also the
+    bucket's, so that a member meets many.
+    """
+    draw = F.xxhash64(F.lit(turn), "rep", "bucket") if turn else F.xxhash64("rep")
+    least = F.min(F.struct(draw.alias("draw"), "rep", "component"))
+    led = rows.groupBy("bucket").agg(least.alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    led = led.select("bucket", F.col("leader.rep").alias("head"), F.col("leader.component").alias("of_head"))
+    led = led.join(reps.select(F.col("rep").alias("head"), F.col("n_shingles").alias("head_n"), F.col("sketch").alias("head_sketch")), "head")
+    near = rows.join(led, "bucket").where((F.col("component") != F.col("of_head")) & _agree(percent))
+    first = F.col("rep") < F.col("head")
+    sizes = [F.when(first, a).otherwise(b).alias(name) for a, b, name in ((F.col("n_shingles"), F.col("head_n"), "n_u"), (F.col("head_n"), F.col("n_shingles"), "n_v"))]
+    return near.select(*_ordered("rep", "head"), *sizes).distinct()
+
+
+def confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (u, v, n_u, n_v) whose full sets reach the threshold."""
     ids = written(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), "ids")
     sets = written(shingle_sets(_with_ids(docs, ids), k), "sets")
     both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
@@ -136,22 +156,63 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def _prefix_pairs(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of members(rep, component) of different components that may reach the threshold, by prefix filtering.
+def tiled_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """u, v, n_u, n_v of all rows(bucket, members, rep, component, n_shingles, sketch, keys) of one bucket whose components
+    differ and whose sizes and sketches agree. A pair that shares several buckets comes from the first of them.
 
-    With shingles ordered from rare to frequent, two sets of similarity t share one of the first
-    n - ceil(t * n) + 1 shingles of each.
+    A bucket of m members is cut into m / tile tiles. Each row goes to every pair of tiles that its own is part of, and
+    a task compares two tiles at a time, so its memory is bounded by the tile and a bucket is spread over many tasks.
     """
-    from pyspark.sql import Window
-
-    sets = shingle_sets(_with_ids(docs, members.select(F.col("rep").alias("doc_id"))), k)
-    rows = written(sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "rows")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    first = rows.join(often, "shingle").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    first = written(first.select("rep", "n", "shingle").join(members, "rep"), "prefixes")
-    other = first.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    return first.join(other, "shingle").where("rep < rep2 and component <> component2").where(_similar("n", "n2", percent)).select(*_ordered("rep", "rep2")).distinct()
+    tiles = F.ceil(F.col("members") / tile).cast("int")
+    own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
+    other = F.explode(F.sequence(F.lit(0), tiles - 1))
+    cut = rows.withColumn("tile", own).withColumn("other", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    columns = ["bucket", "low", "high", "tile", "rep", "component", "n_shingles", "sketch", "keys"]
+    dealt = cut.select(*columns).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile")
+    return dealt.mapInArrow(lambda batches: _compared(batches, percent), "u bigint, v bigint, n_u bigint, n_v bigint").distinct()
+
+
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs within each run of equal (bucket, low, high); a run may go on in the next batch."""
+    held: list[list[np.ndarray]] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+        flat = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, 7)]
+        wide = [batch.column(i).flatten().to_numpy(zero_copy_only=False).view(U64).reshape(batch.num_rows, -1) for i in (7, 8)]
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if held and tuple(key[lo]) != last:
+                yield from _tile_pairs(held, last, percent)
+                held = []
+            last = tuple(key[lo])
+            held.append([x[lo:hi] for x in (*flat, *wide)])
+    if held:
+        yield from _tile_pairs(held, last, percent)
+
+
+def _tile_pairs(held: list[list[np.ndarray]], key: tuple, percent: int) -> Iterator[pa.RecordBatch]:
+    tile, rep, component, n, sketch, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+    a = np.flatnonzero(tile == key[1])
+    b = a if key[1] == key[2] else np.flatnonzero(tile == key[2])
+    for i in range(0, len(a), 64):  # bounds the matrix of differences
+        own = a[i : i + 64]
+        differ = np.bitwise_count(sketch[own][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2, dtype=np.int32)
+        small, large = np.minimum(n[own][:, None], n[b]), np.maximum(n[own][:, None], n[b])
+        ok = (differ <= SKETCH_MOST) & (small * 100 >= large * percent) & (component[own][:, None] != component[b])
+        if b is a:
+            ok &= rep[own][:, None] < rep[b]
+        x, y = np.nonzero(ok)
+        u, v = own[x], b[y]
+        shared = keys[u] == keys[v]
+        here = shared.argmax(axis=1) == (keys[u] == np.int64(key[0]).astype(U64)).argmax(axis=1)
+        u, v = u[here], v[here]
+        if len(u):
+            flip = rep[u] > rep[v]
+            u, v = np.where(flip, v, u), np.where(flip, u, v)
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rep[u], rep[v], n[u], n[v])], names=["u", "v", "n_u", "n_v"])
 
 
 def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -171,25 +232,16 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
 
     rows = reps.select("rep", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = written(rows.join(shared, "bucket"), "buckets")
+    rows = rows.join(shared, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    rows = written(rows.select("bucket", "members", "rep", "n_shingles", "sketch"), "buckets")
     links, found = None, None
     for turn in range(LEADER_ROUNDS):
-        placed = _placed(rows, found)
-        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("draw"), "rep", "component"))
-        led = placed.groupBy("bucket").agg(leader.alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        pairs = placed.join(led.select("bucket", F.col("leader.rep").alias("head"), F.col("leader.component").alias("of_head")), "bucket").where("component <> of_head")
-        links, found = _linked(links, found, pairs.select(*_ordered("rep", "head")).distinct(), reps, known, k, percent)
+        links, found = _linked(links, found, led_pairs(_placed(rows, found), reps, turn, percent), known, k, percent)
 
     placed = _placed(rows.where("members > 2"), found)
     live = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_rows = written(placed.join(live, "bucket"), "open")
-    few = open_rows.where(F.col("members") <= PAIRED_MEMBERS)
-    other = few.select("bucket", F.col("rep").alias("rep2"), F.col("component").alias("component2"))
-    pairs = few.join(other, "bucket").where("rep < rep2 and component <> component2").select(*_ordered("rep", "rep2")).distinct()
-    many = written(open_rows.where(F.col("members") > PAIRED_MEMBERS).select("rep", "component").distinct(), "many")
-    if not many.isEmpty():
-        pairs = pairs.union(_prefix_pairs(many, known, k, percent)).distinct()
-    links, found = _linked(links, found, pairs, reps, known, k, percent)
+    open_rows = placed.join(live, "bucket").join(reps.select("rep", "keys"), "rep")
+    links, found = _linked(links, found, tiled_pairs(open_rows, percent), known, k, percent)
 
     out = signed.select("doc_id", *named).join(sets, named, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.select(F.col("id").alias("rep"), F.col("component").alias("of_rep")), "rep", "left").withColumn("component_id", F.coalesce("of_rep", "rep"))
@@ -197,18 +249,18 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
 
 
 def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """rows(bucket, rep, members) with the component of rep so far."""
+    """rows with the component of rep so far."""
     if found is None:
         return rows.withColumn("component", F.col("rep"))
     return rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _linked(links: DataFrame | None, found: DataFrame | None, pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links after confirming pairs, and the components that they make."""
-    pairs = written(pairs, "pairs")
-    if links is not None and pairs.isEmpty():
+def _linked(links: DataFrame | None, found: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links after confirming the near pairs, and the components that they make."""
+    near = written(near, "near")
+    if links is not None and near.isEmpty():
         return links, found
-    new = confirmed(pairs, reps, docs, k, percent)
+    new = confirmed(near, docs, k, percent)
     links = written(new if links is None else links.union(new), "links")
     return links, components(links)
 
