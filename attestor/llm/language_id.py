@@ -22,6 +22,8 @@ from attestor.llm.toxicity import lowered_safely
 
 #: The trigram models are fitted on at most so many rows that declare a language, the first by a hash of doc_id.
 FIT_ROWS = 4000
+#: Texts of more bytes aren't fitted on (all are identified), so that the driver's memory is bounded too.
+FIT_BYTES = 1 << 20
 #: A language is modelled if this share of the fitted rows, and five rows, declare it.
 LEAST_SHARE = 0.005
 GRAMS = 1 << 16
@@ -84,7 +86,7 @@ class TextModel:
 
 def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
     """The trigram models of docs(doc_id, text, declared), on at most `rows` rows."""
-    sample = docs.where("declared is not null and text is not null").withColumn("draw", F.xxhash64("doc_id"))
+    sample = docs.where("declared is not null and text is not null").where(F.octet_length("text") <= FIT_BYTES).withColumn("draw", F.xxhash64("doc_id"))
     ids = sample.select("doc_id", "draw").orderBy("draw", "doc_id").limit(rows)
     texts = sample.drop("draw").join(F.broadcast(ids), "doc_id").orderBy("draw", "doc_id").limit(rows)
     return TextModel.fit([(r.declared, r.text) for r in texts.select("declared", "text").collect()])

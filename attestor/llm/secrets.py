@@ -23,6 +23,8 @@ from attestor.llm.common import chunked, table
 KINDS = ("assign", "access", "hex", "random")
 #: The models are fitted on at most so many rows, the first by a hash of doc_id, and so many strings of each label.
 FIT_ROWS, FIT_STRINGS = 2000, 20_000
+#: Texts of more bytes aren't fitted on (all are scanned), so that the driver's memory is bounded too.
+FIT_BYTES = 1 << 20
 #: Candidates are runs of so many token characters or more, with a digit and a letter.
 LEAST_LENGTH = 20
 #: Mean log-likelihood ratio a character from which a candidate is reported.
@@ -115,7 +117,7 @@ def labelled(texts: Iterable[str | None]) -> tuple[list[str], list[str]]:
 
 def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> Ratio:
     """The ratio fitted on at most `rows` rows of docs(doc_id, text)."""
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= FIT_BYTES)
     ids = sample.select("doc_id", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(rows)
     texts = sample.join(F.broadcast(ids), "doc_id").orderBy("draw", "doc_id").limit(rows).select("text").toLocalIterator()
     secret, plain = labelled(r.text for r in texts)
