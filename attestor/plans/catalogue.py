@@ -290,9 +290,9 @@ def semantic_scores(spark, d):
     return retrieval.token_cosine(_claims(spark, d), passages.chunks(_docs(spark, d))).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("semantic", 4).alias("score"))
 
 
-@query(f"WITH {S.ALL_HITS} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(rank AS BIGINT) AS rank, text, parent, round(score, 3) AS score FROM hits")
+@query(f"WITH {S.ALL_HITS} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(rank AS BIGINT) AS rank, text, parent, score FROM hits")
 def hybrid_topk(spark, d):
-    return _hits(spark, d).select("response_id", *_long("claim_no", "rank"), "text", "parent", F.round("score", 3).alias("score"))
+    return _hits(spark, d).select("response_id", *_long("claim_no", "rank"), "text", "parent", "score")
 
 
 @query(f"WITH {S.ALL_HITS} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, context FROM contexts")
