@@ -115,10 +115,10 @@ def parsed_reply(raw: Column) -> list[Column]:
     return [field(prefix, default, name) for name, (prefix, default) in REPLY.items()]
 
 
-def judge_by_rule(gated: DataFrame) -> DataFrame:
-    """Default judge: adds raw, a reply in the judge's form, by the label and the fact points of each claim."""
+def rule_reply() -> Column:
+    """A reply in the judge's form, by the label, the score and the fact points of a claim."""
     wrong = (F.upper("nli_label") == CONTRADICTION) | (F.col("points") >= 50)
-    reply = F.concat(
+    return F.concat(
         F.lit("REASONING: The evidence was compared with the claim.\nVERDICT: "),
         F.when(wrong, "HALLUCINATED").otherwise("SUPPORTED"),
         F.lit("\nCONFIDENCE: "),
@@ -126,7 +126,11 @@ def judge_by_rule(gated: DataFrame) -> DataFrame:
         F.lit("\nCORRECTION: "),
         F.when(wrong, F.substring("evidence", 1, 80)).otherwise("N/A"),
     )
-    return gated.withColumn("raw", reply)
+
+
+def judge_by_rule(gated: DataFrame) -> DataFrame:
+    """Default judge: adds raw, the rule's reply."""
+    return gated.withColumn("raw", rule_reply())
 
 
 @dataclass

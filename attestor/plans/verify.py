@@ -49,6 +49,18 @@ def checked(found: DataFrame, providers: Providers, options: Options) -> DataFra
     return rows.withColumn("needs_judge", needs_judge(F.col("nli_label"), F.col("nli_score"), F.col("points"))).drop("compared", "own_facts", "source_facts", "context")
 
 
+def _with_judge(rows: DataFrame, judge: Provider) -> DataFrame:
+    """rows with was_judged and the fields of the judge's reply, null where the judge isn't needed.
+
+    The default judge is an expression, so it is one more projection; any other sees the gated rows alone and is joined.
+    """
+    if judge is models.judge_by_rule:
+        replied = rows.withColumn("raw", F.when(F.col("needs_judge"), models.rule_reply()))
+        return replied.select(*rows.columns, F.col("needs_judge").alias("was_judged"), *models.parsed_reply(F.col("raw")))
+    judged = models.judged(rows.where("needs_judge"), judge)
+    return rows.join(judged.drop("llm_raw").withColumn("was_judged", F.lit(True)), models.CLAIM, "left")
+
+
 def verify(docs: DataFrame, responses: DataFrame, providers: Providers | None = None, options: Options | None = None) -> DataFrame:
     """Verdicts of the claims of responses(response_id, doc_id, text) against docs(doc_id, text).
 
@@ -57,9 +69,7 @@ def verify(docs: DataFrame, responses: DataFrame, providers: Providers | None =
     providers, options = providers or Providers(), options or Options()
     claims = passages.claims(responses)
     rows = checked(hits(docs, claims, providers, options), providers, options)
-    judged = models.judged(rows.where("needs_judge"), providers.judge)
-    judged = judged.select(*models.CLAIM, "llm_verdict", "reasoning", "confidence", "correction", F.lit(True).alias("was_judged"))
-    rows = claims.join(rows.drop("claim"), models.CLAIM, "left").join(judged, models.CLAIM, "left")
+    rows = claims.join(_with_judge(rows, providers.judge).drop("claim"), models.CLAIM, "left")
     none = F.array().cast("array<string>")
     given = verdict(
         F.coalesce("nli_label", F.lit("NEUTRAL")),
