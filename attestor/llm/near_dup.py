@@ -4,8 +4,8 @@ Documents with equal shingle sets form a class at once. Class representatives ge
 them make buckets, and all samples are folded into a parity bitmap (odd sketch), whose XOR population count
 estimates high similarities. In each round a bucket's members are compared with its leader only, so pairs
 grow with the members and not with their square. Buckets whose members are then still in different components are
-cut into tiles, and the sketches of two tiles are compared in one task, which gives out only the pairs that pass.
-Every pair that passes its sketch is confirmed by comparing the full sets.
+cut into tiles, and two tiles are compared in one task, which gives out only links. Every pair that passes its sketch is
+confirmed by comparing the full sets, unless links have joined its components already.
 """
 
 from __future__ import annotations
@@ -156,63 +156,111 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
-def tiled_pairs(rows: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """u, v, n_u, n_v of all rows(bucket, members, rep, component, n_shingles, sketch, keys) of one bucket whose components
-    differ and whose sizes and sketches agree. A pair that shares several buckets comes from the first of them.
+_TILE = "bucket bigint, low int, high int, tile int, rep bigint, component bigint, n_shingles bigint, sketch array<bigint>, keys array<bigint>"
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile", "rep")
+
+
+def tiled_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, tile: int = TILE) -> DataFrame:
+    """Links (u, v) among rows(bucket, members, rep, component, n_shingles, sketch, keys) of one bucket and different components.
 
     A bucket of m members is cut into m / tile tiles. Each row goes to every pair of tiles that its own is part of, and
-    a task compares two tiles at a time, so its memory is bounded by the tile and a bucket is spread over many tasks.
+    a task compares two tiles at a time, so its memory is bounded by the tile and a bucket is spread over many tasks. A
+    first pass keeps the rows whose sketch agrees with another's; these get their full sets, and a second pass confirms
+    the agreeing pairs, the likeliest first, leaving out those that earlier links of the tile have joined. So links are
+    fewer than rows, and no pair of components that are linked is lost. A pair that shares several buckets is taken in the first.
     """
     tiles = F.ceil(F.col("members") / tile).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
-    other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    cut = rows.withColumn("tile", own).withColumn("other", other).withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    columns = ["bucket", "low", "high", "tile", "rep", "component", "n_shingles", "sketch", "keys"]
-    dealt = cut.select(*columns).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile")
-    return dealt.mapInArrow(lambda batches: _compared(batches, percent), "u bigint, v bigint, n_u bigint, n_v bigint").distinct()
+    cut = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    cut = cut.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
+    columns = [c.strip().split(" ")[0] for c in _TILE.split(",")]
+    agreeing = written(_dealt(cut.select(*columns)).mapInArrow(lambda batches: _by_tile(batches, _agreeing_rows, percent), _TILE), "agreeing")
+    ids = written(agreeing.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = written(shingle_sets(_with_ids(docs, ids), k), "sets")
+    full = agreeing.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*columns, "shingles")
+    return _dealt(full).mapInArrow(lambda batches: _by_tile(batches, _tile_links, percent), "u bigint, v bigint").distinct()
 
 
-def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within each run of equal (bucket, low, high); a run may go on in the next batch."""
-    held: list[list[np.ndarray]] = []
+def _by_tile(batches: Iterator[pa.RecordBatch], each, percent: int) -> Iterator[pa.RecordBatch]:
+    """each(rows, percent) for each run of equal (bucket, low, high); a run may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-        flat = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3, 7)]
-        wide = [batch.column(i).flatten().to_numpy(zero_copy_only=False).view(U64).reshape(batch.num_rows, -1) for i in (7, 8)]
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        cuts = (np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if held and tuple(key[lo]) != last:
-                yield from _tile_pairs(held, last, percent)
+                yield each(pa.Table.from_batches(held).combine_chunks(), percent)
                 held = []
             last = tuple(key[lo])
-            held.append([x[lo:hi] for x in (*flat, *wide)])
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield from _tile_pairs(held, last, percent)
-
-
-def _tile_pairs(held: list[list[np.ndarray]], key: tuple, percent: int) -> Iterator[pa.RecordBatch]:
-    tile, rep, component, n, sketch, keys = (np.concatenate(x) for x in zip(*held, strict=True))
-    a = np.flatnonzero(tile == key[1])
-    b = a if key[1] == key[2] else np.flatnonzero(tile == key[2])
+        yield each(pa.Table.from_batches(held).combine_chunks(), percent)
+
+
+def _agreeing_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the pairs of a tile that agree, and how far their sketches differ."""
+    low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+    bucket = np.int64(rows["bucket"][0].as_py())
+    tile, rep, component, n = (rows[c].to_numpy().astype(np.int64) for c in ("tile", "rep", "component", "n_shingles"))
+    sketch, keys = (rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rep), -1) for c in ("sketch", "keys"))
+    sketch = sketch.view(U64)
+    band = (keys == bucket).argmax(axis=1)
+    a = np.flatnonzero(tile == low)
+    b = a if low == high else np.flatnonzero(tile == high)
+    found = [(np.zeros(0, dtype=np.int64),) * 3]
     for i in range(0, len(a), 64):  # bounds the matrix of differences
         own = a[i : i + 64]
-        differ = np.bitwise_count(sketch[own][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2, dtype=np.int32)
         small, large = np.minimum(n[own][:, None], n[b]), np.maximum(n[own][:, None], n[b])
-        ok = (differ <= SKETCH_MOST) & (small * 100 >= large * percent) & (component[own][:, None] != component[b])
+        ok = (small * 100 >= large * percent) & (component[own][:, None] != component[b])
         if b is a:
             ok &= rep[own][:, None] < rep[b]
         x, y = np.nonzero(ok)
-        u, v = own[x], b[y]
-        shared = keys[u] == keys[v]
-        here = shared.argmax(axis=1) == (keys[u] == np.int64(key[0]).astype(U64)).argmax(axis=1)
-        u, v = u[here], v[here]
-        if len(u):
-            flip = rep[u] > rep[v]
-            u, v = np.where(flip, v, u), np.where(flip, u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rep[u], rep[v], n[u], n[v])], names=["u", "v", "n_u", "n_v"])
+        for j in range(0, len(x), 1 << 14):
+            u, v = own[x[j : j + (1 << 14)]], b[y[j : j + (1 << 14)]]
+            differ = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
+            near = differ <= SKETCH_MOST
+            u, v, differ = u[near], v[near], differ[near]
+            first = (keys[u] == keys[v]).argmax(axis=1) == band[u]
+            found.append((u[first], v[first], differ[first]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _agreeing_rows(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    u, v, _ = _agreeing_pairs(rows, percent)
+    kept = rows.take(pa.array(np.unique(np.concatenate([u, v])))).combine_chunks()
+    return pa.RecordBatch.from_arrays([kept[c].combine_chunks() for c in kept.column_names], names=kept.column_names)
+
+
+def _tile_links(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    u, v, differ = _agreeing_pairs(rows, percent)
+    rep, component = (rows[c].to_numpy().tolist() for c in ("rep", "component"))
+    shingles = rows["shingles"].combine_chunks()
+    at, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for i in np.argsort(differ, kind="stable").tolist():
+        x, y = find(component[u[i]]), find(component[v[i]])
+        if x == y:
+            continue
+        p, q = flat[at[u[i]] : at[u[i] + 1]], flat[at[v[i]] : at[v[i] + 1]]
+        both = len(p) + len(q) - len(np.union1d(p, q))
+        if 100 * both >= percent * (len(p) + len(q) - both):
+            root[max(x, y)] = min(x, y)
+            links.append(sorted((rep[u[i]], rep[v[i]])))
+    return pa.RecordBatch.from_arrays([pa.array([z[j] for z in links], type=pa.int64()) for j in (0, 1)], names=["u", "v"])
 
 
 def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -236,12 +284,14 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
     rows = written(rows.select("bucket", "members", "rep", "n_shingles", "sketch"), "buckets")
     links, found = None, None
     for turn in range(LEADER_ROUNDS):
-        links, found = _linked(links, found, led_pairs(_placed(rows, found), reps, turn, percent), known, k, percent)
+        near = written(led_pairs(_placed(rows, found), reps, turn, percent), "near")
+        if found is None or not near.isEmpty():
+            links, found = _linked(links, confirmed(near, known, k, percent))
 
     placed = _placed(rows.where("members > 2"), found)
     live = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     open_rows = placed.join(live, "bucket").join(reps.select("rep", "keys"), "rep")
-    links, found = _linked(links, found, tiled_pairs(open_rows, percent), known, k, percent)
+    links, found = _linked(links, tiled_links(open_rows, known, k, percent))
 
     out = signed.select("doc_id", *named).join(sets, named, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     out = out.join(found.select(F.col("id").alias("rep"), F.col("component").alias("of_rep")), "rep", "left").withColumn("component_id", F.coalesce("of_rep", "rep"))
@@ -255,12 +305,8 @@ def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _linked(links: DataFrame | None, found: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """All links after confirming the near pairs, and the components that they make."""
-    near = written(near, "near")
-    if links is not None and near.isEmpty():
-        return links, found
-    new = confirmed(near, docs, k, percent)
+def _linked(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and the components that they make."""
     links = written(new if links is None else links.union(new), "links")
     return links, components(links)
 

@@ -65,8 +65,8 @@ def test_tiles_find_what_one_tile_finds(spark, corpus, monkeypatch):
     texts = base + [edited(t, 2, i) for i, t in enumerate(base)]
     sizes, found = brute_components(texts, 4)
     monkeypatch.setattr(near_dup, "LEADER_ROUNDS", 1)
-    real = near_dup.tiled_pairs
-    monkeypatch.setattr(near_dup, "tiled_pairs", lambda rows, percent: real(rows, percent, 8))
+    real = near_dup.tiled_links
+    monkeypatch.setattr(near_dup, "tiled_links", lambda rows, docs, k, percent: real(rows, docs, k, percent, 8))
     rows = {r.doc_id: r.component_id for r in near_dup.op3_near_dup(spark, corpus(texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == found
 
@@ -242,3 +242,21 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns, name
         kept = pipeline.written(kept, "test")
     assert not any(secrets.base_spans(r.text) for r in kept.collect())
+
+
+def test_stages_take_clashing_columns_and_odd_rows(spark, corpus):
+    """Extra columns named like the operators' own, nulls everywhere, repeated rows, no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = corpus(ODD, benchmark=[(0, sentence(900, 30)), (None, "x")])
+    names = "doc_id long, text string, lang string, source string, n_chars long, bucket string, rep int, draw double, keys array<string>, host string, declared int, size date, rank long"
+    rows = [(i, t, "en", "s", len(t or ""), "b", 1, 0.5, ["k"], "h", 2, None, 7) for i, t in enumerate([*ODD, sentence(900, 30), *(sentence(i) for i in range(20))])]
+    rows += [(None, sentence(3), None, None, None, None, None, None, None, None, None, None, None), rows[9], rows[9]]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, names)
+        kept = docs
+        for _, stage in pipeline.STAGES[:-1]:
+            kept = pipeline.written(stage(spark, kept, base), "odd")
+            assert kept.columns == docs.columns
+        assert kept.count() <= docs.count() and kept.where("doc_id is null").count() == (1 if given else 0)
+        packed = pipeline.STAGES[-1][1](spark, kept, base).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
