@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are taken in chunks of about so many bytes, which bounds the memory of the numpy kernels.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Bounds of the batches that are sent to Python workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -22,7 +24,16 @@ _BASE = 0x9E6C63D0876A9A4B  # odd, so it has an inverse modulo 2**64
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH, so that a worker's memory doesn't depend on how long texts are."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key, None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +53,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared scratch folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bounded(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -63,6 +75,8 @@ def chunked(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1)
         yield lo, hi, body[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    del text, raw, data, offs, body
+    pa.default_memory_pool().release_unused()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
