@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from attestor.llm.common import CHUNK_BYTES, scratch, table
 
@@ -24,6 +25,8 @@ PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 0x11
 RATE, PCM_RATE = 8000, 16000
 UNIT = 64
 BLOCK = 64
+#: Row groups of stored PCM, which a task holds in memory until they are written.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def mu_law_table() -> np.ndarray:
@@ -141,20 +144,24 @@ def doubled(x: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: the UTF-8 bytes of text, zero-padded to a positive multiple of UNIT, as mu-law WAVE.
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for lo, hi in _parts([len(t) for t in raw]):
+            media = [wave(t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\0")) for t in raw[lo:hi]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in raw[lo:hi]], type=pa.int64()), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    Null and empty texts become one unit of zeros; repeated rows stay repeated.
-    """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in _parts([len(t) for t in raw]):
-                media = [wave(t.ljust(max(UNIT, -(-len(t) // UNIT) * UNIT), b"\0")) for t in raw[lo:hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(t) for t in raw[lo:hi]], type=pa.int64()), pa.array(media, type=pa.binary())], names=["doc_id", "n_bytes", "media"])
+def encoded(docs: DataFrame, rate: int | None = None) -> DataFrame:
+    """doc_id, n_bytes and media: the UTF-8 bytes of text, zero-padded to a positive multiple of UNIT, as mu-law WAVE.
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id bigint, n_bytes bigint, media binary")
+    With a rate, also pcm, as with_pcm() gives it, made in the same pass. Null and empty texts become one unit of zeros;
+    repeated rows stay repeated.
+    """
+    docs, schema = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id bigint, n_bytes bigint, media binary"
+    if rate is None:
+        return docs.mapInArrow(_encode, schema)
+    return docs.mapInArrow(lambda batches: _add_pcm(_encode(batches), rate), f"{schema}, pcm binary")
 
 
 def _parts(sizes: list[int], limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -168,52 +175,64 @@ def _parts(sizes: list[int], limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int
         yield lo, len(sizes)
 
 
-def pcm_column(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
-    """media(doc_id, media) with pcm, WAVE bytes of 16-bit samples at the rate; null where media can't be read."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def _add_pcm(batches: Iterator[pa.RecordBatch], rate: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = batch.column(batch.schema.get_field_index("media"))
+        for lo, hi in _parts([len(v.as_buffer() or b"") for v in values], CHUNK_BYTES):
             out: list[bytes | None] = []
-            for value in batch.column(1).to_pylist():
+            for value in values.slice(lo, hi - lo).to_pylist():
                 try:
                     own, x = samples_of(value or b"")
                     out.append(wave(resample(x, own, rate).astype("<i2").tobytes(), PCM, rate, 2, 16))
                 except (ValueError, struct.error):
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary())], names=["doc_id", "pcm"])
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, "pcm"])
+            del out
+            pa.default_memory_pool().release_unused()
+
 
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(decode, "doc_id bigint, pcm binary")
+def with_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """All columns of media with pcm, WAVE bytes of 16-bit samples at the rate; null where media can't be read."""
+    return media.mapInArrow(lambda batches: _add_pcm(batches, rate), StructType([*media.schema.fields, StructField("pcm", BinaryType())]))
+
+
+def pcm_column(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+    """doc_id and pcm of media(doc_id, media), as with_pcm() makes it."""
+    return with_pcm(media.select(F.col("doc_id").cast("long"), "media"), rate).select("doc_id", "pcm")
 
 
 def store_pcm(media: DataFrame, out: str, rate: int = PCM_RATE) -> None:
-    """Writes doc_id and resampled PCM of every media row to Parquet."""
-    pcm_column(media, rate).write.option("compression", "zstd").parquet(out)
+    """Writes all columns of media and its resampled PCM, made here if there is none yet, to Parquet."""
+    rows = media if "pcm" in media.columns else with_pcm(media, rate)
+    rows.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(out)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests of stored mu-law media, and of the PCM that each decoder makes of the payload read back.
+    """Digests of stored mu-law media and its stored PCM, and of the PCM that the other decoders make of the payload.
 
-    feature: crc32 of mu-law PCM at twice the rate, of A-law PCM and of ADPCM PCM; the mu-law signal's root mean
-    square, peak and zero crossings.
+    feature: crc32 of the stored PCM's samples, of the payload as A-law PCM and as ADPCM PCM; the mu-law signal's root
+    mean square, peak and zero crossings.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [v.as_buffer() for v in batch.column(2)]
+            values, pcm = ([v.as_buffer() for v in batch.column(i)] for i in (2, 3))
             for lo, hi in _parts([len(v) for v in values]):
-                yield _measured(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), values[lo:hi])
+                yield _measured(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), values[lo:hi], pcm[lo:hi])
+            del values, pcm, batch
+            pa.default_memory_pool().release_unused()
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(measure, schema)
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(measure, schema)
 
 
-def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer]) -> pa.RecordBatch:
+def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer], pcm: list[pa.Buffer]) -> pa.RecordBatch:
     payloads = [parse_wave(memoryview(v))[3] for v in values]
     sizes = np.array([len(p) for p in payloads], dtype=np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)])
     raw = np.frombuffer(b"".join(payloads), dtype=np.uint8)
     mu = MU_TABLE[raw]
-    wide, law = memoryview(doubled(mu, at[1:] - 1).tobytes()), memoryview(A_TABLE[raw].tobytes())
+    law = memoryview(A_TABLE[raw].tobytes())
     blocks = decode_adpcm(raw.reshape(-1, BLOCK))
     adpcm, width = memoryview(blocks.tobytes()), 2 * blocks.shape[1]
     power = np.add.reduceat(mu.astype(np.int64) ** 2, at[:-1])
@@ -224,7 +243,7 @@ def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer]) -> pa.R
     crossings = np.add.reduceat(turns, at[:-1])
     feature = []
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        crcs = (zlib.crc32(wide[4 * a : 4 * b]), zlib.crc32(law[2 * a : 2 * b]), zlib.crc32(adpcm[a // BLOCK * width : b // BLOCK * width]))
+        crcs = (zlib.crc32(parse_wave(memoryview(pcm[i]))[3]), zlib.crc32(law[2 * a : 2 * b]), zlib.crc32(adpcm[a // BLOCK * width : b // BLOCK * width]))
         feature.append(f"{crcs[0]:08x}:{crcs[1]:08x}:{crcs[2]:08x}:{int((power[i] / sizes[i]) ** 0.5)}:{peak[i]}:{crossings[i]}")
     return pa.RecordBatch.from_arrays(
         [
@@ -243,5 +262,5 @@ def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer]) -> pa.R
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "media")
-    encoded(table(spark, sf_dir, "documents")).write.option("compression", "zstd").parquet(out)
-    return features(spark.read.schema("doc_id bigint, n_bytes bigint, media binary").parquet(out))
+    store_pcm(encoded(table(spark, sf_dir, "documents"), PCM_RATE), out)
+    return features(spark.read.schema("doc_id bigint, n_bytes bigint, media binary, pcm binary").parquet(out))

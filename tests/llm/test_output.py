@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from corpus_cases import ODD, sentence
+from pyspark.sql import functions as F
 
 from attestor.llm import audio, encoding, packing, sharding, token_orc
 
@@ -91,6 +92,22 @@ def test_op9(spark, corpus):
     assert rows[9].feature == rows[10].feature
 
 
+def test_op9_stores_the_pcm_that_it_digests(spark, corpus, monkeypatch, tmp_path):
+    monkeypatch.setattr(audio, "scratch", lambda spark, name: str(tmp_path / name))
+    rows = {r.doc_id: r for r in audio.op9_audio(spark, corpus(ODD)).collect()}
+    held = spark.read.parquet(str(tmp_path / "media"))
+    stored = {r.doc_id: r for r in held.collect()}
+    assert sorted(stored) == list(range(len(ODD)))
+    for i, r in stored.items():
+        payload = np.frombuffer(audio.parse_wave(bytes(r.media))[3], dtype=np.uint8)
+        samples = audio.doubled(audio.MU_TABLE[payload], np.array([len(payload) - 1])).astype("<i2").tobytes()
+        assert bytes(r.pcm) == audio.wave(samples, audio.PCM, 16000, 2, 16)
+        assert rows[i].feature.split(":")[0] == f"{zlib.crc32(samples):08x}"
+    other = audio.wave(b"\1\0", audio.PCM, 16000, 2, 16)
+    changed = audio.features(held.withColumn("pcm", F.lit(other))).collect()
+    assert {r.feature.split(":")[0] for r in changed} == {f"{zlib.crc32(bytes([1, 0])):08x}"}
+
+
 def plain_adpcm(block):
     value = int.from_bytes(block[:2], "little", signed=True)
     index, out = min(block[2], 88), [value]
