@@ -16,6 +16,8 @@ ABSOLUTES = (
 ENTITIES = "countries organizations companies hospitals universities governments researchers patients users corporations institutions nations enterprises".split()
 STATISTIC = r"\b(\d+\.?\d*\s*%)\s+(?:of\s+)?([a-zA-Z\s]{3,30})"
 ORGANIZATION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,5})\b"
+# The same with borders and blanks of all scripts: letters, numbers and _ are of words, separators and some controls are blank.
+ORGANIZATION_ANY_SCRIPT = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:[\t-\r\x1c-\x20\x85\p{Z}]+[A-Z][a-z]+){1,5})(?![\p{L}\p{N}_])"
 ORGANIZATIONS_MOST, SHOWN_PERCENTAGES = 20, 3
 WEIGHTS = {"percentage_differs": 40, "percentage_new": 30, "year": 20, "scale": 35, "organization": 25, "absolute": 10}
 CONTRADICTS = 30
@@ -55,8 +57,9 @@ def scale_claims(text: Column) -> Column:
     return _pairs(F.lower(text), rf"\b(\d+)\s+({'|'.join(ENTITIES)})\b")
 
 
-def organizations(text: Column) -> Column:
-    return F.slice(_all(text, ORGANIZATION, 1), 1, ORGANIZATIONS_MOST)
+def organizations(text: Column, any_script: bool = False) -> Column:
+    """Runs of capitalised ASCII words; words end and are parted as `ORGANIZATION` has it, or as all scripts do."""
+    return F.slice(_all(text, ORGANIZATION_ANY_SCRIPT if any_script else ORGANIZATION, 1), 1, ORGANIZATIONS_MOST)
 
 
 def facts(text: Column, full_years: bool = False) -> Column:

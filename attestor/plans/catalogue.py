@@ -193,6 +193,12 @@ def fact_orgs_documents(spark, d):
     return rows.select("doc_id", F.array_join(K.organizations(F.col("text")), "; ").alias("found"))
 
 
+@query()
+def fact_orgs_all_documents(spark, d):
+    """Of every document in any script; DuckDB's word borders know ASCII only, so the SQL twin above stops there."""
+    return _docs(spark, d).select("doc_id", F.array_join(K.organizations(F.col("text"), any_script=True), "; ").alias("found"))
+
+
 def _compared(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", K.facts(F.col("claim"))).withColumn("of_source", K.facts(F.col("source")))
     return rows.withColumn("compared", K.compared(F.col("own"), F.col("of_source"), F.col("source")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import product
 
@@ -12,6 +13,7 @@ from attestor.functions import facts as K
 from attestor.functions import text as T
 from attestor.operators import models, passages, summary
 from attestor.operators.verdict import needs_judge, verdict
+from attestor.plans.catalogue import QUERIES
 from attestor.plans.verify import Options, Providers, verify
 from attestor.sources import pdf
 from attestor.sources.inputs import pair
@@ -212,3 +214,22 @@ def test_progress(spark):
     with progress(spark, lambda message, part: told.append(part), 0.05):
         spark.range(0, 200_000, 1, 8).selectExpr("count(sha2(cast(id as string), 256))").collect()
     assert told[-1] == 1.0 and told == sorted(told)
+
+
+def test_organizations_of_documents_in_any_script(spark, tmp_path):
+    pattern = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,5})\b"
+    texts = [
+        "The World Bank met.",
+        "À Paris, le Crédit Agricole et la Banque Populaire ont signé avec Air France.",
+        "Die Deutsche Bank in München, Süd West Bank und Große Werke Nord.",
+        "El Banco Nacional de España y la Caja Ruralé, éCaja Rural, Caja Rural\u0301.",
+        "Banque\xa0Populaire Ouest, Air\u2003France\x85Nord, 中Air France 中 Air France文, ²Air France, _Air France, ½ Air France½",
+        "Москва: Gazprom Neft и Rosneft Oil Нефть. " + "Ab Cd. " * 30,
+        "no name, été",
+        "",
+        None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.found for r in QUERIES["fact_orgs_all_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else "; ".join(re.findall(pattern, t)[:20]) for i, t in enumerate(texts)}
+    assert got[1] == "Banque Populaire; Air France" and got[4].startswith("Banque\xa0Populaire Ouest")
