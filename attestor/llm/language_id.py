@@ -9,24 +9,28 @@ out of its host's prior.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.llm.common import chunked, table, written
 from attestor.llm.toxicity import lowered_safely
 
-#: The trigram models are fitted on at most so many rows that declare a language, the first by a hash of doc_id.
-FIT_ROWS = 4000
+#: Each trigram model is fitted on at most so many of the rows that declare its language, the first by a hash of doc_id.
+#: Up to 1,000 (spark.sql.optimizer.windowGroupLimitThreshold) Spark draws them before the shuffle.
+FIT_ROWS = 1000
 #: Texts of more bytes aren't fitted on (all are identified), so that the driver's memory is bounded too.
 FIT_BYTES = 1 << 20
-#: A language is modelled if this share of the fitted rows, and five rows, declare it.
-LEAST_SHARE = 0.005
+#: A language is modelled if so many of all rows declare it.
+LEAST_ROWS = 5
 GRAMS = 1 << 16
+#: Log-probability of a trigram if all are alike, and how far a text's mean may fall from what its language's own texts
+#: reach (held out) towards that, before no language is the better explanation.
+EVEN, UNEXPLAINED = -float(np.log(GRAMS)), 2 / 3
 #: Neighbouring trigrams overlap, so their log-likelihood counts by this part.
 TEMPER = 1 / 3
 #: Weight, in documents, of the level above in a prior, and of the uniform in a confusion table.
@@ -57,39 +61,64 @@ def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class TextModel:
-    """Log-probabilities of trigrams, a column for each language."""
+    """Log-probabilities of trigrams, a column for each language, and the mean below which a language explains no text."""
 
     languages: list[str]
     table: np.ndarray
+    floors: np.ndarray
 
     @staticmethod
-    def fit(rows: list[tuple[str, str]]) -> TextModel:
-        by = Counter(lang for lang, _ in rows)
-        langs = sorted(k for k, n in by.items() if n >= max(5, LEAST_SHARE * len(rows))) or sorted(by)
-        counts = np.full((GRAMS, max(1, len(langs))), 0.05)
+    def fit(rows: Iterable[tuple[str, str]]) -> TextModel:
+        """Of (language, text). Rows count in turn for one of two halves; each half is scored by a model of the other."""
+        seen: Counter[str] = Counter()
+        halves: dict[str, np.ndarray] = {}
         for lang, text in rows:
-            if lang in langs:
-                buf = np.frombuffer(text.encode(), dtype=np.uint8)
-                g, _ = grams(buf, np.array([0, len(buf)]))
-                counts[:, langs.index(lang)] += np.bincount(g, minlength=GRAMS)
-        return TextModel(langs, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+            buf = np.frombuffer(text.encode(), dtype=np.uint8)
+            g, _ = grams(buf, np.array([0, len(buf)]))
+            held = halves.setdefault(lang, np.zeros((2, GRAMS), dtype=np.int32))
+            held[seen[lang] % 2] += np.bincount(g, minlength=GRAMS).astype(np.int32)
+            seen[lang] += 1
+        langs = sorted(k for k, n in seen.items() if n >= LEAST_ROWS) or sorted(seen)
+        table, floors = np.zeros((GRAMS, max(1, len(langs))), dtype=np.float32), np.full(max(1, len(langs)), EVEN)
+        for i, lang in enumerate(langs):
+            held = halves[lang]
+            table[:, i] = _logs(held.sum(axis=0))
+            own = (held[0] @ _logs(held[1]) + held[1] @ _logs(held[0])) / held.sum() if held.any() else EVEN
+            floors[i] = own - UNEXPLAINED * max(0.0, own - EVEN)
+        return TextModel(langs, table, floors)
 
     def likelihoods(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(trigrams, log-likelihoods) of each text."""
+        """(trigrams, log-likelihoods) of each text; a last column is that of no language modelled."""
         g, at = grams(buf, offs)
-        out = np.zeros((len(offs) - 1, len(self.languages)))
+        out = np.zeros((len(offs) - 1, len(self.languages) + 1))
         full = np.flatnonzero(np.diff(at))
         if len(full):
-            out[full] = np.add.reduceat(self.table[g], at[full], axis=0, dtype=np.float64)
+            out[full, :-1] = np.add.reduceat(self.table[g], at[full], axis=0, dtype=np.float64)
+            out[full, -1] = np.diff(at)[full] * self.floors[out[full, :-1].argmax(axis=1)]
         return np.diff(at), out
 
 
+def _logs(counts: np.ndarray) -> np.ndarray:
+    smooth = counts + 0.05
+    return np.log(smooth / smooth.sum())
+
+
 def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-    """The trigram models of docs(doc_id, text, declared), on at most `rows` rows."""
+    """The trigram models of docs(doc_id, text, declared), on at most `rows` rows of each language.
+
+    A language needs LEAST_ROWS rows among all; where none has them, those of the first `rows` rows are modelled.
+    """
     sample = docs.where("declared is not null and text is not null").where(F.octet_length("text") <= FIT_BYTES).withColumn("draw", F.xxhash64("doc_id"))
-    ids = sample.select("doc_id", "draw").orderBy("draw", "doc_id").limit(rows)
-    texts = sample.drop("draw").join(F.broadcast(ids), "doc_id").orderBy("draw", "doc_id").limit(rows)
-    return TextModel.fit([(r.declared, r.text) for r in texts.select("declared", "text").collect()])
+    one = Window.partitionBy("declared")
+    ids = sample.select("doc_id", "declared", "draw").withColumn("rank", F.row_number().over(one.orderBy("draw", "doc_id"))).where(F.col("rank") <= rows)
+    ids = written(ids.withColumn("n", F.count("*").over(one)), "drawn")
+    drawn = ids.where(F.col("n") >= LEAST_ROWS)
+    if drawn.isEmpty():
+        drawn = ids.orderBy("draw", "doc_id", "declared").limit(rows)
+    drawn = drawn.select(F.col("doc_id").alias("k_doc_id"), F.col("declared").alias("k_declared")).distinct()
+    texts = sample.join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("declared") == F.col("k_declared")), "left_semi")
+    texts = texts.select("declared", "text", F.row_number().over(one.orderBy("draw", "doc_id", "text")).alias("rank")).where(F.col("rank") <= rows)
+    return TextModel.fit((r.declared, r.text) for r in texts.select("declared", "text").toLocalIterator())
 
 
 def evidence(docs: DataFrame, model: TextModel) -> DataFrame:
@@ -138,8 +167,8 @@ def _shares(counts: str, common: Column, base: list[float], total: float) -> Col
 def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     """doc_id, language, posterior, text_language and accepted of each row of docs(doc_id, text, declared, suffix, host).
 
-    A text without letters has no language and is rejected, as is a best posterior below LEAST_POSTERIOR. Evidence that
-    is null counts nothing. Repeated rows are judged alike. With no declared language at all every row is rejected.
+    A text without letters has no language and is rejected, as is a best posterior below LEAST_POSTERIOR. So is a text that
+    no model explains: no language modelled is a class of its own, with null as language. Evidence that is null counts nothing. Repeated rows are judged alike. With no declared language at all every row is rejected.
     """
     kinds = {"doc_id": "long", "text": "string", "declared": "string", "suffix": "string", "host": "string"}
     docs = docs.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
@@ -147,8 +176,8 @@ def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     if not model.languages:
         none = F.lit(None).cast("string")
         return docs.select("doc_id", none.alias("language"), F.lit(0.0).alias("posterior"), none.alias("text_language"), F.lit(False).alias("accepted"))
-    width = len(model.languages)
-    names = F.array(*map(F.lit, model.languages))
+    width = len(model.languages) + 1
+    names = F.array(*map(F.lit, model.languages), F.lit(None).cast("string"))
     zeros = F.array(*[F.lit(0.0)] * width)
     rows = written(evidence(docs, model), "evidence").withColumn("domain", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1))
     rows = rows.withColumn("own", F.when(F.col("n_grams") > 0, _normal(F.col("likely"))).otherwise(zeros))
@@ -184,12 +213,13 @@ def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     out = out.withColumn("posteriors", _normal(logs)).withColumn("best", F.array_max("posteriors"))
     pick = lambda of, top: F.element_at(names, F.array_position(of, top).cast("int"))
     lettered = F.col("n_grams") > 0
+    language = F.when(lettered, pick(F.col("posteriors"), F.col("best")))
     return out.select(
         "doc_id",
-        F.when(lettered, pick(F.col("posteriors"), F.col("best"))).alias("language"),
+        language.alias("language"),
         F.when(lettered, F.round("best", 6)).otherwise(0.0).alias("posterior"),
         F.when(lettered, pick(F.col("likely"), F.array_max("likely"))).alias("text_language"),
-        (lettered & (F.col("best") >= LEAST_POSTERIOR)).alias("accepted"),
+        (language.isNotNull() & (F.col("best") >= LEAST_POSTERIOR)).alias("accepted"),
     )
 
 

@@ -214,6 +214,21 @@ def test_language(spark):
     assert [r.accepted for r in language_id.identified(docs_in(spark, [(1, "abc def", None, None, None)])).collect()] == [False]
 
 
+def test_rare_and_unmodelled_languages(spark):
+    rng = random.Random(9)
+    parts = {"aa": "ka lo mi tu ne", "bb": "schr eng ungt ich wer", "cc": "vozh dy prak sel", "dd": "xiq hhaw gyuu fofe"}
+    text = lambda k: " ".join("".join(rng.choices(parts[k].split(), k=2)) for _ in range(60))
+    rows = [(i, text(k), k, None, None) for i in range(1500) for k in [("aa", "aa", "bb")[i % 3]]]
+    rows += [(2000 + i, text("cc"), "cc" if i < 6 else None, None, None) for i in range(9)]
+    rows += [(3000 + i, text("dd"), ("aa", None, "dd")[i % 3], None, None) for i in range(9)]
+    got = {r.doc_id: r for r in language_id.identified(docs_in(spark, rows)).collect()}
+    assert all((got[i].language, got[i].accepted) == (("aa", "aa", "bb")[i % 3], True) for i in range(1500))
+    # 6 of 1,506 rows declare cc: less than any share of the whole, but enough for a model
+    assert {(got[2000 + i].language, got[2000 + i].accepted) for i in range(9)} == {("cc", True)}
+    # 3 rows declare dd, so it has no model; its texts are of no language modelled
+    assert {(got[3000 + i].language, got[3000 + i].text_language, got[3000 + i].accepted) for i in range(9)} == {(None, None, False)}
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 def test_language_of_the_tables(spark):
     rows = language_id.op4_language_id(spark, str(DATA)).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect()
