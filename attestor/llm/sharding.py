@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestor.llm.common import scratch, table
 
@@ -24,7 +25,9 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, least: int = LEAST_BUCKETS) -> int:
-    total = sized(docs).agg(F.sum("size")).first()[0] or 0
+    """Buckets for whole records: text, and the other columns by their length as text."""
+    others = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in docs.columns if c not in ("doc_id", "text", "size")]
+    total = sized(docs).agg(F.sum(sum(others, F.col("size")))).first()[0] or 0
     return max(least, -(-total // bucket_bytes))
 
 
@@ -38,20 +41,23 @@ def scattered(docs: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
 
 
 def shuffled(docs: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
-    """bucket, turn and the columns of docs in `row`: turn is the row's place in its bucket after Fisher-Yates."""
-    rows = scattered(docs, n_buckets, seed).select("bucket", F.struct("draw", *[F.col(c) for c in docs.columns]).alias("row"))
-    order = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).otherwise(0)
+    """bucket, turn and the columns of docs in `row`: turn is the row's place in its bucket after Fisher-Yates.
+
+    Rows of one id and text are put in order by a hash of all columns.
+    """
+    rows = scattered(docs, n_buckets, seed).select("bucket", F.struct("draw", F.xxhash64(*docs.columns).alias("tie"), *[F.col(c) for c in docs.columns]).alias("row"))
+    order = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)
     per = rows.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("row"), order).alias("rows"))
     return per.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("turn", "row"))
 
 
 def write_shards(docs: DataFrame, out: str, n_shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Writes docs(doc_id, text) with size, shard and slot to Parquet folders out/shard=k.
+    """Writes docs(doc_id, text and any others) with all columns, size, shard and slot to Parquet folders out/shard=k.
 
     Shard counts are at most one apart, slots are gapless from 0; an empty table writes no rows. Null ids and
     texts, and repeated rows, are rows like any other.
     """
-    docs = sized(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    docs = sized(records(docs))
     n_buckets = bucket_count(docs, bucket_bytes)
     counts = scattered(docs, n_buckets, seed).groupBy("bucket").agg(F.count("*").alias("n"))
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,17 +69,25 @@ def write_shards(docs: DataFrame, out: str, n_shards: int = 8, seed: int = SEED,
     shard = sum((F.when(F.col("place") >= F.lit(k * total // n_shards), 1).otherwise(0) for k in range(1, n_shards)), F.lit(0))
     begin = F.element_at(F.array(*[F.lit(k * total // n_shards) for k in range(n_shards)]), F.col("shard") + 1)
     rows = rows.withColumn("shard", shard).withColumn("slot", F.col("place") - begin)
-    rows.select("row.doc_id", "row.text", "row.size", F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard")).write.mode("error").partitionBy("shard").parquet(out)
+    rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard")).write.mode("error").partitionBy("shard").parquet(out)
+
+
+def records(docs: DataFrame) -> DataFrame:
+    """docs with all columns, its id and text as shards hold them."""
+    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
 
-def read_shards(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("doc_id bigint, text string, size bigint, slot bigint, shard int").parquet(out)
+def read_shards(spark: SparkSession, out: str, schema: StructType | None = None) -> DataFrame:
+    """The shards of records of a schema, of doc_id and text alone if there is none."""
+    held = schema or StructType().add("doc_id", "long").add("text", "string")
+    added = StructType().add("size", "long").add("slot", "long").add("shard", "integer")
+    return spark.read.schema(StructType([*held.fields, *added.fields])).parquet(out)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scratch(spark, "shards")
-    write_shards(table(spark, sf_dir, "documents"), out)
-    return read_shards(spark, out).select(
+    out, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents")
+    write_shards(docs, out)
+    return read_shards(spark, out, records(docs).schema).select(
         "doc_id",
         "size",
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),

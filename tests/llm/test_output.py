@@ -81,6 +81,17 @@ def test_op2(spark, corpus):
     assert sharding.op2_sharding(spark, corpus([])).count() == 0
 
 
+def test_op2_shards_hold_whole_records(spark, corpus, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "scratch", lambda spark, name: str(tmp_path / name))
+    base = corpus([*ODD, *(sentence(i) for i in range(30))], extra=[(3, "a", None, "y", 7), (3, "a", "fr", "x", 1), (None, None, None, None, None)])
+    rows = sharding.op2_sharding(spark, base).collect()
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    held = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, held.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    back = sharding.read_shards(spark, str(tmp_path / "shards"), sharding.records(docs).schema)
+    assert sorted((r.doc_id or -1, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id or -1, r.shard, r.slot) for r in rows)
+
+
 def test_op9(spark, corpus):
     rows = {r.doc_id: r for r in audio.op9_audio(spark, corpus(ODD)).collect()}
     for i, t in enumerate(ODD):
