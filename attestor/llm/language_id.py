@@ -242,7 +242,9 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that identified() accepts; rows without doc_id stay."""
-    out = written(identified(from_documents(docs)).where("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
+    # Written before it is filtered: a filter would be moved below the projections, and repeat their work in each of its terms.
+    judged = written(identified(from_documents(docs)).select("doc_id", "accepted"), "judged")
+    out = written(judged.where("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
     return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
 
 
