@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,8 +24,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E6C63D0876A9A4B  # odd, so it has an inverse modulo 2**64
-_POWERS: dict[str, np.ndarray] = {}
+#: Masks of the first n bytes of eight, and the length from which a span is hashed as a whole.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U64)
+LONG_SPAN = 256
 
 
 def bounded(spark: SparkSession) -> None:
@@ -40,13 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (plain local sessions), the context's own checkpoint folder or
-    ./checkpoints is used instead.
+    Where the setting is absent, the context's own checkpoint folder takes its place, and a temporary folder in a session of
+    one process. On a cluster without either there is no shared folder: ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "checkpoints"
+        base = held.get() if held.isDefined() else None
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/attestor/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -56,7 +65,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     bounded(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Removes the folders of written() frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def chunked(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -76,18 +99,24 @@ def chunked(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         yield lo, hi, body[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
     del text, raw, data, offs, body
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers keep little."""
     pa.default_memory_pool().release_unused()
+    if _LIBC and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i from 0 to n."""
-    if len(_POWERS.get("up", ())) <= n:
-        size = max(n + 1, 2 * CHUNK_BYTES)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, dtype=U64)
-            out[0] = 1
-            _POWERS[key] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL(None)
+    except (OSError, TypeError):  # no such library to load
+        return None
+
+
+_LIBC = _libc()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -100,15 +129,45 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def eights(buf: np.ndarray) -> np.ndarray:
+    """For each byte of buf, the eight bytes from there on as one little-endian number, with zeros after the end."""
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by differences of one polynomial prefix sum."""
-    n = len(buf)
-    up, down = powers(n)
-    total = np.empty(n + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum((buf.astype(U64) + U64(1)) * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte span.
+
+    Eight bytes at a time are mixed in by a step that no two values share, so spans of one length up to eight bytes never
+    collide, and longer ones only as random numbers do; spans above LONG_SPAN are hashed by blake2b.
+    """
+    view, size = eights(buf), ends - starts
+    out = mix(mix(size.astype(U64) + U64(0xD6E8FEB86659FD93)) ^ (view[starts] & FIRST_BYTES[np.minimum(size, 8)]))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(live):
+        block = view[starts[live] + at] & FIRST_BYTES[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] * U64(0xE7037ED1A0B428DB) ^ block)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span has the bytes of the span whose number `other` gives."""
+    view, size = eights(buf), ends - starts
+    if (size != size[other]).any():
+        return False
+    live, at = np.flatnonzero(size <= LONG_SPAN), 0
+    while len(live):
+        differ = view[starts[live] + at] ^ view[starts[other[live]] + at]
+        if (differ & FIRST_BYTES[np.minimum(size[live] - at, 8)]).any():
+            return False
+        at += 8
+        live = live[size[live] > at]
+    long = np.flatnonzero(size > LONG_SPAN).tolist()
+    return all(np.array_equal(buf[starts[i] : ends[i]], buf[starts[other[i]] : ends[other[i]]]) for i in long)
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

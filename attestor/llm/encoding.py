@@ -11,10 +11,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from attestor.llm.common import _LOWER, chunked, span_hashes
+from attestor.llm.common import _LOWER, chunked, same_spans, span_hashes
 
 #: Distinct pre-tokens that a worker keeps; beyond that it starts anew, so memory stays bounded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 
 _LETTER, _DIGIT, _OTHER, _BLANK = 1, 2, 3, 0
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
@@ -96,13 +96,13 @@ class Encoder:
         return _HELD[path, kind]
 
     def forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.ends = np.zeros(1 << 14, dtype=np.int64)
         self.n_words = self.n_ids = 0
 
-    def _add(self, keys: list[int], pieces: list[str]) -> None:
-        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _add(self, keys: list[bytes]) -> None:
+        found = [x.ids for x in self.library.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum()))
         need = self.n_ids + len(flat)
@@ -117,6 +117,11 @@ class Encoder:
         self.n_ids = need
 
     def _known(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts of the known alphabet, and where each text's begin.
+
+        Equal pre-tokens are found by hash, then compared byte by byte; the memo's keys are the bytes themselves.
+        """
+        whole = buf
         if not len(buf):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offs), dtype=np.int64)
         if self.kind == "byte":
@@ -126,16 +131,15 @@ class Encoder:
             starts, ends = word_borders(buf, offs)
         if not len(starts):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(offs), dtype=np.int64)
-        keys, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if self.n_words + len(keys) > CACHE_WORDS:
+        _, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if not same_spans(buf, starts, ends, where[back]):
+            return self._by_library(whole, offs)
+        if self.n_words + len(where) > CACHE_WORDS:
             self.forget()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.index]
-        if new:
-            raw = buf.tobytes()
-            at = where[new]
-            pieces = [raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            self._add([keys[i] for i in new], pieces)
+        raw = buf.tobytes()
+        keys = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        if new := [k for k in keys if k not in self.index]:
+            self._add(new)
         slot = np.fromiter(map(self.index.__getitem__, keys), dtype=np.int64, count=len(keys))[back]
         begin = self.ends[slot]
         size = self.ends[slot + 1] - begin
@@ -143,6 +147,11 @@ class Encoder:
         ids = self.ids[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]
         return ids, done[np.searchsorted(starts, offs, side="left")]
 
+    def _by_library(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        found = [x.ids for x in self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(offs[:-1], offs[1:], strict=True)], add_special_tokens=False)]
+        return np.concatenate([np.array(x, dtype=np.uint32) for x in found]), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
     def encode(self, text: pa.Array):
         """Yields (first row, end row, ids, where each text's ids begin and the end) for runs of texts."""
         for lo, hi, buf, offs in chunked(text):
