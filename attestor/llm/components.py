@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import written
+from attestor.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     now = written(edges.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).distinct(), name)
     while not _stars(now):
-        now = written(_small_star(_large_star(now)), name)
+        before, now = now, written(_small_star(_large_star(now)), name)
+        discard(before)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 

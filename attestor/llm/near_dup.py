@@ -11,25 +11,30 @@ confirmed by comparing the full sets, unless links have joined its components al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil, exp, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import U64, chunked, distinct_in_text, lists, mix, shingle_hashes, table, word_hashes, written
+from attestor.llm.common import U64, chunked, discard, distinct_in_text, lists, mix, shingle_hashes, table, word_hashes, written
 from attestor.llm.components import components
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
-#: A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**28, below 4e-7.
-BANDS, ROWS = 28, 4
-#: Samples that the odd sketch folds (the bands use the first of them), its bits, and the XOR count up to which a pair
-#: is confirmed: an estimate of 0.65 or more, over five standard errors below the threshold.
-SAMPLES, SKETCH_BITS, SKETCH_MOST = 224, 1024, 135
+#: Chance that a pair at the threshold shares no band, and bands at which rows a band stop growing.
+MISS, BANDS_MOST = 4e-7, 32
+#: Samples that the odd sketch folds (the bands use the first of them), its bits, and the standard errors by which a pair's
+#: sketches may differ more than at the threshold.
+SAMPLES, SKETCH_BITS, ERRORS = 224, 1024, 5.5
 LEADER_ROUNDS = 2
 #: Members of a bucket that are compared with one another in one go; larger buckets are cut into tiles of this size.
-TILE = 512
+#: So is one whose sets hold more shingles than this for each of its tiles.
+TILE, TILE_SHINGLES = 512, 4 << 20
+#: Parts that documents of one shingle set are dealt over.
+SALTS = 32
 #: Ids of so many documents at most are broadcast (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -39,6 +44,26 @@ _B = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(U64)
 _FOLD = mix(np.arange(1, SAMPLES + 1, dtype=U64))
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """What a threshold asks for: bands, rows a band, and the XOR count up to which sketches agree."""
+
+    bands: int
+    rows: int
+    differ: int
+
+    @staticmethod
+    def of(percent: int) -> Cuts:
+        """As many rows a band as BANDS_MOST bands allow; ValueError unless percent is from 10 to 100."""
+        if not 10 <= percent <= 100:
+            raise ValueError(f"percent must be from 10 to 100, not {percent}")
+        s = percent / 100
+        need = lambda r: 1 if s == 1 else ceil(log(MISS) / log1p(-(s**r)))
+        rows = max((r for r in range(1, 9) if need(r) <= BANDS_MOST and r * need(r) <= SAMPLES), default=1)
+        apart = min(SAMPLES, SAMPLES * (1 - s) + ERRORS * sqrt(SAMPLES * s * (1 - s)))
+        return Cuts(need(rows), rows, ceil(SKETCH_BITS / 2 * (1 - exp(-4 * apart / SKETCH_BITS))))
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -61,18 +86,18 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(U64)
 
 
-def bands(mins: np.ndarray) -> np.ndarray:
+def bands(mins: np.ndarray, cuts: Cuts) -> np.ndarray:
     """A 64-bit key for each set and band."""
-    keys = np.empty((mins.shape[1], BANDS), dtype=U64)
-    for b in range(BANDS):
+    keys = np.empty((mins.shape[1], cuts.bands), dtype=U64)
+    for b in range(cuts.bands):
         key = np.full(mins.shape[1], b + 1, dtype=U64)
-        for r in range(ROWS):
-            key = mix(key * U64(0xE7037ED1A0B428DB) + mins[b * ROWS + r])
+        for r in range(cuts.rows):
+            key = mix(key * U64(0xE7037ED1A0B428DB) + mins[b * cuts.rows + r])
         keys[:, b] = key
     return keys
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, k: int, cuts: Cuts) -> DataFrame:
     """doc_id, n_shingles, two sums that name the shingle set, band keys and the sketch of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +107,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n = np.diff(bounds)
                 full = n > 0
                 sums = np.zeros((2, hi - lo), dtype=U64)
-                keys, sketch = np.zeros((0, BANDS), dtype=U64), np.zeros((0, SKETCH_BITS // 64), dtype=U64)
+                keys, sketch = np.zeros((0, cuts.bands), dtype=U64), np.zeros((0, SKETCH_BITS // 64), dtype=U64)
                 if full.any():
                     packed = np.concatenate([[0], np.cumsum(n[full])])
                     sums[0, full] = np.add.reduceat(h, packed[:-1])
                     sums[1, full] = np.add.reduceat(mix(h ^ U64(0x5851F42D4C957F2D)), packed[:-1])
                     mins = samples(h, packed)
-                    keys, sketch = bands(mins), odd_sketches(mins)
+                    keys, sketch = bands(mins, cuts), odd_sketches(mins)
                 at = np.concatenate([[0], np.cumsum(full)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), lists(_signed(keys.ravel()), at * BANDS, pa.int64()), lists(_signed(sketch.ravel()), at * (SKETCH_BITS // 64), pa.int64())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_signed(sums[0])), pa.array(_signed(sums[1])), lists(_signed(keys.ravel()), at * cuts.bands, pa.int64()), lists(_signed(sketch.ravel()), at * (SKETCH_BITS // 64), pa.int64())],
                     names=["doc_id", "n_shingles", "name_a", "name_b", "keys", "sketch"],
                 )
 
@@ -123,7 +148,7 @@ def _similar(n_a: str, n_b: str, percent: int):
 def _agree(percent: int) -> Column:
     """Whether sizes and sketches of both sides of a join allow the threshold."""
     differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("head_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return _similar("n_shingles", "head_n", percent) & (differ <= SKETCH_MOST)
+    return _similar("n_shingles", "head_n", percent) & (differ <= Cuts.of(percent).differ)
 
 
 def led_pairs(rows: DataFrame, reps: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -149,7 +174,9 @@ def confirmed(near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     sets = written(shingle_sets(_with_ids(docs, ids), k), "sets")
     both = near.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("shared")) * percent).select("u", "v")
+    out = written(both.withColumn("shared", shared).where(F.col("shared") * 100 >= (F.col("n_u") + F.col("n_v") - F.col("shared")) * percent).select("u", "v"), "confirmed")
+    discard(ids, sets)
+    return out
 
 
 def _ordered(a: str, b: str) -> list:
@@ -164,15 +191,15 @@ def _dealt(rows: DataFrame) -> DataFrame:
 
 
 def tiled_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, tile: int = TILE) -> DataFrame:
-    """Links (u, v) among rows(bucket, members, rep, component, n_shingles, sketch, keys) of one bucket and different components.
+    """Links (u, v) among rows(bucket, members, total, rep, component, n_shingles, sketch, keys) of one bucket and different components.
 
-    A bucket of m members is cut into m / tile tiles. Each row goes to every pair of tiles that its own is part of, and
+    A bucket of m members is cut into m / tile tiles, more if their sets hold many shingles (total). Each row goes to every pair of tiles that its own is part of, and
     a task compares two tiles at a time, so its memory is bounded by the tile and a bucket is spread over many tasks. A
     first pass keeps the rows whose sketch agrees with another's; these get their full sets, and a second pass confirms
     the agreeing pairs, the likeliest first, leaving out those that earlier links of the tile have joined. So links are
     fewer than rows, and no pair of components that are linked is lost. A pair that shares several buckets is taken in the first.
     """
-    tiles = F.ceil(F.col("members") / tile).cast("int")
+    tiles = F.ceil(F.greatest(F.col("members") / tile, F.col("total") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), tiles).cast("int")
     cut = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     cut = cut.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
@@ -181,7 +208,9 @@ def tiled_links(rows: DataFrame, docs: DataFrame, k: int, percent: int, tile: in
     ids = written(agreeing.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     sets = written(shingle_sets(_with_ids(docs, ids), k), "sets")
     full = agreeing.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select(*columns, "shingles")
-    return _dealt(full).mapInArrow(lambda batches: _by_tile(batches, _tile_links, percent), "u bigint, v bigint").distinct()
+    out = written(_dealt(full).mapInArrow(lambda batches: _by_tile(batches, _tile_links, percent), "u bigint, v bigint").distinct(), "tiled")
+    discard(agreeing, ids, sets)
+    return out
 
 
 def _by_tile(batches: Iterator[pa.RecordBatch], each, percent: int) -> Iterator[pa.RecordBatch]:
@@ -205,6 +234,7 @@ def _by_tile(batches: Iterator[pa.RecordBatch], each, percent: int) -> Iterator[
 
 def _agreeing_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row numbers of the pairs of a tile that agree, and how far their sketches differ."""
+    most = Cuts.of(percent).differ
     low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
     bucket = np.int64(rows["bucket"][0].as_py())
     tile, rep, component, n = (rows[c].to_numpy().astype(np.int64) for c in ("tile", "rep", "component", "n_shingles"))
@@ -224,7 +254,7 @@ def _agreeing_pairs(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarra
         for j in range(0, len(x), 1 << 14):
             u, v = own[x[j : j + (1 << 14)]], b[y[j : j + (1 << 14)]]
             differ = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
-            near = differ <= SKETCH_MOST
+            near = differ <= most
             u, v, differ = u[near], v[near], differ[near]
             first = (keys[u] == keys[v]).argmax(axis=1) == band[u]
             found.append((u[first], v[first], differ[first]))
@@ -270,31 +300,38 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
     null, is in a component of its own. A row without doc_id takes part in no link; its component_id is null and
     it is kept. Rows that repeat a doc_id share a component.
     """
+    cuts = Cuts.of(percent)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where("doc_id is not null")
-    signed = written(signatures(docs, k), "signatures")
+    salted = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    signed = written(signatures(docs, k, cuts).withColumn("salt", salted), "signatures")
     named = ["n_shingles", "name_a", "name_b"]
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*named).agg(F.min("doc_id").alias("rep"))
+    # Copies are counted in parts, so that no task has all documents of one set.
+    parts = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*named, "salt").agg(F.min("doc_id").alias("rep"))
+    sets = parts.groupBy(*named).agg(F.min("rep").alias("rep"))
     reps = signed.join(sets.select(F.col("rep").alias("doc_id"), *[F.col(c).alias(f"of_{c}") for c in named]), "doc_id")
     reps = written(reps.where(" and ".join(f"{c} = of_{c}" for c in named)).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "keys").dropDuplicates(["rep", "n_shingles"]), "reps")
 
-    rows = reps.select("rep", F.explode("keys").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = rows.join(shared, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    rows = written(rows.select("bucket", "members", "rep", "n_shingles", "sketch"), "buckets")
+    rows = reps.select("rep", "n_shingles", F.explode("keys").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1")
+    rows = rows.select("rep", "bucket").join(shared, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    rows = written(rows.select("bucket", "members", "total", "rep", "n_shingles", "sketch"), "buckets")
     links, found = None, None
     for turn in range(LEADER_ROUNDS):
         near = written(led_pairs(_placed(rows, found), reps, turn, percent), "near")
         if found is None or not near.isEmpty():
             links, found = _linked(links, confirmed(near, known, k, percent))
+        discard(near)
 
     placed = _placed(rows.where("members > 2"), found)
     live = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     open_rows = placed.join(live, "bucket").join(reps.select("rep", "keys"), "rep")
     links, found = _linked(links, tiled_links(open_rows, known, k, percent))
+    discard(rows, reps, links)
 
-    out = signed.select("doc_id", *named).join(sets, named, "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    out = out.join(found.select(F.col("id").alias("rep"), F.col("component").alias("of_rep")), "rep", "left").withColumn("component_id", F.coalesce("of_rep", "rep"))
+    placed = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*named, F.coalesce("component", "rep").alias("of_set"))
+    placed = parts.select(*named, "salt").join(placed, named)
+    out = signed.select("doc_id", *named, "salt").join(placed, [*named, "salt"], "left").withColumn("component_id", F.coalesce("of_set", "doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -307,15 +344,20 @@ def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def _linked(links: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All links so far, and the components that they make."""
-    links = written(new if links is None else links.union(new), "links")
-    return links, components(links)
+    both = written(new if links is None else links.union(new), "links")
+    discard(new, links)
+    return both, components(both)
 
 
 def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The rows of docs, with all columns, that classes() keeps: one document of each component."""
+    """The rows of docs, with all columns, that classes() keeps: one document of each component.
+
+    Rows without doc_id stay; all rows of a kept doc_id stay, repeats too. A doc_id that has a row to drop goes with all of them.
+    """
     out = written(classes(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of documents, as classes() has them, on four-word shingles."""
     return classes(table(spark, sf_dir, "documents"), k=4)
