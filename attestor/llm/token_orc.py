@@ -22,11 +22,11 @@ END_ID = 2
 STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1000
 BLOOM_FPP = 0.01
-FILE_SCHEMA = "doc_id bigint, n_tokens bigint, token_ids array<int>"
+FILE_SCHEMA = "doc_id bigint, text_hash bigint, n_tokens bigint, token_ids array<int>"
 
 
 def tokenized(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, token_ids of each row of docs(doc_id, text), with end_id appended.
+    """doc_id, text_hash, n_tokens, token_ids of each row of docs(doc_id, text), with end_id appended.
 
     A null or empty text gives the end id alone; repeated rows stay repeated; a null doc_id stays null.
     """
@@ -34,20 +34,22 @@ def tokenized(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path, kind)
         for batch in batches:
-            for lo, hi, ids, at in encoder.encode(batch.column(1)):
+            for lo, hi, ids, at in encoder.encode(batch.column(2)):
                 full = np.insert(ids, at[1:], end_id).astype(np.int32)
                 bounds = at + np.arange(len(at))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), lists(full, bounds, pa.int32())], names=["doc_id", "n_tokens", "token_ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(np.diff(bounds)), lists(full, bounds, pa.int32())], names=["doc_id", "text_hash", "n_tokens", "token_ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, FILE_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text"), "text").mapInArrow(encode, FILE_SCHEMA)
 
 
 def write_tokens(docs: DataFrame, vocabulary: str, out: str, kind: str = "byte", end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:
     """Writes docs(doc_id, text) to the folder out, in ascending doc_id order over files and within them.
 
-    Nulls in doc_id come first; rows of equal doc_id are ordered by a hash of their text.
+    Nulls in doc_id come first; rows of equal doc_id are ordered by text_hash, a hash of their text, so that a doc_id which
+    many rows share is spread over files too.
     """
-    ranged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("tie", F.xxhash64("text"))
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = tokenized(ranged, vocabulary, kind, end_id).write.mode("error")
     options = {"orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": row_group, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP}
@@ -63,33 +65,38 @@ def read_tokens(spark: SparkSession, out: str, where: Column | None = None) -> D
 def with_starts(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds start, the number of ids in all documents before, to rows of checksums(stored).
 
-    File totals come from the n_tokens column alone; files hold disjoint ascending ranges, so one row a file
-    places them and running sums stay within files.
+    File totals come from narrow columns alone; files hold disjoint ascending ranges, so one row a file places them and
+    running sums stay within files. The order is the files' own: doc_id, then text_hash; rows equal in both have equal ids.
     """
-    totals = stored.groupBy(F.col("_metadata.file_name").alias("of_file")).agg(F.min("doc_id").alias("least"), F.sum("n_tokens").alias("ids"))
-    ahead = Window.orderBy(F.asc_nulls_first("least"), "of_file").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("doc_id", "text_hash")  # nulls come first, as in the files
+    totals = stored.groupBy(F.col("_metadata.file_name").alias("of_file")).agg(F.min(place).alias("least"), F.max(place).alias("most"), F.sum("n_tokens").alias("ids"))
+    ahead = Window.orderBy("least", "most", "of_file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("of_file", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return summed.join(totals, F.col("file") == F.col("of_file")).withColumn("start", F.col("before") + F.col("within")).drop("of_file", "before", "within")
 
 
 def checksums(stored: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and the file of each stored row."""
+    """doc_id, text_hash, n_tokens, ids_crc32 and the file of each stored row."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(1)
+            ids = batch.column(2)
             at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
             raw = memoryview(flat.tobytes())
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(crcs, type=pa.int64()), batch.column(2)], names=["doc_id", "n_tokens", "ids_crc32", "file"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crcs, type=pa.int64()), batch.column(3)], names=["doc_id", "text_hash", "n_tokens", "ids_crc32", "file"])
 
-    read = stored.select("doc_id", "token_ids", F.col("_metadata.file_name").alias("file"))
-    return read.mapInArrow(sums, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, file string")
+    read = stored.select("doc_id", "text_hash", "token_ids", F.col("_metadata.file_name").alias("file"))
+    return read.mapInArrow(sums, "doc_id bigint, text_hash bigint, n_tokens bigint, ids_crc32 bigint, file string")
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of documents, from its ORC files read back.
+
+    A null or empty text is the end id alone; null ids come first, rows of one id in the order of text_hash.
+    """
     import public_tokenizers
 
     out = scratch(spark, "tokens")
