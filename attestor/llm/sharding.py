@@ -14,8 +14,10 @@ from pyspark.sql.types import StructType
 
 from attestor.llm.common import scratch, table
 
-BUCKET_BYTES = 8 << 20
-LEAST_BUCKETS = 64
+#: Bytes of a bucket, which a task holds in memory, and how many buckets there are at least and at most: beyond 12 TB they
+#: grow with the input (500 MB at 100 TB), so that neither the shuffle's blocks nor the table of bucket starts do.
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 64, 200_000
 SEED = 20_240_611
 
 
@@ -28,7 +30,7 @@ def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, least: int =
     """Buckets for whole records: text, and the other columns by their length as text."""
     others = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in docs.columns if c not in ("doc_id", "text", "size")]
     total = sized(docs).agg(F.sum(sum(others, F.col("size")))).first()[0] or 0
-    return max(least, -(-total // bucket_bytes))
+    return min(MOST_BUCKETS, max(least, -(-total // bucket_bytes)))
 
 
 def scattered(docs: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
@@ -60,6 +62,7 @@ def write_shards(docs: DataFrame, out: str, n_shards: int = 8, seed: int = SEED,
     docs = sized(records(docs))
     n_buckets = bucket_count(docs, bucket_bytes)
     counts = scattered(docs, n_buckets, seed).groupBy("bucket").agg(F.count("*").alias("n"))
+    # one row a bucket, MOST_BUCKETS at most
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -85,6 +88,10 @@ def read_shards(spark: SparkSession, out: str, schema: StructType | None = None)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of documents, read back from the shards.
+
+    Rows with null ids or texts, and repeated rows, are rows like any other.
+    """
     out, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents")
     write_shards(docs, out)
     return read_shards(spark, out, records(docs).schema).select(
