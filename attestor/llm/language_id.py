@@ -8,8 +8,7 @@ out of its host's prior.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,11 +19,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import chunked, table, written
 from attestor.llm.toxicity import lowered_safely
 
-#: Each trigram model is fitted on at most so many of the rows that declare its language, the first by a hash of doc_id.
-#: Up to 1,000 (spark.sql.optimizer.windowGroupLimitThreshold) Spark draws them before the shuffle.
+#: Each trigram model is fitted on at most so many of the rows that declare its language, drawn by a hash of doc_id and text.
 FIT_ROWS = 1000
-#: Texts of more bytes aren't fitted on (all are identified), so that the driver's memory is bounded too.
-FIT_BYTES = 1 << 20
 #: A language is modelled if so many of all rows declare it.
 LEAST_ROWS = 5
 GRAMS = 1 << 16
@@ -37,6 +33,8 @@ TEMPER = 1 / 3
 SMOOTH = 5.0
 #: A language is accepted from this posterior on.
 LEAST_POSTERIOR = 0.5
+#: Parts that the rows of a key are dealt over.
+SALTS = 32
 #: So many ids at most (8 bytes each) are broadcast; beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -68,20 +66,12 @@ class TextModel:
     floors: np.ndarray
 
     @staticmethod
-    def fit(rows: Iterable[tuple[str, str]]) -> TextModel:
-        """Of (language, text). Rows count in turn for one of two halves; each half is scored by a model of the other."""
-        seen: Counter[str] = Counter()
-        halves: dict[str, np.ndarray] = {}
-        for lang, text in rows:
-            buf = np.frombuffer(text.encode(), dtype=np.uint8)
-            g, _ = grams(buf, np.array([0, len(buf)]))
-            held = halves.setdefault(lang, np.zeros((2, GRAMS), dtype=np.int32))
-            held[seen[lang] % 2] += np.bincount(g, minlength=GRAMS).astype(np.int32)
-            seen[lang] += 1
-        langs = sorted(k for k, n in seen.items() if n >= LEAST_ROWS) or sorted(seen)
+    def of(counts: dict[str, np.ndarray]) -> TextModel:
+        """Of trigram counts by language, a row for each half of its texts. Each half is scored by a model of the other."""
+        langs = sorted(counts)
         table, floors = np.zeros((GRAMS, max(1, len(langs))), dtype=np.float32), np.full(max(1, len(langs)), EVEN)
         for i, lang in enumerate(langs):
-            held = halves[lang]
+            held = counts[lang]
             table[:, i] = _logs(held.sum(axis=0))
             own = (held[0] @ _logs(held[1]) + held[1] @ _logs(held[0])) / held.sum() if held.any() else EVEN
             floors[i] = own - UNEXPLAINED * max(0.0, own - EVEN)
@@ -104,21 +94,50 @@ def _logs(counts: np.ndarray) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
-    """The trigram models of docs(doc_id, text, declared), on at most `rows` rows of each language.
+    """The trigram models of docs(doc_id, text, declared), on at most `rows` rows of each language, drawn by a hash.
 
-    A language needs LEAST_ROWS rows among all; where none has them, those of the first `rows` rows are modelled.
+    Whole texts of any length count. A language needs LEAST_ROWS rows among all; where none has them, those of the first
+    `rows` rows are modelled. Executors count the trigrams, so the driver gets GRAMS counts for each half of a language at most.
     """
-    sample = docs.where("declared is not null and text is not null").where(F.octet_length("text") <= FIT_BYTES).withColumn("draw", F.xxhash64("doc_id"))
-    one = Window.partitionBy("declared")
-    ids = sample.select("doc_id", "declared", "draw").withColumn("rank", F.row_number().over(one.orderBy("draw", "doc_id"))).where(F.col("rank") <= rows)
-    ids = written(ids.withColumn("n", F.count("*").over(one)), "drawn")
+    sample = docs.where("declared is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
+    # Twice as many rows as wanted are drawn by hash, so that no task ranks all rows of a frequent language.
+    share = sample.groupBy("declared").agg(F.count("*").alias("n")).select(F.col("declared").alias("k_declared"), "n", F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n")).alias("share"))
+    chance = F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) / float(1 << 30)
+    some = sample.select("declared", "draw").join(share, F.col("declared") == F.col("k_declared")).where(chance < F.col("share"))
+    one = Window.partitionBy("declared").orderBy("draw")
+    ids = written(some.withColumn("rank", F.row_number().over(one)).where(F.col("rank") <= rows).select("declared", "draw", "rank", "n"), "drawn")
     drawn = ids.where(F.col("n") >= LEAST_ROWS)
     if drawn.isEmpty():
-        drawn = ids.orderBy("draw", "doc_id", "declared").limit(rows)
-    drawn = drawn.select(F.col("doc_id").alias("k_doc_id"), F.col("declared").alias("k_declared")).distinct()
-    texts = sample.join(F.broadcast(drawn), F.col("doc_id").eqNullSafe(F.col("k_doc_id")) & (F.col("declared") == F.col("k_declared")), "left_semi")
-    texts = texts.select("declared", "text", F.row_number().over(one.orderBy("draw", "doc_id", "text")).alias("rank")).where(F.col("rank") <= rows)
-    return TextModel.fit((r.declared, r.text) for r in texts.select("declared", "text").toLocalIterator())
+        drawn = ids.orderBy("draw", "declared").limit(rows)
+    # repeated rows count in the same half
+    drawn = drawn.groupBy("draw", "declared").agg((F.min("rank") % 2).cast("int").alias("half"))
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn
+    texts = sample.join(drawn, ["draw", "declared"]).select("declared", "half", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            sums: dict[tuple[str, int], np.ndarray] = {}
+            for lo, hi, buf, offs in chunked(batch.column(2)):
+                g, at = grams(buf, offs)
+                for i in range(lo, hi):
+                    sums.setdefault(keys[i], np.zeros(GRAMS, dtype=np.int64))[:] += np.bincount(g[at[i - lo] : at[i - lo + 1]], minlength=GRAMS)
+            for (lang, half), n in sums.items():
+                full = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), type=pa.string()), pa.array(np.full(len(full), half, dtype=np.int32)), pa.array(full.astype(np.int32)), pa.array(n[full])], names=["declared", "half", "gram", "n"])
+
+    def pack(key, rows):
+        import pandas as pd
+
+        n = np.zeros(GRAMS, dtype="<i8")
+        n[rows["gram"]] = rows["n"]
+        return pd.DataFrame({"declared": [key[0]], "half": [key[1]], "counts": [n.tobytes()]})
+
+    summed = texts.mapInArrow(count, "declared string, half int, gram int, n bigint").groupBy("declared", "half", "gram").agg(F.sum("n").alias("n"))
+    counts: dict[str, np.ndarray] = {}
+    for r in summed.groupBy("declared", "half").applyInPandas(pack, "declared string, half int, counts binary").collect():
+        counts.setdefault(r.declared, np.zeros((2, GRAMS), dtype=np.int64))[r.half] = np.frombuffer(r.counts, dtype="<i8")
+    return TextModel.of(counts)
 
 
 def evidence(docs: DataFrame, model: TextModel) -> DataFrame:
@@ -137,6 +156,11 @@ def evidence(docs: DataFrame, model: TextModel) -> DataFrame:
     return docs.select("doc_id", "text", "declared", "suffix", "host").mapInArrow(weigh, "doc_id bigint, declared string, suffix string, host string, n_grams bigint, likely array<double>")
 
 
+def domain(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.regexp_extract(host, r"([^.]+(?:\.[^.]+)?)$", 1)
+
+
 def _normal(logs: Column) -> Column:
     """Probabilities from logs."""
     top = F.array_max(logs)
@@ -144,10 +168,10 @@ def _normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(rows: DataFrame, keys: list[str], name: str, width: int) -> DataFrame:
-    """Summed posteriors of the rows of each key, as one array."""
-    parts = [F.sum(F.col("own")[i]).alias(f"s{i}") for i in range(width)]
-    return rows.groupBy(*keys).agg(*parts).select(*keys, F.array(*[f"s{i}" for i in range(width)]).alias(name))
+def _sums(rows: DataFrame, keys: list[str], of: str, width: int) -> DataFrame:
+    """Summed arrays of the rows of each key, as one array `sums`."""
+    parts = [F.sum(F.col(of)[i]).alias(f"s{i}") for i in range(width)]
+    return rows.groupBy(*keys).agg(*parts).select(*keys, F.array(*[f"s{i}" for i in range(width)]).alias("sums"))
 
 
 def _total(a: Column) -> Column:
@@ -179,7 +203,7 @@ def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     width = len(model.languages) + 1
     names = F.array(*map(F.lit, model.languages), F.lit(None).cast("string"))
     zeros = F.array(*[F.lit(0.0)] * width)
-    rows = written(evidence(docs, model), "evidence").withColumn("domain", F.regexp_extract("host", r"([^.]+(?:\.[^.]+)?)$", 1))
+    rows = written(evidence(docs, model), "evidence")
     rows = rows.withColumn("own", F.when(F.col("n_grams") > 0, _normal(F.col("likely"))).otherwise(zeros))
 
     # one row: what share of all documents has each language
@@ -188,14 +212,18 @@ def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     base = [((x or 0.0) + 1.0) / (total + width) for x in every]
     base_column = F.array(*map(F.lit, base))
 
-    hosts = _sums(rows.where("host is not null"), ["host"], "of_host", width)
-    domains = _sums(rows.where("host is not null"), ["domain"], "of_domain", width)
-    out = rows
-    for key, sums in (("host", hosts), ("domain", domains)):
-        out = out.join(sums.withColumnRenamed(key, f"k_{key}"), F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
-    for key in ("declared", "suffix"):
-        sums = _sums(rows.where(F.col(key).isNotNull()), [key], f"of_{key}", width)
-        out = out.join(sums.withColumnRenamed(key, f"k_{key}"), F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
+    # Sums of all keys come from one table of the keys that occur together, in SALTS parts: it is small beside the rows,
+    # and rows of a frequent host are joined with its parts, not in one task.
+    together = ["host", "declared", "suffix", "salt"]
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_grams"), F.lit(SALTS)).cast("int"))
+    parts = written(_sums(rows, together, "own", width).withColumn("domain", domain(F.col("host"))), "keys")
+    keyed = parts.drop("sums")
+    for key in ("host", "domain", "declared", "suffix"):
+        of_key = _sums(parts.where(F.col(key).isNotNull()), [key], "sums", width).select(F.col(key).alias(f"k_{key}"), F.col("sums").alias(f"of_{key}"))
+        keyed = keyed.join(of_key, F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
+    keyed = keyed.select(*[F.col(k).alias(f"k_{k}") for k in together], *[f"of_{k}" for k in ("host", "domain", "declared", "suffix")])
+    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in together]
+    out = rows.join(keyed, same[0] & same[1] & same[2] & same[3]).drop(*[f"k_{k}" for k in together])
 
     without_own = lambda c: F.zip_with(F.coalesce(F.col(c), F.col("own")), "own", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     for key, above in (("domain", base_column), ("host", F.col("p_domain"))):
@@ -249,6 +277,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, language, posterior, text_language and accepted of every row of documents, as identified() has them."""
     return identified(from_documents(table(spark, sf_dir, "documents")))
 
 
