@@ -111,30 +111,38 @@ def blocks(benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOL
         yield Index.of([(r.item_id, r.text) for r in rows.collect()], k, percent)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id of each document and item of whose shingles it holds percent or more.
+def contained(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id and items, the sorted distinct ids of the items of whose shingles it holds percent or more, of each row of docs.
 
-    Null and empty texts, and items without words, match nothing. An item of fewer than k words matches only a
-    document of just these words. Repeated rows of either table give a pair once.
+    Each row has a row of its own, whatever its doc_id: null ids and repeated rows are judged by their own texts. Null and
+    empty texts, and items without words, match nothing; an item of fewer than k words matches only a document of just these
+    words. Without items, or without rows, there is nothing to find.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast("array<bigint>").alias("items"))
     for index in blocks(benchmark, k, percent, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                pairs = [(ids[row], item) for row, items in shared.value.matches(batch.column(1)) for item in items]
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type=pa.int64()) for i in (0, 1)], names=["doc_id", "item_id"])
+                items = batch.column(2).to_pylist()
+                for row, found in shared.value.matches(batch.column(1)):
+                    items[row] = sorted({*items[row], *found})
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(items, type=pa.list_(pa.int64()))], names=["doc_id", "text", "items"])
+
+        docs = docs.mapInArrow(search, "doc_id bigint, text string, items array<bigint>")
+    return docs.select("doc_id", "items")
+
 
-        part = docs.mapInArrow(search, "doc_id bigint, item_id bigint")
-        found = part if found is None else found.union(part)
-    return found.distinct()
+def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, item_id of each pair that contained() finds, once."""
+    return contained(docs, benchmark, k, percent, block_items).select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of docs, with all columns, whose text contains no item; each block filters what the one before kept."""
+    """The rows of docs, with all columns, whose text contains no item; each block filters what the one before kept.
+
+    Rows are judged by their own texts, as in contained(): null and empty texts stay, repeated rows go or stay together.
+    """
     at = docs.columns.index("text")
     for index in blocks(benchmark, k, percent, block_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -150,10 +158,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    rows = docs.select("doc_id").join(found, "doc_id", "left")
-    return rows.select("doc_id", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.col("items").cast("array<string>"), ","), F.lit("")).alias("item_ids"), F.col("items").isNotNull().alias("leaked"))
+    """doc_id, n_items, item_ids and leaked of every row of documents, each judged by its own text, as contained() has it."""
+    rows = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("item_ids"), (F.size("items") > 0).alias("leaked"))
 
 
 #: The same by joining all shingles of all documents with those of the items.
