@@ -100,7 +100,7 @@ def plan(counts: dict[int, int], most: int = SEQUENCE_TOKENS) -> list[tuple[list
 
 
 def pieces(docs: DataFrame, vocabulary: str, kind: str = "word", most: int = SEQUENCE_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of each row of docs(doc_id, text).
+    """doc_id, piece, start, length, ids_crc32 (and token_ids) of the pieces of each row of docs(doc_id, text).
 
     A null or empty text is one piece of the end id. Only rows longer than most are cut.
     """
@@ -123,10 +123,10 @@ def pieces(docs: DataFrame, vocabulary: str, kind: str = "word", most: int = SEQ
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(full)).astype(np.int32)), pa.array(full.view(np.int32))))
-                    names.append("ids")
+                    names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", token_ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
@@ -148,7 +148,8 @@ def _places(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int,
 def packed(cut: DataFrame, most: int = SEQUENCE_TOKENS) -> DataFrame:
     """The rows of pieces(), as written to storage, with sequence_id and offset.
 
-    Every piece is in one sequence, offsets are gapless from 0, no sequence exceeds most. An empty input gives none.
+    Every piece is in one sequence, offsets are gapless from 0, no sequence exceeds most. An empty input gives none; pieces
+    of null ids and repeated rows are packed like any other.
     """
     spark = cut.sparkSession
     keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int"))
@@ -172,6 +173,7 @@ def pack(docs: DataFrame, vocabulary: str, kind: str = "word", most: int = SEQUE
 
 
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every row of documents and their places; a null or empty text is one piece, repeated rows repeat."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
