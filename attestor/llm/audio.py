@@ -1,7 +1,8 @@
 """Telephony audio columns: mu-law and A-law expanded by lookup tables, IMA ADPCM decoded across blocks, resampled PCM.
 
 A media column holds RIFF/WAVE bytes. Payload bytes are stored as they are, one 8-bit sample each, so storing is
-lossless. Decoders work on the bytes of many rows at once: companded samples by one table lookup, ADPCM by one
+lossless. Resampled PCM is stored losslessly coded by one step of integer lifting, as lossless codecs do: every other
+sample, and what the rest differ from the mean of their neighbours. Decoders work on the bytes of many rows at once: companded samples by one table lookup, ADPCM by one
 numpy step for the same nibble of all blocks.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from attestor.llm.common import CHUNK_BYTES, scratch, table
+from attestor.llm.common import CHUNK_BYTES, release, scratch, table
 
 #: Format codes of RIFF/WAVE.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 0x11
@@ -26,7 +27,7 @@ RATE, PCM_RATE = 8000, 16000
 UNIT = 64
 BLOCK = 64
 #: Row groups of stored PCM, which a task holds in memory until they are written.
-ROW_GROUP_BYTES = 16 << 20
+ROW_GROUP_BYTES, ZSTD_LEVEL = 16 << 20, 6
 
 
 def mu_law_table() -> np.ndarray:
@@ -90,8 +91,8 @@ def wave(payload: bytes, code: int = MU_LAW, rate: int = RATE, block: int = 1, b
     return b"RIFF" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
 
 
-def parse_wave(media: bytes | memoryview) -> tuple[int, int, int, memoryview]:
-    """(format code, rate, block size, payload). ValueError for anything else than RIFF/WAVE with fmt and data."""
+def _chunks(media: bytes | memoryview) -> tuple[tuple[int, int, int, int, int, int], memoryview]:
+    """The fields of fmt, and the payload. ValueError for anything else than RIFF/WAVE with fmt and data."""
     view = memoryview(media)
     if view[:4] != b"RIFF" or view[8:12] != b"WAVE":
         raise ValueError("not RIFF/WAVE")
@@ -101,24 +102,66 @@ def parse_wave(media: bytes | memoryview) -> tuple[int, int, int, memoryview]:
         if name == b"fmt ":
             fmt = struct.unpack_from("<HHIIHH", view, at + 8)
         if name == b"data" and fmt:
-            return fmt[0], fmt[2], fmt[4], view[at + 8 : at + 8 + size]
+            return fmt, view[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
 
 
+def parse_wave(media: bytes | memoryview) -> tuple[int, int, int, memoryview]:
+    """(format code, rate, block size, payload). ValueError for anything else than RIFF/WAVE with fmt and data."""
+    fmt, payload = _chunks(media)
+    return fmt[0], fmt[2], fmt[4], payload
+
+
 def samples_of(media: bytes) -> tuple[int, np.ndarray]:
-    """(rate, 16-bit samples) of one media value in any of the four formats."""
-    code, rate, block, payload = parse_wave(media)
+    """(rate, 16-bit samples) of one media value in any of the four formats; ValueError for other depths and channel counts."""
+    (code, channels, rate, _, block, bits), payload = _chunks(media)
     raw = np.frombuffer(payload, dtype=np.uint8)
+    if channels != 1:
+        raise ValueError(f"{channels} channels")
     if code == MU_LAW:
         return rate, MU_TABLE[raw]
     if code == A_LAW:
         return rate, A_TABLE[raw]
-    if code == PCM:
+    if code == PCM and bits == 16:
         return rate, raw[: len(raw) // 2 * 2].view("<i2")
-    if code == IMA_ADPCM:
-        return rate, decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel()
-    raise ValueError(f"format {code}")
+    if code == PCM and bits == 8:
+        return rate, ((raw.astype(np.int16) - 128) << 8).astype(np.int16)
+    if code == IMA_ADPCM and block > 4:
+        whole = len(raw) // block * block
+        parts = [decode_adpcm(raw[:whole].reshape(-1, block)).ravel()]
+        if len(raw) - whole >= 4:  # the last block may be shorter
+            parts.append(decode_adpcm(raw[whole:].reshape(1, -1)).ravel())
+        return rate, np.concatenate(parts)
+    raise ValueError(f"format {code} of {bits} bits")
+
+
+#: Head of coded PCM: mark, rate and number of samples.
+_CODED = struct.Struct("<4sII")
+
+
+def coded(x: np.ndarray, rate: int) -> bytes:
+    """16-bit samples, losslessly: the even ones, then the odd ones less the mean of their neighbours, modulo 2**16."""
+    even, odd = x[::2].astype(np.int32), x[1::2].astype(np.int32)
+    return _CODED.pack(b"LPCM", rate, len(x)) + even.astype("<i2").tobytes() + (odd - _between(even, len(odd))).astype("<i2").tobytes()
+
+
+def uncoded(value: bytes | memoryview) -> tuple[int, np.ndarray]:
+    """(rate, 16-bit samples) of coded PCM; ValueError for other bytes."""
+    view = memoryview(value)
+    if len(view) < _CODED.size or view[:4] != b"LPCM":
+        raise ValueError("not coded PCM")
+    _, rate, n = _CODED.unpack_from(view)
+    held = np.frombuffer(view[_CODED.size :], dtype="<i2").astype(np.int32)
+    out, half = np.empty(n, dtype=np.int16), (n + 1) // 2
+    out[::2] = held[:half]
+    out[1::2] = (held[half:] + _between(held[:half], n // 2)).astype(np.int16)
+    return rate, out
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """Means of neighbouring even samples; after the last, itself."""
+    return (even[:n] + np.append(even[1:], even[-1:])[:n]) >> 1
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -133,17 +176,6 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return (a + (b - a) * part // to).astype(np.int16)
 
 
-def doubled(x: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """resample() to twice the rate of many signals at once; last marks each signal's final sample."""
-    a = x.astype(np.int32)
-    step = np.zeros_like(a)
-    step[:-1] = a[1:] - a[:-1]
-    step[last] = 0
-    out = np.empty(2 * len(a), dtype=np.int16)
-    out[::2], out[1::2] = a, a + step // 2
-    return out
-
-
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -155,13 +187,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encoded(docs: DataFrame, rate: int | None = None) -> DataFrame:
     """doc_id, n_bytes and media: the UTF-8 bytes of text, zero-padded to a positive multiple of UNIT, as mu-law WAVE.
 
-    With a rate, also pcm, as with_pcm() gives it, made in the same pass. Null and empty texts become one unit of zeros;
+    With a rate, also pcm, coded as store_pcm() has it, made in the same pass. Null and empty texts become one unit of zeros;
     repeated rows stay repeated.
     """
     docs, schema = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id bigint, n_bytes bigint, media binary"
     if rate is None:
         return docs.mapInArrow(_encode, schema)
-    return docs.mapInArrow(lambda batches: _add_pcm(_encode(batches), rate), f"{schema}, pcm binary")
+    return docs.mapInArrow(lambda batches: _add_pcm(_encode(batches), rate, coded), f"{schema}, pcm binary")
 
 
 def _parts(sizes: list[int], limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -175,7 +207,11 @@ def _parts(sizes: list[int], limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int
         yield lo, len(sizes)
 
 
-def _add_pcm(batches: Iterator[pa.RecordBatch], rate: int) -> Iterator[pa.RecordBatch]:
+def _wave_pcm(x: np.ndarray, rate: int) -> bytes:
+    return wave(x.astype("<i2").tobytes(), PCM, rate, 2, 16)
+
+
+def _add_pcm(batches: Iterator[pa.RecordBatch], rate: int, form: Callable[[np.ndarray, int], bytes]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = batch.column(batch.schema.get_field_index("media"))
         for lo, hi in _parts([len(v.as_buffer() or b"") for v in values], CHUNK_BYTES):
@@ -183,17 +219,17 @@ def _add_pcm(batches: Iterator[pa.RecordBatch], rate: int) -> Iterator[pa.Record
             for value in values.slice(lo, hi - lo).to_pylist():
                 try:
                     own, x = samples_of(value or b"")
-                    out.append(wave(resample(x, own, rate).astype("<i2").tobytes(), PCM, rate, 2, 16))
+                    out.append(form(resample(x, own, rate), rate))
                 except (ValueError, struct.error):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, "pcm"])
             del out
-            pa.default_memory_pool().release_unused()
+            release()
 
 
-def with_pcm(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
+def with_pcm(media: DataFrame, rate: int = PCM_RATE, form: Callable[[np.ndarray, int], bytes] = _wave_pcm) -> DataFrame:
     """All columns of media with pcm, WAVE bytes of 16-bit samples at the rate; null where media can't be read."""
-    return media.mapInArrow(lambda batches: _add_pcm(batches, rate), StructType([*media.schema.fields, StructField("pcm", BinaryType())]))
+    return media.mapInArrow(lambda batches: _add_pcm(batches, rate, form), StructType([*media.schema.fields, StructField("pcm", BinaryType())]))
 
 
 def pcm_column(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
@@ -202,9 +238,24 @@ def pcm_column(media: DataFrame, rate: int = PCM_RATE) -> DataFrame:
 
 
 def store_pcm(media: DataFrame, out: str, rate: int = PCM_RATE) -> None:
-    """Writes all columns of media and its resampled PCM, made here if there is none yet, to Parquet."""
-    rows = media if "pcm" in media.columns else with_pcm(media, rate)
-    rows.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(out)
+    """Writes all columns of media and its resampled PCM, losslessly coded, to Parquet; restored() gives it back as WAVE."""
+    rows = media if "pcm" in media.columns else with_pcm(media, rate, coded)
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(ZSTD_LEVEL), "parquet.block.size": str(ROW_GROUP_BYTES)}
+    rows.write.options(**options).parquet(out)
+
+
+def restored(stored: DataFrame) -> DataFrame:
+    """stored, as store_pcm() wrote it, with pcm as WAVE bytes; null where it is null."""
+    at = stored.columns.index("pcm")
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in _parts([len(v.as_buffer() or b"") for v in batch.column(at)], CHUNK_BYTES):
+                part = batch.slice(lo, hi - lo)
+                out = [v if v is None else _wave_pcm(*uncoded(v)[::-1]) for v in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(out, type=pa.binary()))
+
+    return stored.mapInArrow(restore, stored.schema)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -220,7 +271,7 @@ def features(media: DataFrame) -> DataFrame:
             for lo, hi in _parts([len(v) for v in values]):
                 yield _measured(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), values[lo:hi], pcm[lo:hi])
             del values, pcm, batch
-            pa.default_memory_pool().release_unused()
+            release()
 
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(measure, schema)
@@ -243,7 +294,7 @@ def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer], pcm: li
     crossings = np.add.reduceat(turns, at[:-1])
     feature = []
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        crcs = (zlib.crc32(parse_wave(memoryview(pcm[i]))[3]), zlib.crc32(law[2 * a : 2 * b]), zlib.crc32(adpcm[a // BLOCK * width : b // BLOCK * width]))
+        crcs = (zlib.crc32(uncoded(memoryview(pcm[i]))[1].astype("<i2").tobytes()), zlib.crc32(law[2 * a : 2 * b]), zlib.crc32(adpcm[a // BLOCK * width : b // BLOCK * width]))
         feature.append(f"{crcs[0]:08x}:{crcs[1]:08x}:{crcs[2]:08x}:{int((power[i] / sizes[i]) ** 0.5)}:{peak[i]}:{crossings[i]}")
     return pa.RecordBatch.from_arrays(
         [
@@ -261,6 +312,7 @@ def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer], pcm: li
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every row's stored media and PCM, as features() has them; null and empty texts are one unit of zeros."""
     out = scratch(spark, "media")
     store_pcm(encoded(table(spark, sf_dir, "documents"), PCM_RATE), out)
     return features(spark.read.schema("doc_id bigint, n_bytes bigint, media binary, pcm binary").parquet(out))
