@@ -37,6 +37,39 @@ def test_memoised_encoding_equals_the_library(name, kind):
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def mirrored(n):
+    """Two words of n bytes that any polynomial hash modulo a power of two takes for one: the Thue-Morse word and its complement."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+@pytest.mark.parametrize("broken", [False, True])
+def test_words_of_equal_hash_keep_their_ids(monkeypatch, name, kind, broken):
+    import pyarrow as pa
+
+    if broken:  # even if all hashes of a length were equal
+        monkeypatch.setattr(encoding, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    texts = [*mirrored(2048), "ab ba abab baba", " ".join(mirrored(512)), *mirrored(16)]
+    encoder, plain, got = encoding.Encoder(vocabularies.path(name), kind), library(name), []
+    for _ in range(2):
+        got = [ids[at[i] : at[i + 1]].tolist() for lo, hi, ids, at in encoder.encode(pa.array(texts)) for i in range(hi - lo)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_span_hashes_tell_spans_apart():
+    from attestor.llm import common
+
+    rng = random.Random(3)
+    spans = [bytes(rng.choices(b"ab", k=rng.randint(1, 40))) for _ in range(4000)] + [w.encode() for n in (8, 64, 256, 257, 2048) for w in mirrored(n)] + [b"a", b"a\0", b"\0", b"\0\0"]
+    buf = np.frombuffer(b"".join(spans), dtype=np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    h = common.span_hashes(buf, ends - [len(x) for x in spans], ends)
+    assert len(set(h.tolist())) == len(set(spans)) == len(set(zip(h.tolist(), spans, strict=True)))
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     import pyarrow as pa
 
@@ -58,6 +91,21 @@ def test_op1(spark, corpus):
     assert token_orc.op1_token_orc(spark, corpus([])).count() == 0
 
 
+def test_op1_starts_follow_the_files(spark, corpus, monkeypatch, tmp_path):
+    """Also where ids repeat or are null: each row's ids lie at its start among all ids of the files in order."""
+    monkeypatch.setattr(token_orc, "scratch", lambda spark, name: str(tmp_path / name))
+    extra = [(3, sentence(i, 5 + i), "en", "x", 1) for i in range(40)] + [(None, sentence(i, 3), None, None, None) for i in range(10)] + [(3, "same", "en", "x", 1)] * 3
+    rows = token_orc.op1_token_orc(spark, corpus(ODD, extra=extra)).collect()
+    files = sorted((tmp_path / "tokens").glob("*.orc"))
+    held = [r for f in files for r in spark.read.schema(token_orc.FILE_SCHEMA).orc(str(f)).collect()]
+    assert [(r.doc_id is not None, r.doc_id or 0, r.text_hash) for r in held] == sorted((r.doc_id is not None, r.doc_id or 0, r.text_hash) for r in held)
+    want, start = [], 0
+    for r in held:
+        want.append((str(r.doc_id), start, r.n_tokens, zlib.crc32(np.array(r.token_ids, dtype="<u4").tobytes())))
+        start += r.n_tokens
+    assert sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in rows) == sorted(want)
+
+
 def test_token_files_prune_by_id(spark, corpus, tmp_path):
     docs = spark.read.parquet(corpus([sentence(i) for i in range(50)]) + "/documents.parquet")
     token_orc.write_tokens(docs, vocabularies.path("byte_bpe_50k.json"), str(tmp_path / "t"))
@@ -92,6 +140,38 @@ def test_op2_shards_hold_whole_records(spark, corpus, monkeypatch, tmp_path):
     assert sorted((r.doc_id or -1, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id or -1, r.shard, r.slot) for r in rows)
 
 
+def test_op2_order_is_a_shuffle(spark, corpus):
+    rows = sharding.op2_sharding(spark, corpus([sentence(i) for i in range(400)])).collect()
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))]
+    ups = sum(a < b for a, b in zip(order, order[1:], strict=False))
+    assert sorted(order) == list(range(400)) and 150 < ups < 250
+    means = [np.mean(order[50 * k : 50 * k + 50]) for k in range(8)]
+    assert all(130 < m < 270 for m in means)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from attestor.llm import common
+
+    def session(master, folder=None):
+        none = SimpleNamespace(isDefined=lambda: False)
+        sc = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=sc)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://host"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.scratch(session(master), "x")
+    assert common.scratch(session("yarn", "hdfs:///c/"), "x").startswith("hdfs:///c/attestor/x-")
+    assert common.scratch(session("local[4]"), "x").startswith("file:///")
+
+
+def doubled(x):
+    """Linear interpolation to twice the rate; the last sample is held."""
+    x = [int(v) for v in x]
+    return np.array([v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, a + (b - a) // 2)], dtype=np.int16)
+
+
 def test_op9(spark, corpus):
     rows = {r.doc_id: r for r in audio.op9_audio(spark, corpus(ODD)).collect()}
     for i, t in enumerate(ODD):
@@ -107,14 +187,14 @@ def test_op9_stores_the_pcm_that_it_digests(spark, corpus, monkeypatch, tmp_path
     monkeypatch.setattr(audio, "scratch", lambda spark, name: str(tmp_path / name))
     rows = {r.doc_id: r for r in audio.op9_audio(spark, corpus(ODD)).collect()}
     held = spark.read.parquet(str(tmp_path / "media"))
-    stored = {r.doc_id: r for r in held.collect()}
+    stored = {r.doc_id: r for r in audio.restored(held).collect()}
     assert sorted(stored) == list(range(len(ODD)))
     for i, r in stored.items():
         payload = np.frombuffer(audio.parse_wave(bytes(r.media))[3], dtype=np.uint8)
-        samples = audio.doubled(audio.MU_TABLE[payload], np.array([len(payload) - 1])).astype("<i2").tobytes()
+        samples = doubled(audio.MU_TABLE[payload]).astype("<i2").tobytes()
         assert bytes(r.pcm) == audio.wave(samples, audio.PCM, 16000, 2, 16)
         assert rows[i].feature.split(":")[0] == f"{zlib.crc32(samples):08x}"
-    other = audio.wave(b"\1\0", audio.PCM, 16000, 2, 16)
+    other = audio.coded(np.array([1], dtype=np.int16), 16000)
     changed = audio.features(held.withColumn("pcm", F.lit(other))).collect()
     assert {r.feature.split(":")[0] for r in changed} == {f"{zlib.crc32(bytes([1, 0])):08x}"}
 
@@ -140,10 +220,55 @@ def test_decoders():
     assert [int(audio.MU_TABLE[c]) for c in (0x00, 0x80, 0x7F, 0xFF, 0x8F)] == [-32124, 32124, 0, 0, 16764]
     assert [int(audio.A_TABLE[c]) for c in (0xD5, 0x55, 0xAA, 0x2A)] == [8, -8, 32256, -32256]
     x = rng.integers(-30000, 30000, 100).astype(np.int16)
-    assert audio.resample(x, 8000, 16000).tolist() == audio.doubled(x, np.array([99])).tolist()
+    assert audio.resample(x, 8000, 16000).tolist() == doubled(x).tolist()
     assert audio.resample(x, 8000, 8000).tolist() == x.tolist()
 
 
+def test_feature_is_what_its_parts_say(spark, corpus):
+    """Every part of `feature`, by plain loops over the payload."""
+    texts = ["abc", sentence(4, 60), "é" * 70, None]
+    for r in audio.op9_audio(spark, corpus(texts)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        raw = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        mu, a = ([int(t[b]) for b in raw] for t in (audio.MU_TABLE, audio.A_TABLE))
+        adpcm = [v for i in range(0, len(raw), 64) for v in plain_adpcm(raw[i : i + 64])]
+        crcs = [zlib.crc32(np.array(v, dtype="<i2").tobytes()) for v in (doubled(mu), a, adpcm)]
+        root, peak = int((sum(v * v for v in mu) / len(mu)) ** 0.5), max(map(abs, mu))
+        turns = sum((p < 0) != (q < 0) for p, q in zip(mu, mu[1:], strict=False))
+        assert r.feature == ":".join(f"{c:08x}" for c in crcs) + f":{root}:{peak}:{turns}"
+
+
+def test_coded_pcm_is_lossless():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 100, 1001):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        rate, back = audio.uncoded(audio.coded(x, 16000))
+        assert rate == 16000 and back.tolist() == x.tolist()
+    with pytest.raises(ValueError):
+        audio.uncoded(b"junk")
+
+
+def test_partial_blocks_and_other_depths():
+    raw = bytes(range(100))
+    found = audio.samples_of(audio.wave(raw, audio.IMA_ADPCM, 8000, 64, 4, 121))[1].tolist()
+    assert found == plain_adpcm(raw[:64]) + plain_adpcm(raw[64:])
+    assert audio.samples_of(audio.wave(b"\0\x80\xff", audio.PCM, 8000, 1, 8))[1].tolist() == [-32768, 0, 32512]
+    with pytest.raises(ValueError):
+        audio.samples_of(audio.wave(raw, audio.PCM, 8000, 3, 24))
+    stereo = bytearray(audio.wave(raw, audio.PCM, 8000, 2, 16))
+    stereo[22] = 2
+    with pytest.raises(ValueError):
+        audio.samples_of(bytes(stereo))
+
+
+def test_outputs_take_empty_tables_null_ids_and_repeats(spark, corpus):
+    extra = [(None, "no id", None, None, None), (None, None, None, None, None), (2, "twice", "en", "x", 1), (2, "twice", "en", "x", 1)]
+    for query in (token_orc.op1_token_orc, sharding.op2_sharding, audio.op9_audio, packing.op10_best_two_fit):
+        assert query(spark, corpus([])).count() == 0
+        ids = sorted(str(r.doc_id) for r in query(spark, corpus(["a", "b", "c"], extra=extra)).collect())
+        assert ids == sorted(["0", "1", "2", "2", "2", "None", "None"]), query.__name__
+
+
 def test_pcm_column(spark):
     raw = bytes(range(256))
     media = [(1, audio.wave(raw)), (2, audio.wave(raw, audio.A_LAW)), (3, audio.wave(raw, audio.IMA_ADPCM, 8000, 64, 4, 121)), (4, b"junk"), (5, None)]
