@@ -57,22 +57,28 @@ def scale_claims(text: Column) -> Column:
     return _pairs(F.lower(text), rf"\b(\d+)\s+({'|'.join(ENTITIES)})\b")
 
 
-def organizations(text: Column, any_script: bool = False) -> Column:
-    """Runs of capitalised ASCII words; words end and are parted as `ORGANIZATION` has it, or as all scripts do."""
-    return F.slice(_all(text, ORGANIZATION_ANY_SCRIPT if any_script else ORGANIZATION, 1), 1, ORGANIZATIONS_MOST)
+def organizations(text: Column, any_script: bool = False, most: int | None = ORGANIZATIONS_MOST) -> Column:
+    """Runs of capitalised ASCII words, the first `most` (all if that is None); words end and are parted as `ORGANIZATION` has it, or as all scripts do."""
+    found = _all(text, ORGANIZATION_ANY_SCRIPT if any_script else ORGANIZATION, 1)
+    return found if most is None else F.slice(found, 1, most)
 
 
-def facts(text: Column, full_years: bool = False) -> Column:
-    """All facts of a text as one struct, so that each pattern runs once a row."""
-    return F.struct(
-        percentages(text).alias("percentages"),
-        numbers(text).alias("numbers"),
-        years(text, full_years).alias("years"),
-        absolutes(text).alias("absolutes"),
-        stat_claims(text).alias("stat_claims"),
-        scale_claims(text).alias("scale_claims"),
-        organizations(text).alias("organizations"),
-    )
+def facts(text: Column, full_years: bool = False, names: tuple[str, ...] = (), organization_limit: int | None = ORGANIZATIONS_MOST) -> Column:
+    """Facts of a text as one struct, so that each pattern runs once a row: those named, or all."""
+    made = {
+        "percentages": lambda: percentages(text),
+        "numbers": lambda: numbers(text),
+        "years": lambda: years(text, full_years),
+        "absolutes": lambda: absolutes(text),
+        "stat_claims": lambda: stat_claims(text),
+        "scale_claims": lambda: scale_claims(text),
+        "organizations": lambda: organizations(text, most=organization_limit),
+    }
+    return F.struct(*[f().alias(name) for name, f in made.items() if name in names or not names])
+
+
+#: What signals() compares.
+OF_CLAIM, OF_SOURCE = ("percentages", "years", "absolutes", "scale_claims", "organizations"), ("percentages", "years", "scale_claims")
 
 
 def _quoted(items: Column) -> Column:
@@ -85,7 +91,7 @@ def _count(digits: Column) -> Column:
 
 
 def signals(claim: Column, source: Column, source_text: Column) -> list[tuple[str, Column]]:
-    """(weight's name, messages) of each check, in the order of reporting; claim and source are facts()."""
+    """(weight's name, messages) of each check, in the order of reporting; claim and source are facts(). Messages are fixed values."""
     known = source["percentages"]
     new = F.array_except(F.transform(claim["percentages"], F.trim), known)
     some = F.size(known) > 0

@@ -31,10 +31,10 @@ def words(text: Column) -> Column:
     return F.size(F.split(text, " "))
 
 
-def claims(text: Column, limit: int = CLAIM_LIMIT) -> Column:
-    """The distinct sentences of claim length, in order of first appearance, the first `limit`."""
+def claims(text: Column, limit: int | None = CLAIM_LIMIT) -> Column:
+    """The distinct sentences of claim length, in order of first appearance, the first `limit`; all if that is None."""
     long = F.filter(sentences(text), lambda s: words(s).between(*CLAIM_WORDS))
-    return F.slice(F.array_distinct(long), 1, limit)
+    return F.array_distinct(long) if limit is None else F.slice(F.array_distinct(long), 1, limit)
 
 
 def tokens(text: Column) -> Column:

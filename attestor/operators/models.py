@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.sources.scratch import stored
 
 ENTAILMENT, CONTRADICTION, NEUTRAL = "ENTAILMENT", "CONTRADICTION", "NEUTRAL"
 CLAIM = ["response_id", "doc_id", "claim_no"]
@@ -135,16 +137,19 @@ def judge_by_rule(gated: DataFrame) -> DataFrame:
 
 @dataclass
 class Judge:
-    """A real judge: call(prompt) gives a reply, with at most `calls` partitions asking at a time.
+    """A real judge: call(prompt) gives a reply, with at most `calls` partitions asking at a time, `pause` seconds apart each.
 
-    An error becomes an UNKNOWN verdict whose reasoning names it, and the claim goes on.
+    Equal prompts are asked once. Replies are written to the shared scratch folder when the plan is made and then joined,
+    so that no later action asks the service again. An error becomes an UNKNOWN verdict whose reasoning names it, and the
+    claim goes on.
     """
 
     call: Callable[[str], str]
     calls: int = 4
+    pause: float = 0.0
 
     def __call__(self, gated: DataFrame) -> DataFrame:
-        call = self.call
+        call, pause = self.call, self.pause
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -154,12 +159,13 @@ class Judge:
                         replies.append(call(text))
                     except Exception as e:  # noqa: BLE001  any failure of a remote service
                         replies.append("REASONING: API error: " + str(e).replace("\n", " "))
+                    time.sleep(pause)
                 yield batch.assign(raw=replies)
 
-        asked = gated.select(*CLAIM, prompt(F.col("parents"), F.col("claim")).alias("prompt")).repartition(self.calls)
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-        out = asked.mapInPandas(ask, f"{kept}, raw string").drop("prompt")
-        return gated.join(out, CLAIM)
+        # the claims with their prompts are made once too: asking and joining must see the same
+        asked = stored(gated.select(*CLAIM, prompt(F.col("parents"), F.col("claim")).alias("prompt")), "prompts")
+        replies = stored(asked.select("prompt").distinct().repartition(self.calls).mapInPandas(ask, "prompt string, raw string"), "replies")
+        return gated.join(asked.join(replies, "prompt").drop("prompt"), CLAIM)
 
 
 def remote_judge(url: str, model: str, key_name: str = "JUDGE_API_KEY", calls: int = 4, seconds: float = 60.0) -> Judge:

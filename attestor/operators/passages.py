@@ -26,7 +26,13 @@ def chunks(docs: DataFrame, window: int = T.WINDOW, overlap: int = T.OVERLAP, si
     return rows.select("doc_id", "idx", "chunk.text", "chunk.parent", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"))
 
 
-def claims(responses: DataFrame, limit: int = T.CLAIM_LIMIT) -> DataFrame:
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """doc_id, chunks (text and parent, by position) of the rows of docs(doc_id, text) that have any."""
+    found = docs.select("doc_id", T.sentences(F.col("text")).alias("found"))
+    return found.select("doc_id", T.chunks(F.col("found")).alias("chunks")).where(F.size("chunks") > 0)
+
+
+def claims(responses: DataFrame, limit: int | None = T.CLAIM_LIMIT) -> DataFrame:
     """response_id, doc_id, claim_no, claim of the claims of responses(response_id, doc_id, text)."""
     return responses.select("response_id", "doc_id", F.posexplode(T.claims(F.col("text"), limit)).alias("claim_no", "claim"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from attestor.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC_SHARE, KEYWORD_SHARE, TOP_K = 0.6, 0.4, 3
+#: Queries of a vector search that are broadcast at a time.
+QUERY_BLOCK = 4096
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
@@ -33,21 +36,72 @@ def inverse_frequencies(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("raw", raw).withColumn("mean", mean).select("doc_id", "token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(claims: DataFrame) -> DataFrame:
-    """response_id, claim_no, doc_id, token, n: a query's tokens with their repeats counted."""
-    rows = claims.select("response_id", "claim_no", "doc_id", F.explode(T.tokens(F.col("claim"))).alias("token"))
-    return rows.groupBy("response_id", "claim_no", "doc_id", "token").agg(F.count("*").alias("n"))
+def searchable(lists: DataFrame) -> DataFrame:
+    """doc_id, chunks (text, parent, tokens), norms, vocabulary, avgdl and mean_idf of passages.chunk_lists(), made within the row.
+
+    mean_idf is over the document's distinct tokens: sorted, a token's run is as long as the chunks that hold it are many.
+    """
+    counted = lambda c, t: (F.size(c) - F.size(F.array_remove(c, t))).cast("double")
+    rows = lists.select("doc_id", F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"), T.tokens(c["text"]).alias("tokens"))).alias("chunks"))
+    sorted_tokens = F.sort_array(F.flatten(F.transform("chunks", lambda c: F.array_distinct(c["tokens"]))))
+    norm = lambda c: F.sqrt(F.aggregate(F.array_distinct(c["tokens"]), F.lit(0.0), lambda a, t: a + F.pow(counted(c["tokens"], t), F.lit(2))))
+    rows = rows.select("doc_id", "chunks", F.transform("chunks", norm).alias("norms"), sorted_tokens.alias("runs"))
+    first = lambda t, i: (i == 0) | (t != F.get("runs", i - 1))
+    marked = F.transform("runs", lambda t, i: F.when(first(t, i), i))
+    starts = F.array_append(F.array_compact(marked), F.size("runs"))
+    rows = rows.select("doc_id", "chunks", "norms", F.array_distinct("runs").alias("vocabulary"), starts.alias("starts"))
+    n = F.size("chunks")
+    raw = F.transform(F.slice("starts", F.lit(1), F.size("starts") - 1), lambda s, i: _raw_idf(n, F.get("starts", i + 1) - s))
+    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x) / (F.size("starts") - 1)
+    length = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.size(c["tokens"])) / n
+    return rows.select("doc_id", "chunks", "norms", "vocabulary", length.alias("avgdl"), total.alias("mean_idf"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once a row: an expression inside a lambda is made anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
-def bm25(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """response_id, claim_no, doc_id, idx, bm25 of the chunks that share a token with the claim; others score 0."""
-    chunks = chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = term_counts(chunks)
-    stats = corpus_stats(chunks)
-    idf = inverse_frequencies(counts, stats)
-    hits = query_terms(claims).join(counts, ["doc_id", "token"]).join(idf, ["doc_id", "token"]).join(stats, "doc_id")
-    part = F.col("n") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hits.groupBy("response_id", "claim_no", "doc_id", "idx").agg(F.sum(part).alias("bm25"))
+def scored(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """Columns of claims, those of searchable(docs), and scores: bm25, semantic and shared of each chunk, by position.
+
+    One join on doc_id brings a claim to the chunks of its own document; both scores are then made within the row.
+    """
+    terms = F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("token"), (F.size("words") - F.size(F.array_remove("words", t))).alias("n")))
+    asked = claims.withColumn("words", T.tokens(F.col("claim"))).withColumn("terms", terms)
+    asked = asked.withColumn("q_norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["n"] * t["n"]))).drop("words")
+    rows = asked.join(searchable(docs), "doc_id")
+    n = F.size("chunks")
+    df = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), F.size(F.filter("chunks", lambda c: F.array_contains(c["tokens"], t["token"]))).alias("df"))
+    raw = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), _raw_idf(n, t["df"]).alias("raw"))
+    idf = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), F.when(t["raw"] < 0, EPSILON * F.col("mean_idf")).otherwise(t["raw"]).alias("idf"))
+    # terms that the document lacks add nothing to a score
+    present = bound(F.array_intersect(F.transform("terms", lambda t: t["token"]), F.col("vocabulary")), lambda known: F.filter("terms", lambda t: F.array_contains(known, t["token"])))
+    weighed = F.transform(F.transform(F.transform(present, df), raw), idf)
+
+    def add(sums: Column, h: Column, length: Column) -> Column:
+        part = h["n"] * h["idf"] * h["f"] * (K1 + 1) / (h["f"] + K1 * (1 - B + B * length / F.col("avgdl")))
+        return F.struct((sums["bm25"] + F.when(h["f"] > 0, part).otherwise(0.0)).alias("bm25"), (sums["dot"] + h["n"] * h["f"]).alias("dot"))
+
+    def score(c: Column, terms: Column) -> Column:
+        size = F.size(c["tokens"])
+        found = F.transform(terms, lambda t: F.struct(t["n"].alias("n"), t["idf"].alias("idf"), F.when(F.array_contains(c["tokens"], t["token"]), size - F.size(F.array_remove(c["tokens"], t["token"]))).otherwise(0).alias("f")))
+        none = F.struct(F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("dot"))
+        return F.aggregate(found, none, lambda sums, h: add(sums, h, size))
+
+    rows = rows.withColumn("sums", bound(weighed, lambda terms: F.transform("chunks", lambda c: score(c, terms))))
+    whole = lambda s, i: F.struct(s["bm25"].alias("bm25"), F.when(s["dot"] > 0, s["dot"] / (F.get("norms", i) * F.col("q_norm"))).otherwise(0.0).alias("semantic"), (s["dot"] > 0).alias("shared"))
+    return rows.withColumn("scores", F.transform("sums", whole)).drop("terms", "q_norm", "sums", "norms", "vocabulary", "avgdl", "mean_idf")
+
+
+def shared_scores(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """response_id, claim_no, doc_id, idx, bm25, semantic of the chunks of passages.chunk_lists() that share a token with the claim."""
+    rows = scored(claims, docs).select("response_id", "claim_no", "doc_id", F.posexplode("scores").alias("idx", "score"))
+    return rows.where("score.shared").select("response_id", "claim_no", "doc_id", "idx", "score.bm25", "score.semantic")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,49 +112,104 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest vectors (by cosine) of each row of queries(query_id, q, q_label).
 
-    The stated queries are few and broadcast; scores are cut to the best k in each task before the shuffle.
+    Queries are taken in blocks of about `block` rows, each one pass over the vectors: a task multiplies its batches by the
+    block's matrix and keeps the k best of each query, equal scores with the lower vec_id first. Null and zero vectors have
+    no cosine and are found by none.
     """
-    pairs = vectors.join(F.broadcast(queries), (F.col("label") == F.col("q_label")) if same_label else F.lit(True))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for i in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        rows = [r for r in part.select("query_id", "q", "q_label").collect() if r.q and any(r.q)]
+        if not rows:
+            continue
+        ids, labels = np.array([r.query_id for r in rows]), np.array([r.q_label for r in rows])
+        matrix = np.array([r.q for r in rows], dtype=np.float64)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, labels, (matrix / np.linalg.norm(matrix, axis=1, keepdims=True)).T))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, labels, matrix = shared.value
+            held = pd.DataFrame({"at": [], "vec_id": [], "score": []}).astype({"at": "int64", "vec_id": "int64", "score": "float64"})
+            for batch in batches:
+                batch = batch[batch["embedding"].notna()]
+                x = np.stack(batch["embedding"].to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, len(matrix)))
+                size = np.linalg.norm(x, axis=1)
+                x, batch = x[size > 0] / size[size > 0, None], batch[size > 0]
+                scores = np.round(x @ matrix, 6)
+                if same_label:
+                    scores[batch["label"].to_numpy()[:, None] != labels[None, :]] = -np.inf
+                # all that reach the k-th best of the batch, ties too
+                least = -np.partition(-scores, k - 1, axis=0)[k - 1] if len(scores) > k else np.full(len(ids), -2.0)
+                at, row = np.nonzero(((scores >= least) & (scores > -np.inf)).T)
+                new = pd.DataFrame({"at": at, "vec_id": batch["vec_id"].to_numpy()[row], "score": scores[row, at]})
+                held = pd.concat([held, new]).sort_values(["at", "score", "vec_id"], ascending=[True, False, True]).groupby("at").head(k)
+            yield pd.DataFrame({"query_id": ids[held["at"]] if len(held) else held["vec_id"], "vec_id": held["vec_id"], "score": held["score"]})
+
+        scored = vectors.select("vec_id", "embedding", "label").mapInPandas(best, "query_id bigint, vec_id bigint, score double")
+        found = scored if found is None else found.union(scored)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
 
+def _near_and_likely(claims: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The chunks that can be among the k best texts of each claim: the 2k nearest, and the first 3k texts by BM25.
 
-def token_cosine(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The default semantic provider: cosine of raw token counts, for pairs that share a token."""
-    counts = term_counts(chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi"))
-    norms = counts.groupBy("doc_id", "idx").agg(F.sqrt(F.sum(F.col("f") * F.col("f"))).alias("norm"))
-    terms = query_terms(claims)
-    q_norms = terms.groupBy("response_id", "claim_no").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("q_norm"))
-    shared = terms.join(counts, ["doc_id", "token"]).groupBy("response_id", "claim_no", "doc_id", "idx").agg(F.sum(F.col("n") * F.col("f")).alias("both"))
-    out = shared.join(norms, ["doc_id", "idx"]).join(q_norms, ["response_id", "claim_no"])
-    return out.select("response_id", "claim_no", "doc_id", "idx", (F.col("both") / (F.col("norm") * F.col("q_norm"))).alias("semantic"))
+    A text outside the nearest counts by BM25 alone, and 2k texts at most are inside, so the first 3k hold the k best outside.
+    """
+    def first(scores: Column, name: str) -> Column:
+        """Positions by falling score, then by place."""
+        return F.transform(F.array_sort(F.transform(scores, lambda s: F.struct((-s[name]).alias("turned"), s["idx"].alias("idx")))), lambda s: s["idx"])
+
+    def likely(scores: Column, texts: Column) -> Column:
+        found = F.slice(F.array_distinct(F.transform(first(scores, "bm25"), lambda i: F.get(texts, i))), 1, 3 * k)
+        return F.transform(found, lambda t: (F.array_position(texts, t) - 1).cast("int"))
+
+    def taken(i: Column, scores: Column, texts: Column, nearest: Column, top: Column) -> Column:
+        c, s, near = F.get("chunks", i), F.get(scores, i), F.array_position(nearest, i)
+        place = (F.array_position(texts, F.get(texts, i)) - 1).cast("int")  # a text's first place orders texts of equal score
+        return F.struct(place.alias("idx"), c["text"].alias("text"), c["parent"].alias("parent"), s["bm25"].alias("bm25"), s["semantic"].alias("semantic"), F.when(near > 0, near).alias("near"), top.alias("top"))
+
+    def chosen(scores: Column, texts: Column) -> Column:
+        top = F.aggregate(scores, F.lit(float("-inf")), lambda a, s: F.greatest(a, s["bm25"]))
+        all_of = lambda nearest: bound(top, lambda t: F.transform(F.array_union(nearest, likely(scores, texts)), lambda i: taken(i, scores, texts, nearest, t)))
+        return bound(F.slice(first(scores, "semantic"), 1, 2 * k), all_of)
+
+    rounded = F.transform("scores", lambda s, i: F.struct(F.round(s["bm25"], 9).alias("bm25"), F.round(s["semantic"], 9).alias("semantic"), i.alias("idx")))
+    texts = F.transform("chunks", lambda c: c["text"])
+    rows = scored(claims, docs).withColumn("taken", bound(rounded, lambda scores: bound(texts, lambda t: chosen(scores, t))))
+    return rows.select("response_id", "doc_id", "claim_no", "claim", F.explode("taken").alias("c")).select("response_id", "doc_id", "claim_no", "claim", "c.*")
+
+
+def _all_scored(claims: DataFrame, docs: DataFrame, k: int, semantic: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """All chunks of each claim's document with BM25 and a provider's scores."""
+    by, pair = ["response_id", "claim_no"], ["response_id", "claim_no", "doc_id", "idx"]
+    chunks = docs.select("doc_id", F.posexplode("chunks").alias("idx", "c")).select("doc_id", "idx", "c.text", "c.parent")
+    own = chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = claims.join(own, "doc_id").join(shared_scores(claims, docs).drop("semantic"), pair, "left").join(semantic(claims, own), pair, "left").na.fill(0.0, ["bm25", "semantic"])
+    rows = rows.withColumn("semantic", F.round("semantic", 9)).withColumn("bm25", F.round("bm25", 9))
+    near = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("semantic"), "idx"))
+    return rows.withColumn("top", F.max("bm25").over(Window.partitionBy(*by))).withColumn("near", near).withColumn("near", F.when(F.col("near") <= 2 * k, F.col("near")))
 
 
-def hybrid(claims: DataFrame, chunks: DataFrame, k: int = TOP_K, semantic: DataFrame | None = None) -> DataFrame:
+def hybrid(claims: DataFrame, docs: DataFrame, k: int = TOP_K, semantic: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """response_id, doc_id, claim_no, claim, rank, idx, text, parent, score of the k best chunk texts of each claim.
 
-    Semantic scores count only for the 2k nearest chunks, and only those bring their paragraph; equal texts are one
-    hit. Equal scores are ordered by position. Chunks of a claim's own document alone are compared, by one equi-join.
+    docs is passages.chunk_lists(). Semantic scores, by default the cosine of token counts, count only for the 2k nearest
+    chunks, and only those bring their paragraph; equal texts are one hit. Equal scores are ordered by position, and scores
+    are rounded before they are ranked: sums in another order must not change the order of equal ones.
     """
     by = ["response_id", "claim_no"]
-    pair = [*by, "doc_id", "idx"]
-    semantic = token_cosine(claims, chunks) if semantic is None else semantic
-    pairs = claims.join(chunks.select("doc_id", "idx", "text", "parent"), "doc_id")
-    scored = pairs.join(bm25(claims, chunks), pair, "left").join(semantic, pair, "left").na.fill(0.0, ["bm25", "semantic"])
-    # Scores are rounded before they are ranked: sums in another order must not change the order of equal ones.
-    scored = scored.withColumn("semantic", F.round("semantic", 9)).withColumn("bm25", F.round("bm25", 9))
-    near = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("semantic"), "idx"))
-    top = F.max("bm25").over(Window.partitionBy(*by))
-    scored = scored.withColumn("near", near).withColumn("top", top)
-    inside = F.col("near") <= 2 * k
-    texts = scored.groupBy(*by, "doc_id", "claim", "text").agg(
+    found = _near_and_likely(claims, docs, k) if semantic is None else _all_scored(claims, docs, k, semantic)
+    inside = F.col("near").isNotNull()
+    texts = found.groupBy(*by, "doc_id", "claim", "text").agg(
         F.min("idx").alias("idx"),
         F.max(F.when(inside, F.col("semantic"))).alias("semantic"),
-        F.max_by(F.when(inside, F.col("parent")), F.when(inside, F.col("near"))).alias("parent"),
+        F.max_by(F.when(inside, F.col("parent")), "near").alias("parent"),
         F.max("bm25").alias("bm25"),
         F.max("top").alias("top"),
     )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.functions.text import normalized
+
 SECTIONS = 5
 HIGH, MID = 60, 30
+# Fixed value: the report's title.
 REPORT_TITLE = "VERIFICATION REPORT"
 
 
@@ -55,8 +58,14 @@ def has_correction() -> Column:
     return F.col("correction").isNotNull() & ~F.col("correction").isin("", "N/A")
 
 
-def corrected(responses: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """response_id and its text with every occurrence of each wrong claim replaced by its correction, in claim order."""
+def corrected(responses: DataFrame, verdicts: DataFrame, normalise: bool = False) -> DataFrame:
+    """response_id and its text with every occurrence of each wrong claim replaced by its correction, in claim order.
+
+    Claims are of the text with its white space made even; with normalise they are looked for there, so that a line break
+    inside a claim doesn't hide it.
+    """
+    if normalise:
+        responses = responses.withColumn("text", normalized(F.col("text")))
     wrong = verdicts.where((F.col("verdict") == "Hallucinated") & has_correction())
     fixes = wrong.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("claim_no", "claim", "correction"))).alias("fixes"))
     note = lambda fix: F.concat(F.lit("**[CORRECTED: "), fix["correction"], F.lit("]**"))

@@ -42,7 +42,10 @@ def _score(case: int, points: Column, c: Column, h: Column) -> Column:
 
 
 def verdict(label: Column, nli_score: Column, evidence: Column, points: Column, signals: Column, judged: Column, llm_verdict: Column, reasoning: Column, confidence: Column, correction: Column) -> Column:
-    """The verdict of a claim as a struct. judged: whether there is a judge's result; its fields may be null otherwise."""
+    """The verdict of a claim as a struct. judged: whether there is a judge's result; its fields may be null otherwise.
+
+    The explanations' texts are fixed values.
+    """
     up = F.upper(label)
     c = F.coalesce(up == CONTRADICTION, F.lit(False))
     h = judged & F.coalesce(llm_verdict == "HALLUCINATED", F.lit(False))

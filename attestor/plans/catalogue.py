@@ -14,7 +14,9 @@ from attestor.operators.verdict import needs_judge, verdict
 from attestor.plans import fixtures as X
 from attestor.plans import sql as S
 from attestor.plans.verify import Options, Providers, checked, hits, verify
-from attestor.sources.inputs import table
+from attestor.sources.inputs import spread, table
+from attestor.sources.scratch import scratch
+from attestor.sources.store import ChunkStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +53,12 @@ def _own_chunks(spark: SparkSession, d: str) -> DataFrame:
     return passages.chunks(_docs(spark, d).join(_claims(spark, d).select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
+def _pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    claims = _claims(spark, d)
+    own = _docs(spark, d).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    return retrieval.shared_scores(claims, passages.chunk_lists(own))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     return hits(_docs(spark, d), _claims(spark, d), Providers(), Options())
 
@@ -120,9 +128,10 @@ def page_line_clean(spark, d):
     return rows.select("doc_id", *_long("line_no"), "line")
 
 
-@query(f"WITH p AS (SELECT doc_id % 7 AS doc_id, doc_id AS page, array_to_string({_LINES}, ' ') AS text FROM documents) SELECT doc_id, string_agg(text, ' ' ORDER BY page) AS text FROM p WHERE text <> '' GROUP BY doc_id")
+@query(f"WITH p AS (SELECT doc_id // 7 AS doc_id, doc_id AS page, array_to_string({_LINES}, ' ') AS text FROM documents) SELECT doc_id, string_agg(text, ' ' ORDER BY page) AS text FROM p WHERE text <> '' GROUP BY doc_id")
 def page_text(spark, d):
-    pages = _docs(spark, d).select((F.col("doc_id") % 7).alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    """Seven neighbouring documents as the pages of one."""
+    pages = _docs(spark, d).select(F.floor(F.col("doc_id") / 7).alias("doc_id"), F.col("doc_id").alias("page"), "text")
     return passages.page_texts(pages)
 
 
@@ -144,20 +153,32 @@ def claims_distinct_limit(spark, d):
     return _doc_claims(spark, d).select("response_id", *_long("claim_no"), "claim")
 
 
+def _store(spark: SparkSession, d: str) -> ChunkStore:
+    """A store of all documents' chunks, in a scratch folder."""
+    store = ChunkStore(spark, scratch(spark, "store"), buckets=16)
+    store.upsert(passages.chunks(_docs(spark, d)))
+    return store
+
+
+def _stored_counts(store: ChunkStore) -> DataFrame:
+    return store.read().groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("chunks"))
+
+
 @query(CHUNKS_OF_ALL + "SELECT DISTINCT doc_id FROM chunk")
 def list_documents(spark, d):
-    return passages.chunks(_docs(spark, d)).select("doc_id").distinct()
+    return _store(spark, d).documents().select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
 @query(CHUNKS_OF_ALL + "SELECT CAST(count(*) AS BIGINT) AS chunks FROM chunk")
 def count_chunks(spark, d):
-    return passages.chunks(_docs(spark, d)).agg(F.count("*").alias("chunks"))
+    return _store(spark, d).read().agg(F.count("*").alias("chunks"))
 
 
 @query(CHUNKS_OF_ALL + "SELECT doc_id, CAST(count(*) AS BIGINT) AS chunks FROM chunk WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY doc_id")
 def delete_document(spark, d):
-    gone = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return passages.chunks(_docs(spark, d)).join(gone, "doc_id", "left_anti").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    store = _store(spark, d)
+    store.delete(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+    return _stored_counts(store)
 
 
 @query(
@@ -167,11 +188,26 @@ def delete_document(spark, d):
 )
 def upsert_chunks(spark, d):
     """Stored chunks after documents are replaced by the benchmark's items of their number."""
-    docs = _docs(spark, d)
+    store = _store(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    fresh = items.join(docs.select("doc_id"), "doc_id", "left_semi")
-    old = passages.chunks(docs.select("doc_id", "text")).join(fresh.select("doc_id"), "doc_id", "left_anti")
-    return old.union(passages.chunks(fresh)).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    fresh = items.join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
+    store.delete(fresh)  # an item without sentences has no chunks to put in the place of the old ones
+    store.upsert(passages.chunks(fresh))
+    return _stored_counts(store)
+
+
+@query(
+    f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(vec_id % 7 AS VARCHAR) AS doc_id FROM embeddings), q AS (SELECT e FROM v ORDER BY vec_id LIMIT 1) "
+    "SELECT CAST(vec_id AS BIGINT) AS vec_id, doc_id, round(score, 4) AS score FROM (SELECT vec_id, doc_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, q WHERE doc_id = '3') ORDER BY score DESC, vec_id LIMIT 5"
+)
+def store_search(spark, d):
+    """The first vector's nearest ones among the stored chunks of one document."""
+    rows = table(spark, d, "embeddings")
+    store = ChunkStore(spark, scratch(spark, "store"), buckets=4)
+    name = F.col("vec_id").cast("string")
+    store.upsert(rows.select((F.col("vec_id") % 7).cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("idx"), name.alias("text"), name.alias("parent"), name.alias("chunk_id"), "embedding"))
+    asked = rows.orderBy("vec_id").select("embedding").first()[0]
+    return store.search(asked, 5, "3").select(*[F.col("idx").cast("long").alias("vec_id")], "doc_id", F.round("score", 4).alias("score"))
 
 
 def _fact_query(name: str) -> None:
@@ -187,20 +223,22 @@ for _name in ("percentages", "numbers", "years", "absolutes", "stat_claims", "sc
     _fact_query(_name)
 
 
-@query(f"SELECT doc_id, array_to_string({S.facts_sql('text')['organizations']}, '; ') AS found FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
-def fact_orgs_documents(spark, d):
-    rows = _docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("doc_id", F.array_join(K.organizations(F.col("text")), "; ").alias("found"))
+def _document_fact_query(name: str) -> None:
+    def found(spark, d, name=name):
+        text = F.col("text")
+        fact = K.organizations(text, any_script=True) if name == "organizations" else K.facts(text, names=(name,))[name]
+        return _docs(spark, d).select("doc_id", fact.alias(name)).select("doc_id", _flat(name))
 
+    found.__name__ = "fact_orgs_documents" if name == "organizations" else f"fact_{name}_documents"
+    query(f"WITH texts AS (SELECT doc_id, {S.bordered('text')} AS text FROM documents) SELECT doc_id, array_to_string({S.facts_sql('text')[name]}, '; ') AS found FROM texts")(found)
 
-@query()
-def fact_orgs_all_documents(spark, d):
-    """Of every document in any script; DuckDB's word borders know ASCII only, so the SQL twin above stops there."""
-    return _docs(spark, d).select("doc_id", F.array_join(K.organizations(F.col("text"), any_script=True), "; ").alias("found"))
+
+for _name in ("percentages", "numbers", "years", "absolutes", "stat_claims", "scale_claims", "organizations"):
+    _document_fact_query(_name)
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("own", K.facts(F.col("claim"))).withColumn("of_source", K.facts(F.col("source")))
+    rows = rows.withColumn("own", K.facts(F.col("claim"), names=K.OF_CLAIM)).withColumn("of_source", K.facts(F.col("source"), names=K.OF_SOURCE))
     return rows.withColumn("compared", K.compared(F.col("own"), F.col("of_source"), F.col("source")))
 
 
@@ -253,7 +291,7 @@ def bm25_idf(spark, d):
 
 @query(_BM + "SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, doc_id, CAST(idx AS BIGINT) AS idx, round(bm25, 4) AS score FROM bm")
 def bm25_scores(spark, d):
-    return retrieval.bm25(_claims(spark, d), passages.chunks(_docs(spark, d))).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("bm25", 4).alias("score"))
+    return _pair_scores(spark, d).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("bm25", 4).alias("score"))
 
 
 @query(_BM + "SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, doc_id, CAST(idx AS BIGINT) AS idx, round(bm25 / CASE WHEN max(bm25) OVER w > 0 THEN max(bm25) OVER w ELSE 1 END, 4) AS score FROM bm WINDOW w AS (PARTITION BY response_id, claim_no)")
@@ -261,7 +299,7 @@ def bm25_normalized(spark, d):
     from pyspark.sql import Window
 
     top = F.max("bm25").over(Window.partitionBy("response_id", "claim_no"))
-    rows = retrieval.bm25(_claims(spark, d), passages.chunks(_docs(spark, d)))
+    rows = _pair_scores(spark, d)
     return rows.select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round(F.col("bm25") / F.when(top > 0, top).otherwise(1.0), 4).alias("score"))
 
 
@@ -293,7 +331,7 @@ def vector_topk_filtered(spark, d):
 
 @query(_BM[:-1] + f", {S.SEMANTIC} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, doc_id, CAST(idx AS BIGINT) AS idx, round(semantic, 4) AS score FROM sem")
 def semantic_scores(spark, d):
-    return retrieval.token_cosine(_claims(spark, d), passages.chunks(_docs(spark, d))).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("semantic", 4).alias("score"))
+    return _pair_scores(spark, d).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("semantic", 4).alias("score"))
 
 
 @query(f"WITH {S.ALL_HITS} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(rank AS BIGINT) AS rank, text, parent, score FROM hits")
@@ -429,7 +467,24 @@ def claim_cards(spark, d):
     return rows.select("response_id", *_long("claim_no"), "label", "hallucination_score", "explanation", "evidence", "correction")
 
 
-@query()
+_LINE = "rpad('{}', 16, ' ') || ': ' || {}"
+_HEAD = " || chr(10) || ".join(
+    [
+        f"'{summary.REPORT_TITLE}'",
+        "repeat('=', 50)",
+        *[_LINE.format(n, c) for n, c in (("Doc ID", "doc_id"), ("Total Claims", "total_claims"), ("Hallucinated", "hallucinated"), ("Uncertain", "uncertain"), ("Supported", "supported"), ("Hallucination %", "hallucination_rate || '%'"), ("Judge Calls", "llm_calls_made"), ("Calls Saved", "llm_calls_saved"))],
+        "repeat('=', 50)",
+        "chr(10) || 'CLAIM-BY-CLAIM BREAKDOWN' || chr(10)",
+    ]
+)
+_BLOCK = " || chr(10) || ".join(
+    ["'Claim ' || row_number() OVER (PARTITION BY response_id ORDER BY claim_no) || ': ' || verdict || ' (score: ' || hallucination_score || ')'"]
+    + [f"'  {n:<11}: ' || {c}" for n, c in (("Text", "claim"), ("Explanation", "explanation"), ("Evidence", "evidence"), ("Correction", "given_correction"))]
+    + ["''"]
+)
+
+
+@query(f"WITH {S.SUMMARY}, blocks AS (SELECT response_id, string_agg(block, chr(10) ORDER BY claim_no) AS body FROM (SELECT response_id, claim_no, {_BLOCK} AS block FROM fused) GROUP BY ALL) SELECT s.response_id, {_HEAD} || coalesce(chr(10) || body, '') AS report FROM summary s LEFT JOIN blocks b USING (response_id)")
 def report_text(spark, d):
     rows = _verdicts(spark, d)
     return summary.reports(rows, summary.summaries(rows, _responses(spark, d)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.sources.inputs import table
+from attestor.sources.inputs import spread, table
 
 FACT_TEXTS = [
     "In 2019 the World Health Organization said 40% of patients in 12 countries recovered.",
@@ -48,7 +48,7 @@ def literals(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFr
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, source, claim: a sentence of each order, and the same with deterministic changes."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     key = F.col("o_orderkey")
     percent, year = (key % 90 + 1).cast("string"), F.year("o_orderdate")
     n = (key % 50 + 2).cast("string")

@@ -90,6 +90,11 @@ _ABS = rf"\b({'|'.join(K.ABSOLUTES)})\b"
 _SCALE = rf"\b(\d+)\s+({'|'.join(K.ENTITIES)})\b"
 
 
+def bordered(text: str) -> str:
+    """text with letters and numbers outside ASCII as `_`, since DuckDB's word borders know ASCII only; facts hold none of them."""
+    return rf"regexp_replace(regexp_replace({text}, '[^\P{{L}}\x00-\x7F]', '_', 'g'), '[^\P{{N}}\x00-\x7F]', '_', 'g')"
+
+
 def facts_sql(text: str) -> dict[str, str]:
     return {
         "percentages": _distinct(text, K.PERCENTAGE),

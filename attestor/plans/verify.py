@@ -8,33 +8,41 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.functions import facts
+from attestor.functions import facts, text
 from attestor.operators import models, passages, retrieval
 from attestor.operators.verdict import needs_judge, verdict
+from attestor.sources.store import ChunkStore
 
 Provider = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Providers:
-    """Where scores come from: semantic(claims, chunks), entailment(hits), judge(gated)."""
+    """Where scores come from: semantic(claims, chunks), by default the cosine of token counts; entailment(hits); judge(gated)."""
 
-    semantic: Callable[[DataFrame, DataFrame], DataFrame] = retrieval.token_cosine
+    semantic: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     entailment: Provider = models.entailment_by_overlap
     judge: Provider = models.judge_by_rule
 
 
 @dataclass
 class Options:
+    """claim_limit and organization_limit may be None: then all claims of a response count, all organizations of a text."""
+
     top_k: int = retrieval.TOP_K
+    claim_limit: int | None = text.CLAIM_LIMIT
+    organization_limit: int | None = facts.ORGANIZATIONS_MOST
     full_years: bool = False
     case_sensitive_labels: bool = False
 
 
 def hits(docs: DataFrame, claims: DataFrame, providers: Providers, options: Options) -> DataFrame:
-    own = docs.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
-    chunks = passages.chunks(own)
-    return retrieval.hybrid(claims, chunks, options.top_k, providers.semantic(claims, chunks))
+    return retrieval.hybrid(claims, _own_lists(docs, claims), options.top_k, providers.semantic)
+
+
+def _own_lists(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Chunk lists of the documents that have claims."""
+    return passages.chunk_lists(docs.join(claims.select("doc_id").distinct(), "doc_id", "left_semi"))
 
 
 def checked(found: DataFrame, providers: Providers, options: Options) -> DataFrame:
@@ -43,7 +51,7 @@ def checked(found: DataFrame, providers: Providers, options: Options) -> DataFra
     best = models.best_evidence(scored, options.case_sensitive_labels)
     context = retrieval.contexts(found).select(*models.CLAIM, "parents", "context")
     rows = best.join(context, models.CLAIM)
-    rows = rows.withColumn("own_facts", facts.facts(F.col("claim"), options.full_years)).withColumn("source_facts", facts.facts(F.col("context"), options.full_years))
+    rows = rows.withColumn("own_facts", facts.facts(F.col("claim"), options.full_years, facts.OF_CLAIM, options.organization_limit)).withColumn("source_facts", facts.facts(F.col("context"), options.full_years, facts.OF_SOURCE))
     rows = rows.withColumn("compared", facts.compared(F.col("own_facts"), F.col("source_facts"), F.col("context")))
     rows = rows.withColumn("points", F.col("compared.points")).withColumn("signals", F.col("compared.signals"))
     return rows.withColumn("needs_judge", needs_judge(F.col("nli_label"), F.col("nli_score"), F.col("points"))).drop("compared", "own_facts", "source_facts", "context")
@@ -66,9 +74,25 @@ def verify(docs: DataFrame, responses: DataFrame, providers: Providers | None =
 
     A claim whose document is missing or has no sentence is Uncertain, without evidence.
     """
-    providers, options = providers or Providers(), options or Options()
-    claims = passages.claims(responses)
-    rows = checked(hits(docs, claims, providers, options), providers, options)
+    options = options or Options()
+    claims = passages.claims(responses, options.claim_limit)
+    return _verdicts(_own_lists(docs, claims), claims, providers or Providers(), options)
+
+
+def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, providers: Providers | None = None, options: Options | None = None) -> DataFrame:
+    """verify() on the store's chunks: documents that aren't stored yet are added first, stored ones aren't split again.
+
+    doc_id is text on both sides, and should name a document's content.
+    """
+    docs, responses = (x.withColumn("doc_id", F.col("doc_id").cast("string")) for x in (docs, responses))
+    store.upsert(passages.chunks(store.missing(docs)))
+    options = options or Options()
+    claims = passages.claims(responses, options.claim_limit)
+    return _verdicts(store.chunk_lists(claims), claims, providers or Providers(), options)
+
+
+def _verdicts(lists: DataFrame, claims: DataFrame, providers: Providers, options: Options) -> DataFrame:
+    rows = checked(retrieval.hybrid(claims, lists, options.top_k, providers.semantic), providers, options)
     rows = claims.join(_with_judge(rows, providers.judge).drop("claim"), models.CLAIM, "left")
     none = F.array().cast("array<string>")
     given = verdict(

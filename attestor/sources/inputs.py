@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out evenly if they come in fewer parts than tasks can run, as of one row group; for heavy work within rows."""
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(parts) if rows.rdd.getNumPartitions() < parts else rows
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (by content) and text of whole text files."""
     rows = spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")

@@ -1,11 +1,17 @@
-"""A chunk store: a Parquet table bucketed into partitions by document, with replace-by-document writes."""
+"""A chunk store: a Parquet table bucketed into partitions by document, with replace-by-document writes and vector search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id string, idx int, text string, parent string, chunk_id string, bucket int"
+from attestor.sources.scratch import remove
+
+SCHEMA = "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>, bucket int"
 #: Documents share partitions, so that many small ones don't make as many folders.
 BUCKETS = 256
 
@@ -13,57 +19,85 @@ BUCKETS = 256
 class ChunkStore:
     """Chunks of documents in a folder, by bucket of doc_id. A write replaces the chunks of the documents written.
 
-    One writer at a time; a failed write leaves the table as it was, since partitions are replaced on commit.
+    One writer at a time. Only the buckets that a write touches are replaced, when it has ended: a write that fails leaves
+    the table as it was, and one that is repeated gives the same table.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+    def _exists(self, path: str) -> bool:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)
 
     def read(self) -> DataFrame:
         """All chunks; none if nothing was ever written."""
-        if not self._exists():
+        if not self._exists(self.path):
             return self.spark.createDataFrame([], SCHEMA)
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def _bucket(self, doc_id):
+    def _bucket(self, doc_id: Column | str) -> Column:
         return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
 
-    def _replace(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+    @contextmanager
+    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """rows written aside first, as a table can't be overwritten while it is read; the folder goes in any case."""
+        aside = f"{self.path}-staged-{uuid.uuid4().hex[:8]}"
+        try:
+            rows.write.parquet(aside)
+            yield self.spark.read.schema(rows.schema).parquet(aside)
+        finally:
+            remove(self.spark, aside)
 
-    def _staged(self, rows: DataFrame) -> DataFrame:
-        """rows written aside first: a table can't be overwritten while it is read."""
-        import uuid
-
-        aside = f"{self.path.rstrip('/')}-staged-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(aside)
-        return self.spark.read.schema(SCHEMA).parquet(aside)
+    def _replace(self, rows: DataFrame) -> None:
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def upsert(self, chunks: DataFrame) -> None:
-        """Replaces all chunks of the documents in chunks(doc_id, idx, text, parent, chunk_id); nothing if it is empty."""
-        new = chunks.select(F.col("doc_id").cast("string"), F.col("idx").cast("int"), "text", "parent", "chunk_id").withColumn("bucket", self._bucket("doc_id"))
-        ids = new.select("doc_id", "bucket").distinct()
-        old = self.read()
-        touched = old.join(ids.select("bucket").distinct(), "bucket", "left_semi").join(ids, ["doc_id", "bucket"], "left_anti")
-        self._replace(self._staged(touched.select(*new.columns).union(new)).repartition("bucket"))
+        """Replaces all chunks of the documents in chunks(doc_id, idx, text, parent, chunk_id and perhaps embedding); nothing if it is empty."""
+        vector = F.col("embedding").cast("array<float>") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
+        new = chunks.select(F.col("doc_id").cast("string"), F.col("idx").cast("int"), "text", "parent", "chunk_id", vector.alias("embedding")).withColumn("bucket", self._bucket("doc_id"))
+        with self._staged(new) as fresh:
+            ids, old = fresh.select("doc_id", "bucket").distinct(), self.read()
+            kept = old.join(ids.select("bucket").distinct(), "bucket", "left_semi").join(ids, ["doc_id", "bucket"], "left_anti")
+            with self._staged(kept.select(*new.columns).union(fresh)) as rows:
+                self._replace(rows)
 
     def delete(self, doc_ids: DataFrame) -> None:
-        """Removes the chunks of doc_ids(doc_id); buckets that become empty keep no rows."""
+        """Removes the chunks of doc_ids(doc_id); a bucket that becomes empty goes with its folder."""
         ids = doc_ids.select(F.col("doc_id").cast("string")).distinct().withColumn("bucket", self._bucket("doc_id"))
-        old = self.read()
-        rest = old.join(ids, ["doc_id", "bucket"], "left_anti").select(*old.columns)
-        staged = self._staged(rest)
-        staged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self.path)
-
-    def search(self, doc_id: str) -> DataFrame:
+        with self._staged(ids) as gone:
+            old = self.read()
+            touched = old.join(gone.select("bucket").distinct(), "bucket", "left_semi")
+            with self._staged(touched.join(gone, ["doc_id", "bucket"], "left_anti").select(*old.columns)) as rest:
+                had, left = ({r.bucket for r in rows.select("bucket").distinct().collect()} for rows in (touched, rest))  # self.buckets at most
+                self._replace(rest)
+                for bucket in had - left:
+                    remove(self.spark, f"{self.path}/bucket={bucket}")
+
+    def of_document(self, doc_id: str) -> DataFrame:
         """Chunks of one document: its bucket alone is read."""
         bucket = self.spark.range(1).select(self._bucket(F.lit(doc_id))).first()[0]
         return self.read().where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id))
 
+    def search(self, vector: Sequence[float], top_k: int = 4, doc_id: str | None = None) -> DataFrame:
+        """doc_id, idx, text, parent, score of the top_k stored chunks by cosine with vector, of one document if doc_id is given.
+
+        Each task keeps its own best top_k. Equal scores are in the order of document and place; chunks without an
+        embedding aren't found.
+        """
+        from attestor.operators.retrieval import cosine
+
+        rows = self.read() if doc_id is None else self.of_document(doc_id)
+        asked = F.array(*[F.lit(float(x)) for x in vector])
+        score = F.round(cosine(F.col("embedding"), asked), 6)
+        return rows.where("embedding is not null").select("doc_id", "idx", "text", "parent", score.alias("score")).orderBy(F.desc("score"), "doc_id", "idx").limit(top_k)
+
+    def chunk_lists(self, docs: DataFrame) -> DataFrame:
+        """doc_id, chunks (text and parent, by position) of the documents of docs(doc_id), as passages.chunk_lists() has them."""
+        rows = self.read().join(docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        listed = F.array_sort(F.collect_list(F.struct("idx", "text", "parent")))  # of one document
+        return rows.groupBy("doc_id").agg(F.transform(listed, lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"))).alias("chunks"))
+
     def missing(self, docs: DataFrame) -> DataFrame:
         """Rows of docs(doc_id, ...) whose chunks aren't stored yet; ids that name the content make this a cache."""
         return docs.join(self.read().select("doc_id").distinct(), "doc_id", "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import facts as K
 from attestor.functions import text as T
-from attestor.operators import models, passages, summary
+from attestor.operators import models, passages, retrieval, summary
 from attestor.operators.verdict import needs_judge, verdict
 from attestor.plans.catalogue import QUERIES
 from attestor.plans.verify import Options, Providers, verify
@@ -89,7 +89,7 @@ def test_best_evidence(spark, hits, rank):
     assert models.best_evidence(df).first().evidence == f"p{rank}"
 
 
-def reference_case(label, s, f, llm):
+def expected_case(label, s, f, llm):
     """The fusion written plainly, with doubles."""
     c, h = label == "CONTRADICTION", llm == "HALLUCINATED"
     if f >= 0.5:
@@ -113,7 +113,7 @@ def test_fusion_on_the_whole_grid(spark):
     v = verdict(F.col("label"), F.col("s"), F.lit("e"), F.col("points").cast("int"), signals, F.col("llm") != "none", F.col("llm"), F.lit("r"), F.lit("LOW"), F.lit("x"))
     for row in df.withColumn("v", v).withColumn("ask", needs_judge(F.col("label"), F.col("s"), F.col("points"))).collect():
         f = row.points / 100
-        assert (row.v.case, row.v.verdict, row.v.hallucination_score, row.v.confidence) == reference_case(row.label, row.s, f, row.llm)
+        assert (row.v.case, row.v.verdict, row.v.hallucination_score, row.v.confidence) == expected_case(row.label, row.s, f, row.llm)
         skip = (row.label == "ENTAILMENT" and row.s >= 0.85 and f < 0.2) or (row.label == "CONTRADICTION" and row.s >= 0.92)
         assert row.ask == (f >= 0.4 or not skip)
 
@@ -160,13 +160,106 @@ def test_store(spark, tmp_path):
     docs = spark.createDataFrame([("a", TOWER), ("b", TOWER + " One more sentence is here now.")], ["doc_id", "text"])
     assert store.count() == 0
     store.upsert(passages.chunks(docs))
-    assert store.count() == 15 and store.search("b").count() == 8
+    assert store.count() == 15 and store.of_document("b").count() == 8
     store.upsert(passages.chunks(spark.createDataFrame([("b", "Only this sentence is left of it.")], ["doc_id", "text"])))
     store.upsert(passages.chunks(docs.limit(0)))
-    assert (store.search("a").count(), store.search("b").count()) == (7, 1)
+    assert (store.of_document("a").count(), store.of_document("b").count()) == (7, 1)
     assert store.missing(docs).count() == 0
     store.delete(spark.createDataFrame([("a",)], ["doc_id"]))
-    assert [r.doc_id for r in store.documents().collect()] == ["b"] and store.search("a").count() == 0
+    assert [r.doc_id for r in store.documents().collect()] == ["b"] and store.of_document("a").count() == 0
+    store.delete(spark.createDataFrame([("b",), ("none",)], ["doc_id"]))
+    assert store.count() == 0
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]  # nothing staged is left
+
+
+def test_a_failed_write_leaves_the_store_as_it_was(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    store.upsert(passages.chunks(spark.createDataFrame([("a", TOWER), ("b", TOWER)], ["doc_id", "text"])))
+    before = sorted(map(str, store.read().collect()))
+    broken = spark.createDataFrame([("a",), ("b",)], ["doc_id"]).select(F.when(F.col("doc_id") == "b", F.raise_error(F.lit("lost"))).otherwise(F.col("doc_id")).alias("doc_id"))
+    with pytest.raises(Exception, match="lost"):
+        store.delete(broken)
+    with pytest.raises(Exception, match="lost"):
+        store.upsert(broken.select("doc_id", F.lit(0).alias("idx"), F.lit("t").alias("text"), F.lit("p").alias("parent"), F.lit("c").alias("chunk_id")))
+    assert sorted(map(str, store.read().collect())) == before and [p.name for p in tmp_path.iterdir()] == ["store"]
+
+
+def test_store_search(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    rows = [("a", 0, "x", "p", "a_0", [1.0, 0.0]), ("a", 1, "y", "p", "a_1", [0.6, 0.8]), ("b", 0, "z", "q", "b_0", [1.0, 0.0]), ("b", 1, "none", "q", "b_1", None)]
+    store.upsert(spark.createDataFrame(rows, "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>"))
+    assert [(r.text, r.score) for r in store.search([2.0, 0.0], 3).collect()] == [("x", 1.0), ("z", 1.0), ("y", 0.6)]
+    assert [r.text for r in store.search([0.0, 1.0], 4, "b").collect()] == ["z"]
+
+
+def test_stored_documents_are_not_split_again(spark, tmp_path):
+    from attestor.plans.verify import verify_stored
+
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    docs = spark.createDataFrame([("a", TOWER)], ["doc_id", "text"])
+    said = spark.createDataFrame([("r", "a", "The tower stands 330 meters tall and was built by Gustave Eiffel in Paris.")], ["response_id", "doc_id", "text"])
+    first = verify_stored(store, docs, said).collect()
+    assert first == verify(docs, said).collect() and store.count() == 7
+    other = spark.createDataFrame([("a", "Another text under the same name is not read.")], ["doc_id", "text"])
+    assert verify_stored(store, other, said).collect() == first and store.count() == 7
+
+
+def test_limits_can_be_lifted(spark):
+    text = " ".join(f"Claim number {'x' * (i + 1)} has quite a few words in it." for i in range(25))
+    docs, said = pair(spark, TOWER, text)
+    assert verify(docs, said).count() == 20
+    assert verify(docs, said, options=Options(claim_limit=None)).count() == 25
+    names = " and ".join(f"Big Bank {chr(65 + i % 26)}{'x' * (i // 26 + 1)}" for i in range(30))
+    assert len(one(spark, K.organizations(F.col("t")), t=names)) == 20 and len(one(spark, K.organizations(F.col("t"), most=None), t=names)) == 30
+
+
+def test_a_judge_is_asked_once_for_a_prompt(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def call(prompt: str) -> str:
+        with open(log, "a") as f:
+            f.write("x\n")
+        return "VERDICT: SUPPORTED"
+
+    docs, said = pair(spark, TOWER, "Napoleon Bonaparte designed the tall iron tower that stands near the river in Berlin.")
+    said = said.union(said.withColumn("response_id", F.lit("1")))
+    rows = verify(docs, said, Providers(judge=models.Judge(call, 1)), Options(top_k=2))
+    assert rows.count() == 2 and all(r.llm_used for r in rows.collect())
+    assert open(log).read().count("x") == 1
+
+
+def test_vector_search_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)).round(1)
+    x[7] = 0
+    rows = [(i, [float(v) for v in x[i]] if i != 9 else None, i % 3) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    for same in (False, True):
+        got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 5)) for r in retrieval.vector_topk(asked, vectors, 4, same, block=4).collect()}
+        for q in range(0, 300, 20):
+            live = [i for i in range(300) if i not in (7, 9) and (not same or i % 3 == q % 3)]
+            best = sorted(live, key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:4]
+            assert [got[q, r + 1][0] for r in range(4)] == best
+
+
+def test_correction_across_line_breaks(spark):
+    said = spark.createDataFrame([("r", "It says\nthis thing.")], ["response_id", "text"])
+    rows = spark.createDataFrame([("r", 0, "It says this thing.", "X", "Hallucinated")], ["response_id", "claim_no", "claim", "correction", "verdict"])
+    assert summary.corrected(said, rows).first().corrected == "It says\nthis thing."
+    assert summary.corrected(said, rows, normalise=True).first().corrected == "**[CORRECTED: X]**"
+
+
+def test_default_scores_equal_a_provider_of_the_same(spark):
+    """Fusion within the row, and over all chunks as a provider's scores take it."""
+    lists = passages.chunk_lists(spark.createDataFrame([(1, TOWER + " " + TOWER), (2, "One sentence is here alone.")], "doc_id long, text string"))
+    claims = spark.createDataFrame([("r", 1, 0, "When was the tower built for the fair and by whom?"), ("r", 1, 1, "nothing shared xyz"), ("s", 2, 0, "one sentence is here")], "response_id string, doc_id long, claim_no int, claim string")
+    same = lambda claims, chunks: retrieval.shared_scores(claims, lists).drop("bm25")
+    a, b = (sorted(map(str, retrieval.hybrid(claims, lists, 3, given).collect())) for given in (None, same))
+    assert a == b and len(a) > 3
 
 
 def test_pdf(spark, tmp_path):
@@ -176,6 +269,7 @@ def test_pdf(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(raw)
     (tmp_path / "b.pdf").write_bytes(b"not a pdf")
     assert [r.text for r in pdf.read_pdfs(spark, str(tmp_path)).collect()] == ["First (line) Second Plain page"]
+    assert [(r.doc_id[-5:], r.error) for r in pdf.unreadable(spark, str(tmp_path)).collect()] == [("b.pdf", "ValueError: not a PDF")]
 
 
 def test_stream(spark, tmp_path):
@@ -230,6 +324,6 @@ def test_organizations_of_documents_in_any_script(spark, tmp_path):
         None,
     ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.found for r in QUERIES["fact_orgs_all_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.found for r in QUERIES["fact_orgs_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else "; ".join(re.findall(pattern, t)[:20]) for i, t in enumerate(texts)}
     assert got[1] == "Banque Populaire; Air France" and got[4].startswith("Banque\xa0Populaire Ouest")
