@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.sources.scratch import remove, scratch
+
 #: Texts are taken in chunks of about so many bytes, which bounds the memory of the numpy kernels.
 CHUNK_BYTES = 1 << 19
 #: Bounds of the batches that are sent to Python workers.
@@ -42,23 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent, the context's own checkpoint folder takes its place, and a temporary folder in a session of
-    one process. On a cluster without either there is no shared folder: ValueError.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/attestor/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared scratch folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -77,11 +59,6 @@ def discard(*frames: DataFrame | None) -> None:
             remove(df.sparkSession, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
 def chunked(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) of runs of whole texts; nulls count as empty."""
     if isinstance(text, pa.ChunkedArray):

@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from corpus_cases import ODD, sentence
 
@@ -335,6 +336,39 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows.values())
 
 
+def test_scores_equal_plain_loops(spark):
+    """Embedding, filters, pooling, threshold by language and logistic, each written out."""
+    from math import exp
+
+    net = toxicity.Network.blank(8).prepared()
+    net.bias[:] = np.random.default_rng(1).normal(0, 0.3, len(net.bias))
+    net.intercept, net.cuts = -0.4, np.array([0.5, -0.5, 1.0, 2.0, 0.25])
+    texts = [*ODD, "the cat and the dog is", "der Hund und die Katze ist nicht", "one", "a b", "señor de la casa y el perro", "1 2 3"]
+    rows = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, text in enumerate(texts):
+        found = toxicity._read(text)[0].T.tolist() if text else []
+        vectors = [sum((net.embed[b] for b in ids), np.zeros(toxicity.DIM)) for ids in found]
+        logit, column = net.intercept, 0
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                responses = [sum(float(vectors[a + j] @ net.filters[k][j, :, f]) for j in range(w)) + float(net.bias[column]) for a in range(len(vectors) - w + 1)]
+                logit += max([0.0, *responses]) * float(net.weights[column])
+                column += 1
+        words = re.findall("[^\\W\\d_]+", (text or "").lower())
+        hits = [sum(x in listed.split() for x in words) for listed in toxicity.FUNCTION_WORDS.values()] + [0.5]
+        want = 1 / (1 + exp(-(logit - net.cuts[hits.index(max(hits))])))
+        assert abs(rows[i] - want) < 1e-4, text
+
+
+def test_toxicity_takes_null_ids_repeats_and_no_rows(spark):
+    texts = [(i, sentence(i, 20) + (" zzvile" if i % 4 == 0 else "")) for i in range(120)]
+    docs = spark.createDataFrame([*texts, (None, "x zzvile"), (4, "again"), (4, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(None, 1), (7, None), (4, 1)], "doc_id long, toxic int")
+    net = toxicity.fitted(docs, labels)
+    assert toxicity.scored(docs, net).count() == 123 and toxicity.scored(docs.limit(0), net).count() == 0
+    assert toxicity.fitted(docs.limit(0), labels).scores(np.zeros(0, dtype=np.uint8), np.array([0, 0]))[0] < 0.7
+
+
 def test_toxicity_without_labels(spark, corpus):
     rows = toxicity.op5_toxicity(spark, corpus(ODD)).collect()
     assert len(rows) == len(ODD) and not any(r.predicted for r in rows)
@@ -371,6 +405,93 @@ def test_rare_and_unmodelled_languages(spark):
     assert {(got[3000 + i].language, got[3000 + i].text_language, got[3000 + i].accepted) for i in range(9)} == {(None, None, False)}
 
 
+def plain_grams(text):
+    """Hashed trigrams of two letters or more, by a loop over the bytes."""
+    low = [b + 32 if 65 <= b < 91 else b for b in text.encode()]
+    low = [b if 97 <= b < 123 or b >= 128 else 32 for b in low]
+    three = [low[i : i + 3] for i in range(len(low) - 2)]
+    return [((x[0] << 16 | x[1] << 8 | x[2]) * 2654435761 % (1 << 32)) >> 16 for x in three if sum(b != 32 for b in x) >= 2]
+
+
+def plain_identified(rows, model):
+    """(language, posterior, text's language) of (id, text, declared, suffix, host) rows, each step written out."""
+    from math import exp, log
+
+    width, smooth = len(model.languages) + 1, language_id.SMOOTH
+    soft = lambda x: [exp(v - max(x)) / sum(exp(w - max(x)) for w in x) for v in x]
+    likely, own, counts = [], [], []
+    for _, text, *_ in rows:
+        g = plain_grams(text or "")
+        x = [sum(float(model.table[i, k]) for i in g) for k in range(width - 1)]
+        x.append(len(g) * float(model.floors[max(range(width - 1), key=lambda k: x[k])]) if g else 0.0)
+        likely.append([v * language_id.TEMPER for v in x])
+        own.append(soft(likely[-1]) if g else [0.0] * width)
+        counts.append(len(g))
+    every = [sum(o[k] for o in own) for k in range(width)]
+    total = sum(every)
+    base = [(x + 1) / (total + width) for x in every]
+    domain = lambda h: None if h is None else ".".join(h.split(".")[-2:])
+    keys = {"declared": [r[2] for r in rows], "suffix": [r[3] for r in rows], "host": [r[4] for r in rows], "domain": [domain(r[4]) for r in rows]}
+
+    def rest(name, i):
+        mine = keys[name][i]
+        others = [j for j in range(len(rows)) if j != i and mine is not None and keys[name][j] == mine]
+        return [sum(own[j][k] for j in others) for k in range(width)]
+
+    out = []
+    for i in range(len(rows)):
+        prior = base
+        for name in ("domain", "host"):
+            r = rest(name, i)
+            prior = [(n + smooth * p) / (sum(r) + smooth) for n, p in zip(r, prior, strict=True)]
+        x = [a + log(p) for a, p in zip(likely[i], prior, strict=True)]
+        for name in ("declared", "suffix"):
+            if keys[name][i] is not None:
+                r = rest(name, i)
+                common = (sum(r) + 1) / (total + 1)
+                x = [a + log((n + smooth * common) / (b * total + smooth)) for a, n, b in zip(x, r, base, strict=True)]
+        x = soft(x)
+        pick = lambda v: [*model.languages, None][max(range(width), key=lambda k: v[k])]
+        out.append((pick(x), max(x), pick(likely[i])) if counts[i] else (None, 0.0, None))
+    return out
+
+
+def test_fusion_equals_its_formula(spark):
+    """Every piece of evidence counts as written out, and decides where the text alone says something else."""
+    rng = random.Random(12)
+    parts = {"aa": "ka lo mi tu ne ra", "bb": "ka lo mi schr eng ungt"}
+    text = lambda k, n: " ".join("".join(rng.choices(parts[k].split(), k=2)) for _ in range(n))
+    rows = [(i, text(k, rng.choice([1, 2, 20])), k if rng.random() < 0.8 else None, k[0] if rng.random() < 0.7 else None, f"w{i % 4}.{k}.org" if rng.random() < 0.9 else None) for i in range(160) for k in [("aa", "bb")[i % 2]]]
+    rows += [(200 + i, "kalo mi", "bb", "b", "w1.bb.org") for i in range(3)] + [(300, "", "aa", None, None), (301, None, None, None, "w0.aa.org"), (302, "12 3", None, None, None), (303, "kalo", None, None, None)]
+    counts = {}
+    for k in parts:
+        held = np.zeros((2, language_id.GRAMS), dtype=np.int64)
+        for i in range(60):
+            for g in plain_grams(text(k, 20)):
+                held[i % 2, g] += 1
+        counts[k] = held
+    model = language_id.TextModel.of(counts)
+    got = {r.doc_id: r for r in language_id.identified(docs_in(spark, rows), model).collect()}
+    turned = 0
+    for row, (language, posterior, own) in zip(rows, plain_identified(rows, model), strict=True):
+        r = got[row[0]]
+        assert abs(r.posterior - posterior) < 2e-6, row
+        assert r.accepted == (language is not None and posterior >= 0.5) or abs(posterior - 0.5) < 1e-5
+        if posterior > 0.51:
+            assert (r.language, r.text_language) == (language, own), row
+            turned += language != own
+    assert turned >= 3
+
+
+def test_a_hot_host_and_rows_in_parts_sum_alike(spark, monkeypatch):
+    rows = [(i, "kalo mitu nera kalo", "aa", "a", "big.aa.org") for i in range(50)] + [(60 + i, "schreng ungt schreng", "bb", "b", "w.bb.org") for i in range(20)]
+    found = []
+    for parts in (1, 32):
+        monkeypatch.setattr(language_id, "SALTS", parts)
+        found.append(sorted((r.doc_id, r.language, r.posterior) for r in language_id.identified(docs_in(spark, rows)).collect()))
+    assert found[0] == found[1] and found[0][0][1] == "aa"
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 def test_language_of_the_tables(spark):
     rows = language_id.op4_language_id(spark, str(DATA)).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").collect()
@@ -398,7 +519,22 @@ def test_pipeline(spark):
         kept = stage(spark, kept, str(DATA))
         assert kept.columns == docs.columns, name
         kept = pipeline.written(kept, "test")
-    assert not any(secrets.base_spans(r.text) for r in kept.collect())
+    final = {r.doc_id: r.text for r in kept.collect()}
+    assert not any(secrets.base_spans(t) for t in final.values())
+    # sequences, read back: every document's ids in order, as the library has them
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
+    ids: dict = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.token_ids) == r.length and zlib.crc32(np.array(r.token_ids, dtype="<u4").tobytes()) == r.ids_crc32
+        ids[r.doc_id] = ids.get(r.doc_id, []) + list(r.token_ids)
+    assert ids == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in final.items()}
+    ends: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048
 
 
 def test_stages_take_clashing_columns_and_odd_rows(spark, corpus):
