@@ -102,6 +102,8 @@ def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
     sample = docs.where("declared is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
     # Twice as many rows as wanted are drawn by hash, so that no task ranks all rows of a frequent language.
     share = sample.groupBy("declared").agg(F.count("*").alias("n")).select(F.col("declared").alias("k_declared"), "n", F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n")).alias("share"))
+    share = written(share, "declared")
+    share = F.broadcast(share) if share.count() <= BROADCAST_IDS else share  # joined by shuffle, all rows would meet by language
     chance = F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) / float(1 << 30)
     some = sample.select("declared", "draw").join(share, F.col("declared") == F.col("k_declared")).where(chance < F.col("share"))
     one = Window.partitionBy("declared").orderBy("draw")
