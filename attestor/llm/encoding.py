@@ -13,8 +13,9 @@ import pyarrow as pa
 
 from attestor.llm.common import _LOWER, chunked, same_spans, span_hashes
 
-#: Distinct pre-tokens that a worker keeps; beyond that it starts anew, so memory stays bounded.
-CACHE_WORDS = 800_000
+#: Distinct pre-tokens that a worker keeps, by family; beyond that it starts anew, so memory stays bounded. Those of byte-level
+#: BPE, with the space before them, are more.
+CACHE_WORDS = {"byte": 800_000, "word": 500_000}
 
 _LETTER, _DIGIT, _OTHER, _BLANK = 1, 2, 3, 0
 _CLASS = np.full(256, _OTHER, dtype=np.uint8)
@@ -134,7 +135,7 @@ class Encoder:
         _, where, back = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
         if not same_spans(buf, starts, ends, where[back]):
             return self._by_library(whole, offs)
-        if self.n_words + len(where) > CACHE_WORDS:
+        if self.n_words + len(where) > CACHE_WORDS[self.kind]:
             self.forget()
         raw = buf.tobytes()
         keys = [raw[s:e] for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]

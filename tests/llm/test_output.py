@@ -73,7 +73,7 @@ def test_span_hashes_tell_spans_apart():
 def test_a_full_cache_starts_anew(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(encoding, "CACHE_WORDS", 50)
+    monkeypatch.setattr(encoding, "CACHE_WORDS", {"byte": 50})
     encoder, plain = encoding.Encoder(vocabularies.path("byte_bpe_50k.json"), "byte"), library("byte_bpe_50k.json")
     for seed in range(5):
         text = sentence(seed, 60)
