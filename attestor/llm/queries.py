@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.audio import op9_audio
 from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
+from attestor.llm.importance import OP12_SQL, op12_importance
 from attestor.llm.language_id import language_id_pages, op4_language_id
 from attestor.llm.near_dup import op3_near_dup
 from attestor.llm.packing import op10_best_two_fit
 from attestor.llm.pii import op8_pii
+from attestor.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from attestor.llm.secrets import op7_secrets
 from attestor.llm.sharding import op2_sharding
 from attestor.llm.sql import OP3_SQL
@@ -30,9 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_audio": op9_audio,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_importance": op12_importance,
 }
 
 SQL: dict[str, str] = {
     "op3_near_dup": OP3_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_importance": OP12_SQL,
 }
