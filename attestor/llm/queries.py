@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm.audio import op9_audio
+from attestor.llm.context_tree import op13_context_tree
 from attestor.llm.decontaminate import OP6_SQL, op6_decontaminate
 from attestor.llm.importance import OP12_SQL, op12_importance
 from attestor.llm.language_id import language_id_pages, op4_language_id
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_two_fit": op10_best_two_fit,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_importance": op12_importance,
+    "op13_context_tree": op13_context_tree,
 }
 
 SQL: dict[str, str] = {
