@@ -31,11 +31,12 @@ def words(text: Column) -> Column:
 def buckets(words: Column, longest: int = LONGEST, n_buckets: int = BUCKETS) -> Column:
     """The bucket of each run of 1 to longest consecutive words, repeats counted."""
     bucket = lambda x: (F.crc32(x.cast("binary")) % n_buckets).cast("int")
-    found = F.transform(words, bucket)
-    for n in range(2, longest + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        found = F.concat(found, F.transform(starts, lambda i, n=n: bucket(F.array_join(F.slice(words, i, n), " "))))
-    return found
+        return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, n), " ")))
+
+    return F.concat(F.transform(words, bucket), *(runs(n) for n in range(2, longest + 1)))
 
 
 def hashed(docs: DataFrame, name: str, longest: int = LONGEST, n_buckets: int = BUCKETS) -> DataFrame:
