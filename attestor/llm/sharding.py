@@ -1,90 +1,184 @@
 """Shuffled shards by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters rows over buckets of bounded size by a seeded hash. Pass two sorts each bucket by that
-hash, so that its start doesn't depend on the order of arrival, and permutes it by Spark's shuffle(), which
-is an inside-out Fisher-Yates. The buckets one after another are the global order; shards are equal cuts of
-it, so their row counts differ by one at most.
+A survey of hashes and sizes says which shard each group of equal texts goes to, so that shards are of nearly equal bytes and
+a group is split only if no shard has room for it. Pass one scatters the records of a shard over its buckets of bounded
+size by a seeded hash. Pass two puts a bucket, which is one partition, in order of that hash and permutes it by Spark's
+shuffle(), an inside-out Fisher-Yates of a generator seeded by seed and bucket; the buckets of a shard one after another are
+its slots. So all places follow from the seed and the records, however these are partitioned.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from attestor.llm.common import scratch, table
+from attestor.llm.common import discard, scratch, table, written
 
-#: Bytes of a bucket, which a task holds in memory, and how many buckets there are at least and at most: beyond 12 TB they
-#: grow with the input (500 MB at 100 TB), so that neither the shuffle's blocks nor the table of bucket starts do.
+#: Bytes of a bucket, which a task holds in memory, and how many buckets a shard has at least and all have at most: beyond 12 TB
+#: they grow with the input (500 MB at 100 TB), so that neither the shuffle's blocks nor the table of bucket starts do.
 BUCKET_BYTES = 64 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 64, 200_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 200_000
 SEED = 20_240_611
-
-
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds size: UTF-8 bytes of text (none for null) plus 1."""
-    return docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-
-
-def bucket_count(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, least: int = LEAST_BUCKETS) -> int:
-    """Buckets for whole records: text, and the other columns by their length as text."""
-    others = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in docs.columns if c not in ("doc_id", "text", "size")]
-    total = sized(docs).agg(F.sum(sum(others, F.col("size")))).first()[0] or 0
-    return min(MOST_BUCKETS, max(least, -(-total // bucket_bytes)))
-
-
-def scattered(docs: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
-    """Adds bucket and draw, a seeded hash of doc_id and text; all columns are kept.
-
-    Copies of a text have different ids and so spread.
+#: Groups of more than a BIG_GROUPS-th of all bytes are placed one by one, so they are fewer than that; all others by RANGES of
+#: their hash. A split group is cut into PARTS by its records' hashes.
+BIG_GROUPS, RANGES, PARTS = 20_000, 1 << 14, 1 << 20
+#: Equal records of more than a REPEATED-th of all rows, and of at least this many, are numbered, so that they spread over buckets.
+REPEATED, LEAST_REPEATED = 100_000, 10_000
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where records go: groups (a group's hash, the parts of its records, their shard), the first range of each later shard, the
+    records that are numbered, and how many buckets a shard has."""
+
+    groups: DataFrame
+    cuts: list[int]
+    repeated: DataFrame
+    n_shards: int
+    per_shard: int
+    seed: int
+
+
+def surveyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """of_group (a hash of the text), draw and tie (hashes of the record), size (UTF-8 bytes of the text plus 1) and bytes (of the
+    whole record) of each row of docs, which has the record in `record`."""
+    whole = [F.col("record")[c] for c in docs.schema["record"].dataType.names]
+    text = F.col("record.text")
+    others = (F.coalesce(F.octet_length(F.col("record")[c].cast("string")), F.lit(0)) for c in docs.schema["record"].dataType.names if c not in ("doc_id", "text"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    names = {"of_group": F.xxhash64(F.lit(seed), text), "draw": F.xxhash64(F.lit(seed), *whole), "tie": F.xxhash64(F.lit(seed + 1), *whole), "size": size, "bytes": reduce(lambda a, b: a + b, others, size)}
+    return docs.withColumns(names)
+
+
+def layout(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[Layout, DataFrame]:
+    """The layout of docs(record), and the survey that it follows from: counts of equal hashes, as written."""
+    spark = docs.sparkSession
+    survey = written(surveyed(docs, seed).groupBy("of_group", "draw", "tie", "size", "bytes").agg(F.count("*").alias("n")), "survey")
+    total, stored, rows = (x or 0 for x in survey.agg(F.sum(F.col("size") * F.col("n")), F.sum(F.col("bytes") * F.col("n")), F.sum("n")).first())
+    repeated = survey.groupBy("draw").agg(F.sum("n").alias("n")).where(F.col("n") > max(LEAST_REPEATED, rows // REPEATED)).select("draw")
+    repeated = written(repeated, "repeated")  # at most REPEATED rows
+    sizes = survey.groupBy("of_group").agg(F.sum(F.col("size") * F.col("n")).alias("size"))
+    big = {r.of_group: r.size for r in sizes.where(F.col("size") * BIG_GROUPS > total).collect()}  # at most BIG_GROUPS
+    groups, room = _big_groups(big, total, n_shards)
+    groups = spark.createDataFrame(groups, "of_group long, low int, high int, shard int")
+    small = sizes.where(F.col("size") * BIG_GROUPS <= total).groupBy(_range().alias("of_range")).agg(F.sum("size").alias("size"))
+    cuts = _cuts({r.of_range: r.size for r in small.collect()}, room)
+    per_shard = min(MOST_BUCKETS // n_shards, max(LEAST_BUCKETS, -(-stored // (n_shards * bucket_bytes))))
+    return Layout(groups, cuts, repeated, n_shards, per_shard, seed), survey
+
+
+def _range():
+    return F.pmod(F.xxhash64(F.col("of_group")), F.lit(RANGES)).cast("int")
+
+
+def _big_groups(sizes: dict[int, int], total: int, n_shards: int) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """(group, first part, end part, shard), the largest groups first to the emptiest shard, and what room is then left.
+
+    A group that is larger than any shard's room fills up as many as it takes.
     """
-    hashed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    return docs.withColumn("draw", hashed).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("draw")), F.lit(n_buckets)).cast("int"))
-
+    room = [total / n_shards] * n_shards
+    placed = []
+    for group, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        low, left = 0, float(size)
+        while low < PARTS:
+            k = max(range(n_shards), key=lambda i: (room[i], -i))
+            # what is over by a ten-thousandth of a shard isn't worth a split
+            take = left if left <= room[k] + total / n_shards / 10_000 else room[k]
+            high = PARTS if take >= left else min(PARTS, low + max(1, round(PARTS * take / size)))
+            placed.append((group, low, high, k))
+            room[k] -= take
+            low, left = high, left - take
+    return placed, room
+
+
+def _cuts(sizes: dict[int, int], room: list[float]) -> list[int]:
+    """The first range of each shard but the first: ranges in order fill up what room the shards have."""
+    free = [max(0.0, r) for r in room]
+    scale = sum(sizes.values()) / (sum(free) or 1.0)
+    left, cuts = free[0] * scale, []
+    for k in range(RANGES):
+        size = sizes.get(k, 0)
+        while len(cuts) < len(free) - 1 and left < size / 2:
+            cuts.append(k)
+            left += free[len(cuts)] * scale
+        left -= size
+    return cuts + [RANGES] * (len(free) - 1 - len(cuts))
+
+
+def scattered(rows: DataFrame, to: Layout) -> DataFrame:
+    """Adds shard, bucket and draw to rows of surveyed(); equal records in great numbers need a number `copy` each (null: none)."""
+    part = F.pmod(F.xxhash64(F.lit(to.seed + 2), "draw", "copy"), F.lit(PARTS)).cast("int")
+    cut = F.broadcast(to.groups.withColumnRenamed("shard", "own_shard").withColumnRenamed("of_group", "in_group"))
+    rows = rows.withColumns({"part": part, "of_range": _range()})
+    rows = rows.join(cut, (F.col("of_group") == F.col("in_group")) & (F.col("part") >= F.col("low")) & (F.col("part") < F.col("high")), "left")
+    by_range = reduce(lambda a, b: a + b, (F.when(F.col("of_range") >= c, 1).otherwise(0) for c in to.cuts), F.lit(0))
+    rows = rows.withColumn("shard", F.coalesce("own_shard", by_range))
+    draw = F.when(F.col("copy").isNull(), F.col("draw")).otherwise(F.xxhash64("draw", "copy"))
+    rows = rows.withColumn("draw", draw).withColumn("bucket", F.col("shard") * to.per_shard + F.pmod(F.xxhash64(F.lit(to.seed + 3), "draw"), F.lit(to.per_shard)).cast("int"))
+    return rows.drop("part", "of_range", "in_group", "low", "high", "own_shard")
+
+
+def numbered(docs: DataFrame, to: Layout) -> DataFrame:
+    """surveyed(docs) with copy: null but for equal records in great numbers, which are counted and dealt out anew."""
+    rows = surveyed(docs, to.seed)
+    if to.repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(None).cast("long"))
+    often = F.broadcast(to.repeated)
+    once = rows.join(often, "draw", "left_anti").withColumn("copy", F.lit(None).cast("long"))
+    counted = rows.join(often, "draw", "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    return once.unionByName(counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n"))
+
+
+def bucket_starts(survey: DataFrame, to: Layout) -> DataFrame:
+    """bucket and before, the rows of its shard in earlier buckets."""
+    often = F.broadcast(to.repeated)
+    one = F.lit(None).cast("long")
+    rows = survey.join(often, "draw", "left_anti").withColumn("copy", one)
+    more = survey.join(often, "draw", "left_semi").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("n", F.lit(1).cast("long"))
+    counts = scattered(rows.unionByName(more), to).groupBy("shard", "bucket").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+
+
+def shuffled(docs: DataFrame, to: Layout) -> DataFrame:
+    """bucket, turn, record and size of docs(record): turn is the record's place in its bucket after Fisher-Yates."""
+    rows = scattered(numbered(docs, to), to).select("bucket", F.struct("draw", "tie", "size", "record").alias("row"))
+    order = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)
+    # a partition is one bucket, so the generator, which is seeded by seed and partition, starts with it
+    per = rows.repartitionById(to.n_shards * to.per_shard, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("row"), order).alias("rows"))
+    per = per.select("bucket", F.posexplode(F.shuffle("rows", to.seed)).alias("turn", "row"))
+    return per.select("bucket", "turn", F.col("row.record").alias("record"), F.col("row.size").alias("size"))
 
-def shuffled(docs: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
-    """bucket, turn and the columns of docs in `row`: turn is the row's place in its bucket after Fisher-Yates.
 
-    Rows of one id and text are put in order by a hash of all columns.
-    """
-    rows = scattered(docs, n_buckets, seed).select("bucket", F.struct("draw", F.xxhash64(*docs.columns).alias("tie"), *[F.col(c) for c in docs.columns]).alias("row"))
-    order = lambda a, b: F.when(a["draw"] < b["draw"], -1).when(a["draw"] > b["draw"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0)
-    per = rows.repartition(n_buckets, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("row"), order).alias("rows"))
-    return per.select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("turn", "row"))
+def records(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text and any others) as rows of one struct, `record`, so that its columns may have any names."""
+    typed = {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}
+    return docs.select(F.struct(*[typed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias("record"))
 
 
 def write_shards(docs: DataFrame, out: str, n_shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """Writes docs(doc_id, text and any others) with all columns, size, shard and slot to Parquet folders out/shard=k.
+    """Writes docs(doc_id, text and any others) as record (all columns, whatever their names), size, slot and shard to Parquet
+    folders out/shard=k.
 
-    Shard counts are at most one apart, slots are gapless from 0; an empty table writes no rows. Null ids and
-    texts, and repeated rows, are rows like any other.
+    Shards are of nearly equal size (bytes of text plus 1 a row), equal texts are in one shard unless they exceed its room,
+    slots are gapless from 0; an empty table writes no rows. Null ids and texts, and repeated rows, are rows like any other.
     """
-    docs = sized(records(docs))
-    n_buckets = bucket_count(docs, bucket_bytes)
-    counts = scattered(docs, n_buckets, seed).groupBy("bucket").agg(F.count("*").alias("n"))
-    # one row a bucket, MOST_BUCKETS at most
-    ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    place = F.col("before") + F.col("turn")
-    rows = shuffled(docs, n_buckets, seed).join(starts, "bucket").withColumn("place", place)
-    # Cut k begins at floor(k * total / n_shards): the shard of a place is the last cut at or before it.
-    shard = sum((F.when(F.col("place") >= F.lit(k * total // n_shards), 1).otherwise(0) for k in range(1, n_shards)), F.lit(0))
-    begin = F.element_at(F.array(*[F.lit(k * total // n_shards) for k in range(n_shards)]), F.col("shard") + 1)
-    rows = rows.withColumn("shard", shard).withColumn("slot", F.col("place") - begin)
-    rows.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard")).write.mode("error").partitionBy("shard").parquet(out)
-
-
-def records(docs: DataFrame) -> DataFrame:
-    """docs with all columns, its id and text as shards hold them."""
-    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    docs = records(docs)
+    to, survey = layout(docs, n_shards, seed, bucket_bytes)
+    starts = written(bucket_starts(survey, to), "starts")  # one row a bucket, MOST_BUCKETS at most
+    rows = shuffled(docs, to).join(F.broadcast(starts), "bucket")
+    rows = rows.select("record", "size", (F.col("before") + F.col("turn")).cast("long").alias("slot"), F.floor(F.col("bucket") / to.per_shard).cast("int").alias("shard"))
+    rows.write.mode("error").partitionBy("shard").parquet(out)
+    discard(survey, starts, to.repeated)
 
 
-def read_shards(spark: SparkSession, out: str, schema: StructType | None = None) -> DataFrame:
-    """The shards of records of a schema, of doc_id and text alone if there is none."""
-    held = schema or StructType().add("doc_id", "long").add("text", "string")
-    added = StructType().add("size", "long").add("slot", "long").add("shard", "integer")
-    return spark.read.schema(StructType([*held.fields, *added.fields])).parquet(out)
+def read_shards(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """record (of the schema of the docs written), size, slot and shard of all rows."""
+    return spark.read.schema(StructType().add("record", schema).add("size", "long").add("slot", "long").add("shard", "integer")).parquet(out)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +188,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     out, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents")
     write_shards(docs, out)
-    return read_shards(spark, out, records(docs).schema).select(
-        "doc_id",
+    return read_shards(spark, out, records(docs).schema["record"].dataType).select(
+        "record.doc_id",
         "size",
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
+        F.crc32(F.coalesce(F.col("record.text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
