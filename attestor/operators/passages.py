@@ -6,35 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.functions.rows import exploded, once
 
 
 def sentences(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, pos, sentence of each kept sentence of docs(key, text)."""
-    return docs.select(key, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    return exploded(docs, [key], T.sentences(F.col("text")), "sentence", "pos")
 
 
 def paragraphs(docs: DataFrame, size: int = T.PARAGRAPH_SENTENCES) -> DataFrame:
     """doc_id, para_id, parent of each paragraph."""
-    found = docs.select("doc_id", T.sentences(F.col("text")).alias("found"))
-    return found.select("doc_id", F.posexplode(T.paragraphs(F.col("found"), size)).alias("para_id", "group")).select("doc_id", "para_id", F.array_join("group", " ").alias("parent"))
+    found = once(docs, ["doc_id"], found=T.sentences(F.col("text")))
+    return exploded(found, ["doc_id"], T.paragraphs(F.col("found"), size), "group", "para_id").select("doc_id", "para_id", F.array_join("group", " ").alias("parent"))
 
 
 def chunks(docs: DataFrame, window: int = T.WINDOW, overlap: int = T.OVERLAP, size: int = T.PARAGRAPH_SENTENCES) -> DataFrame:
     """doc_id, idx, text, parent, chunk_id of each chunk of docs(doc_id, text)."""
-    found = docs.select("doc_id", T.sentences(F.col("text")).alias("found"))
-    rows = found.select("doc_id", F.posexplode(T.chunks(F.col("found"), window, overlap, size)).alias("idx", "chunk"))
+    found = once(docs, ["doc_id"], found=T.sentences(F.col("text")))
+    rows = exploded(found, ["doc_id"], T.chunks(F.col("found"), window, overlap, size), "chunk", "idx")
     return rows.select("doc_id", "idx", "chunk.text", "chunk.parent", F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("idx").cast("string")).alias("chunk_id"))
 
 
 def chunk_lists(docs: DataFrame) -> DataFrame:
     """doc_id, chunks (text and parent, by position) of the rows of docs(doc_id, text) that have any."""
-    found = docs.select("doc_id", T.sentences(F.col("text")).alias("found"))
-    return found.select("doc_id", T.chunks(F.col("found")).alias("chunks")).where(F.size("chunks") > 0)
+    found = once(docs, ["doc_id"], found=T.sentences(F.col("text")))
+    return once(found, ["doc_id"], chunks=T.chunks(F.col("found"))).where(F.size("chunks") > 0)
 
 
 def claims(responses: DataFrame, limit: int | None = T.CLAIM_LIMIT) -> DataFrame:
     """response_id, doc_id, claim_no, claim of the claims of responses(response_id, doc_id, text)."""
-    return responses.select("response_id", "doc_id", F.posexplode(T.claims(F.col("text"), limit)).alias("claim_no", "claim"))
+    return exploded(responses, ["response_id", "doc_id"], T.claims(F.col("text"), limit), "claim", "claim_no").select("response_id", "doc_id", "claim_no", "claim")
 
 
 def responses(conversations: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,16 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.functions.rows import exploded, once
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC_SHARE, KEYWORD_SHARE, TOP_K = 0.6, 0.4, 3
 #: Queries of a vector search that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: Chunks of a block of postings.
+BLOCK_CHUNKS = 128
 
 
 def term_counts(chunks: DataFrame) -> DataFrame:
     """doc_id, idx, token, f, len of the tokens of chunks(doc_id, idx, text)."""
-    rows = chunks.select("doc_id", "idx", T.tokens(F.col("text")).alias("tokens")).select("doc_id", "idx", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
+    rows = exploded(once(chunks, ["doc_id", "idx"], tokens=T.tokens(F.col("text"))), ["doc_id", "idx", F.size("tokens").alias("len")], "tokens", "token")
     return rows.groupBy("doc_id", "idx", "token").agg(F.count("*").alias("f"), F.first("len").alias("len"))
 
 
@@ -36,72 +40,131 @@ def inverse_frequencies(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("raw", raw).withColumn("mean", mean).select("doc_id", "token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def searchable(lists: DataFrame) -> DataFrame:
-    """doc_id, chunks (text, parent, tokens), norms, vocabulary, avgdl and mean_idf of passages.chunk_lists(), made within the row.
+def _raw_idf(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
 
-    mean_idf is over the document's distinct tokens: sorted, a token's run is as long as the chunks that hold it are many.
+def postings(lists: DataFrame) -> DataFrame:
+    """doc_id, token, idx, f, len, norm and mark of each chunk of passages.chunk_lists() and each of its distinct tokens.
+
+    Made within the chunk: len counts its tokens, norm is the length of its vector of counts, mark names its text.
     """
-    counted = lambda c, t: (F.size(c) - F.size(F.array_remove(c, t))).cast("double")
-    rows = lists.select("doc_id", F.transform("chunks", lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"), T.tokens(c["text"]).alias("tokens"))).alias("chunks"))
-    sorted_tokens = F.sort_array(F.flatten(F.transform("chunks", lambda c: F.array_distinct(c["tokens"]))))
-    norm = lambda c: F.sqrt(F.aggregate(F.array_distinct(c["tokens"]), F.lit(0.0), lambda a, t: a + F.pow(counted(c["tokens"], t), F.lit(2))))
-    rows = rows.select("doc_id", "chunks", F.transform("chunks", norm).alias("norms"), sorted_tokens.alias("runs"))
-    first = lambda t, i: (i == 0) | (t != F.get("runs", i - 1))
-    marked = F.transform("runs", lambda t, i: F.when(first(t, i), i))
-    starts = F.array_append(F.array_compact(marked), F.size("runs"))
-    rows = rows.select("doc_id", "chunks", "norms", F.array_distinct("runs").alias("vocabulary"), starts.alias("starts"))
-    n = F.size("chunks")
-    raw = F.transform(F.slice("starts", F.lit(1), F.size("starts") - 1), lambda s, i: _raw_idf(n, F.get("starts", i + 1) - s))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x) / (F.size("starts") - 1)
-    length = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.size(c["tokens"])) / n
-    return rows.select("doc_id", "chunks", "norms", "vocabulary", length.alias("avgdl"), total.alias("mean_idf"))
-
-
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value made once a row: an expression inside a lambda is made anew for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    rows = once(exploded(lists, ["doc_id"], "chunks", "c", "idx"), ["doc_id", "idx", F.xxhash64("c.text").alias("mark")], tokens=T.tokens(F.col("c.text")))
+    rows = once(rows, ["doc_id", "idx", "mark", F.size("tokens").alias("len")], terms=_counted("tokens", "f"))
+    rows = once(rows, ["doc_id", "idx", "mark", "len", "terms"], norm=_length("terms", "f"))
+    return exploded(rows, ["doc_id", "idx", "mark", "len", "norm"], "terms", "term").select("doc_id", "term.token", "idx", "term.f", "len", "norm", "mark")
 
 
-def _raw_idf(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
+def _counted(tokens: str, count: str) -> Column:
+    """Distinct tokens with their counts."""
+    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), (F.size(tokens) - F.size(F.array_remove(tokens, t))).alias(count)))
+
+
+def _length(terms: str, count: str) -> Column:
+    """Length of the vector of counts."""
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t[count] * t[count]))
+
+
+def posting_blocks(rows: DataFrame, block: int = BLOCK_CHUNKS) -> DataFrame:
+    """doc_id, token, block, entries (idx, f, len, norm, mark), n, most_f and least_len of postings(): one row for the chunks of a block.
+
+    Blocks bound what a row holds, and most_f and least_len what any of its chunks can score.
+    """
+    entry = F.struct("idx", "f", "len", "norm", "mark")
+    rows = rows.groupBy("doc_id", "token", F.floor(F.col("idx") / block).cast("int").alias("block"))
+    return rows.agg(F.collect_list(entry).alias("entries"), F.count("*").alias("n"), F.max("f").alias("most_f"), F.min("len").alias("least_len"))
+
+
+def document_stats(lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, n_chunks, avgdl, mean_idf and marks (of its chunks' texts, by position) of each document, from its lists and postings().
+
+    The mean is over the document's distinct tokens, whose numbers of chunks are counted before they meet.
+    """
+    per = rows.groupBy("doc_id", "token").agg(F.count("*").alias("df"), F.sum("f").alias("total")).groupBy("doc_id", "df").agg(F.count("*").alias("tokens"), F.sum("total").alias("total"))
+    marks = lists.select("doc_id", F.size("chunks").alias("n_chunks"), F.transform("chunks", lambda c: F.xxhash64(c["text"])).alias("marks"))
+    means = per.join(marks.select("doc_id", "n_chunks"), "doc_id").groupBy("doc_id")
+    means = means.agg((F.sum("total") / F.first("n_chunks")).alias("avgdl"), (F.sum(_raw_idf(F.col("n_chunks"), F.col("df")) * F.col("tokens")) / F.sum("tokens")).alias("mean_idf"))
+    return marks.join(means, "doc_id")
+
+
+def claim_terms(claims: DataFrame) -> DataFrame:
+    """response_id, claim_no, doc_id, token, n and q_norm of each distinct token of claims."""
+    key = ["response_id", "claim_no", "doc_id"]
+    rows = once(once(claims, key, words=T.tokens(F.col("claim"))), key, terms=_counted("words", "n"))
+    rows = exploded(rows, [*key, _length("terms", "n").alias("q_norm")], "terms", "term")
+    return rows.select(*key, "term.token", "term.n", "q_norm")
+
+
+def weighed_terms(claims: DataFrame, blocks: DataFrame, stats: DataFrame) -> DataFrame:
+    """claim_terms() that the document has, with their blocks of postings, idf and the document's avgdl."""
+    asked = claim_terms(claims).join(stats.select("doc_id", "n_chunks", "avgdl", "mean_idf"), "doc_id")
+    df = blocks.groupBy("doc_id", "token").agg(F.sum("n").alias("df"))
+    raw = _raw_idf(F.col("n_chunks"), F.col("df"))
+    asked = asked.join(df, ["doc_id", "token"]).withColumn("idf", F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).drop("df", "n_chunks", "mean_idf")
+    return asked.join(blocks.withColumnRenamed("n", "n_entries"), ["doc_id", "token"])
+
+
+def term_score(f: Column, length: Column) -> Column:
+    """A term's part of a BM25 score, of rows of weighed_terms()."""
+    return F.col("n") * F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avgdl")))
 
 
-def scored(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """Columns of claims, those of searchable(docs), and scores: bm25, semantic and shared of each chunk, by position.
+def summed_scores(weighed: DataFrame) -> DataFrame:
+    """response_id, claim_no, doc_id, idx, mark, bm25 and semantic of each chunk in weighed_terms()."""
+    each = weighed.select("response_id", "claim_no", "doc_id", "n", "idf", "avgdl", "q_norm", F.inline("entries"))
+    sums = each.groupBy("response_id", "claim_no", "doc_id", "idx", "mark", "norm", "q_norm").agg(F.sum(term_score(F.col("f"), F.col("len"))).alias("bm25"), F.sum(F.col("n") * F.col("f")).alias("dot"))
+    return sums.select("response_id", "claim_no", "doc_id", "idx", "mark", "bm25", (F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("semantic"))
 
-    One join on doc_id brings a claim to the chunks of its own document; both scores are then made within the row.
+
+@dataclass(frozen=True)
+class Index:
+    """An inverted index of documents' chunks: posting_blocks(), document_stats() and the chunks' lists."""
+
+    blocks: DataFrame
+    stats: DataFrame
+    lists: DataFrame
+
+    @staticmethod
+    def of(lists: DataFrame, block: int = BLOCK_CHUNKS) -> Index:
+        rows = postings(lists)
+        return Index(posting_blocks(rows, block), document_stats(lists, rows), lists)
+
+
+def shared_scores(claims: DataFrame, docs: DataFrame | Index) -> DataFrame:
+    """response_id, claim_no, doc_id, idx, bm25, semantic of the chunks that share a token with the claim.
+
+    docs is passages.chunk_lists() or their index. A claim's terms meet the document's postings on (doc_id, token).
     """
-    terms = F.transform(F.array_distinct("words"), lambda t: F.struct(t.alias("token"), (F.size("words") - F.size(F.array_remove("words", t))).alias("n")))
-    asked = claims.withColumn("words", T.tokens(F.col("claim"))).withColumn("terms", terms)
-    asked = asked.withColumn("q_norm", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["n"] * t["n"]))).drop("words")
-    rows = asked.join(searchable(docs), "doc_id")
-    n = F.size("chunks")
-    df = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), F.size(F.filter("chunks", lambda c: F.array_contains(c["tokens"], t["token"]))).alias("df"))
-    raw = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), _raw_idf(n, t["df"]).alias("raw"))
-    idf = lambda t: F.struct(t["token"].alias("token"), t["n"].alias("n"), F.when(t["raw"] < 0, EPSILON * F.col("mean_idf")).otherwise(t["raw"]).alias("idf"))
-    # terms that the document lacks add nothing to a score
-    present = bound(F.array_intersect(F.transform("terms", lambda t: t["token"]), F.col("vocabulary")), lambda known: F.filter("terms", lambda t: F.array_contains(known, t["token"])))
-    weighed = F.transform(F.transform(F.transform(present, df), raw), idf)
-
-    def add(sums: Column, h: Column, length: Column) -> Column:
-        part = h["n"] * h["idf"] * h["f"] * (K1 + 1) / (h["f"] + K1 * (1 - B + B * length / F.col("avgdl")))
-        return F.struct((sums["bm25"] + F.when(h["f"] > 0, part).otherwise(0.0)).alias("bm25"), (sums["dot"] + h["n"] * h["f"]).alias("dot"))
-
-    def score(c: Column, terms: Column) -> Column:
-        size = F.size(c["tokens"])
-        found = F.transform(terms, lambda t: F.struct(t["n"].alias("n"), t["idf"].alias("idf"), F.when(F.array_contains(c["tokens"], t["token"]), size - F.size(F.array_remove(c["tokens"], t["token"]))).otherwise(0).alias("f")))
-        none = F.struct(F.lit(0.0).alias("bm25"), F.lit(0).cast("long").alias("dot"))
-        return F.aggregate(found, none, lambda sums, h: add(sums, h, size))
-
-    rows = rows.withColumn("sums", bound(weighed, lambda terms: F.transform("chunks", lambda c: score(c, terms))))
-    whole = lambda s, i: F.struct(s["bm25"].alias("bm25"), F.when(s["dot"] > 0, s["dot"] / (F.get("norms", i) * F.col("q_norm"))).otherwise(0.0).alias("semantic"), (s["dot"] > 0).alias("shared"))
-    return rows.withColumn("scores", F.transform("sums", whole)).drop("terms", "q_norm", "sums", "norms", "vocabulary", "avgdl", "mean_idf")
-
-
-def shared_scores(claims: DataFrame, docs: DataFrame) -> DataFrame:
-    """response_id, claim_no, doc_id, idx, bm25, semantic of the chunks of passages.chunk_lists() that share a token with the claim."""
-    rows = scored(claims, docs).select("response_id", "claim_no", "doc_id", F.posexplode("scores").alias("idx", "score"))
-    return rows.where("score.shared").select("response_id", "claim_no", "doc_id", "idx", "score.bm25", "score.semantic")
+    index = docs if isinstance(docs, Index) else Index.of(docs)
+    return summed_scores(weighed_terms(claims, index.blocks, index.stats)).select("response_id", "claim_no", "doc_id", "idx", "bm25", "semantic")
+
+
+def bm25_topk(claims: DataFrame, docs: DataFrame | Index, k: int, first_blocks: int = 2) -> DataFrame:
+    """response_id, claim_no, doc_id, idx, bm25, rank of the k best chunks of each claim by BM25, of those that share a token.
+
+    Block-max skipping: what a block of chunks can score is bounded by its terms' largest counts and shortest chunk. The
+    first_blocks likeliest blocks of a claim are scored; of the others, only those whose bound reaches the k-th score there.
+    Scores are rounded to 9 digits, equal ones are ordered by position.
+    """
+    index = docs if isinstance(docs, Index) else Index.of(docs)
+    pair = ["response_id", "claim_no"]
+    weighed = weighed_terms(claims, index.blocks, index.stats)
+    # a term of negative weight scores least where it is rarest, so nothing is its bound
+    most = F.greatest(term_score(F.col("most_f"), F.col("least_len")), F.lit(0.0))
+    bounds = weighed.groupBy(*pair, "doc_id", "block").agg(F.sum(most).alias("bound"))
+    bounds = bounds.withColumn("nth", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("bound"), "block")))
+
+    def of(chosen: DataFrame) -> DataFrame:
+        scores = summed_scores(weighed.join(chosen.select(*pair, "block"), [*pair, "block"]))
+        return scores.select(*pair, "doc_id", "idx", F.round("bm25", 9).alias("bm25"))
+
+    def best(scores: DataFrame) -> DataFrame:
+        return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("bm25"), "idx"))).where(F.col("rank") <= k)
+
+    head = best(of(bounds.where(F.col("nth") <= first_blocks)))
+    least = head.where(F.col("rank") == k).select(*pair, F.col("bm25").alias("least"))
+    more = bounds.where(F.col("nth") > first_blocks).join(least, pair, "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
+    return best(head.drop("rank").unionByName(of(more)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -156,68 +219,76 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, same_label: bool
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _near_and_likely(claims: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _candidates(claims: DataFrame, index: Index, k: int) -> DataFrame:
     """The chunks that can be among the k best texts of each claim: the 2k nearest, and the first 3k texts by BM25.
 
-    A text outside the nearest counts by BM25 alone, and 2k texts at most are inside, so the first 3k hold the k best outside.
+    A text outside the nearest counts by BM25 alone, and 2k texts at most are inside, so the first 3k hold the k best
+    outside. place is the first chunk of an equal text. Chunks that share no token score 0 and are in order of position.
     """
-    def first(scores: Column, name: str) -> Column:
-        """Positions by falling score, then by place."""
-        return F.transform(F.array_sort(F.transform(scores, lambda s: F.struct((-s[name]).alias("turned"), s["idx"].alias("idx")))), lambda s: s["idx"])
-
-    def likely(scores: Column, texts: Column) -> Column:
-        found = F.slice(F.array_distinct(F.transform(first(scores, "bm25"), lambda i: F.get(texts, i))), 1, 3 * k)
-        return F.transform(found, lambda t: (F.array_position(texts, t) - 1).cast("int"))
-
-    def taken(i: Column, scores: Column, texts: Column, nearest: Column, top: Column) -> Column:
-        c, s, near = F.get("chunks", i), F.get(scores, i), F.array_position(nearest, i)
-        place = (F.array_position(texts, F.get(texts, i)) - 1).cast("int")  # a text's first place orders texts of equal score
-        return F.struct(place.alias("idx"), c["text"].alias("text"), c["parent"].alias("parent"), s["bm25"].alias("bm25"), s["semantic"].alias("semantic"), F.when(near > 0, near).alias("near"), top.alias("top"))
-
-    def chosen(scores: Column, texts: Column) -> Column:
-        top = F.aggregate(scores, F.lit(float("-inf")), lambda a, s: F.greatest(a, s["bm25"]))
-        all_of = lambda nearest: bound(top, lambda t: F.transform(F.array_union(nearest, likely(scores, texts)), lambda i: taken(i, scores, texts, nearest, t)))
-        return bound(F.slice(first(scores, "semantic"), 1, 2 * k), all_of)
-
-    rounded = F.transform("scores", lambda s, i: F.struct(F.round(s["bm25"], 9).alias("bm25"), F.round(s["semantic"], 9).alias("semantic"), i.alias("idx")))
-    texts = F.transform("chunks", lambda c: c["text"])
-    rows = scored(claims, docs).withColumn("taken", bound(rounded, lambda scores: bound(texts, lambda t: chosen(scores, t))))
-    return rows.select("response_id", "doc_id", "claim_no", "claim", F.explode("taken").alias("c")).select("response_id", "doc_id", "claim_no", "claim", "c.*")
-
-
-def _all_scored(claims: DataFrame, docs: DataFrame, k: int, semantic: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    by = ["response_id", "claim_no"]
+    shared = summed_scores(weighed_terms(claims, index.blocks, index.stats))
+    entry = F.struct("idx", "mark", F.round("bm25", 9).alias("bm25"), F.round("semantic", 9).alias("semantic"))
+    rows = claims.join(shared.groupBy(*by).agg(F.collect_list(entry).alias("shared")), by, "left").join(index.stats.select("doc_id", "marks"), "doc_id")
+    key = [*by, "doc_id", "claim", "marks"]
+    shared = F.coalesce("shared", F.array().cast("array<struct<idx:int,mark:bigint,bm25:double,semantic:double>>"))
+    rows = once(rows, key, shared=shared)
+    lacking = F.slice(F.array_except("marks", F.transform("shared", lambda s: s["mark"])), 1, 3 * k)
+    place = lambda mark: (F.array_position("marks", mark) - 1).cast("int")
+    early = F.array_except(F.sequence(F.lit(0), F.least(F.lit(2 * k), F.size("marks")) - 1), F.transform("shared", lambda s: s["idx"]))
+    none = lambda i: F.struct(i.cast("int").alias("idx"), F.get("marks", i.cast("int")).alias("mark"), F.lit(0.0).alias("bm25"), F.lit(0.0).alias("semantic"))
+    rows = once(rows, key, every=F.concat("shared", F.transform(F.array_union(early, F.transform(lacking, place)), none)))
+    sorted_by = lambda name: F.array_sort(F.transform("every", lambda s: F.struct((-s[name]).alias("turned"), s["idx"].alias("idx"), s["mark"].alias("mark"), s["bm25"].alias("bm25"), s["semantic"].alias("semantic"))))
+    top = F.coalesce(F.array_max(F.transform("every", lambda s: s["bm25"])), F.lit(0.0))
+    rows = once(rows, key, near=F.slice(sorted_by("semantic"), 1, 2 * k), likely=sorted_by("bm25"), top=top)
+    rows = once(rows, [*key, "near", "likely", "top"], marked=F.slice(F.array_distinct(F.transform("likely", lambda s: s["mark"])), 1, 3 * k))
+    firsts = F.transform("marked", lambda m: F.get(F.filter("likely", lambda s: s["mark"] == m), F.lit(0)))
+    taken = lambda s, near: F.struct(s["idx"].alias("idx"), s["mark"].alias("mark"), s["bm25"].alias("bm25"), s["semantic"].alias("semantic"), near.cast("int").alias("near"))
+    both = F.concat(F.transform("near", lambda s, i: taken(s, i + 1)), F.transform(firsts, lambda s: taken(s, F.lit(None))))
+    rows = exploded(rows, [*key, "top"], both, "c").select(*key, "top", "c.*")
+    return rows.withColumn("place", (F.array_position("marks", F.col("mark")) - 1).cast("int")).drop("marks", "mark")
+
+
+def _all_scored(claims: DataFrame, index: Index, k: int, semantic: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """All chunks of each claim's document with BM25 and a provider's scores."""
     by, pair = ["response_id", "claim_no"], ["response_id", "claim_no", "doc_id", "idx"]
-    chunks = docs.select("doc_id", F.posexplode("chunks").alias("idx", "c")).select("doc_id", "idx", "c.text", "c.parent")
-    own = chunks.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
-    rows = claims.join(own, "doc_id").join(shared_scores(claims, docs).drop("semantic"), pair, "left").join(semantic(claims, own), pair, "left").na.fill(0.0, ["bm25", "semantic"])
+    own = chunk_rows(index.lists).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = own.join(index.stats.select("doc_id", "marks"), "doc_id").select("doc_id", "idx", (F.array_position("marks", F.get("marks", F.col("idx"))) - 1).cast("int").alias("place"))
+    rows = claims.join(first, "doc_id").join(shared_scores(claims, index).drop("semantic"), pair, "left").join(semantic(claims, own), pair, "left").na.fill(0.0, ["bm25", "semantic"])
     rows = rows.withColumn("semantic", F.round("semantic", 9)).withColumn("bm25", F.round("bm25", 9))
     near = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("semantic"), "idx"))
     return rows.withColumn("top", F.max("bm25").over(Window.partitionBy(*by))).withColumn("near", near).withColumn("near", F.when(F.col("near") <= 2 * k, F.col("near")))
 
 
-def hybrid(claims: DataFrame, docs: DataFrame, k: int = TOP_K, semantic: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def chunk_rows(lists: DataFrame) -> DataFrame:
+    return exploded(lists, ["doc_id"], "chunks", "c", "idx").select("doc_id", "idx", "c.text", "c.parent")
+
+
+def hybrid(claims: DataFrame, docs: DataFrame | Index, k: int = TOP_K, semantic: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """response_id, doc_id, claim_no, claim, rank, idx, text, parent, score of the k best chunk texts of each claim.
 
-    docs is passages.chunk_lists(). Semantic scores, by default the cosine of token counts, count only for the 2k nearest
-    chunks, and only those bring their paragraph; equal texts are one hit. Equal scores are ordered by position, and scores
-    are rounded before they are ranked: sums in another order must not change the order of equal ones.
+    docs is passages.chunk_lists() or their index. Semantic scores, by default the cosine of token counts, count only for the
+    2k nearest chunks, and only those bring their paragraph; equal texts are one hit. Equal scores are ordered by position, and
+    scores are rounded before they are ranked: sums in another order must not change the order of equal ones. Texts join the
+    hits last, so no claim carries its document.
     """
     by = ["response_id", "claim_no"]
-    found = _near_and_likely(claims, docs, k) if semantic is None else _all_scored(claims, docs, k, semantic)
+    index = docs if isinstance(docs, Index) else Index.of(docs)
+    found = _candidates(claims, index, k) if semantic is None else _all_scored(claims, index, k, semantic)
     inside = F.col("near").isNotNull()
-    texts = found.groupBy(*by, "doc_id", "claim", "text").agg(
-        F.min("idx").alias("idx"),
+    texts = found.groupBy(*by, "doc_id", "claim", "place").agg(
         F.max(F.when(inside, F.col("semantic"))).alias("semantic"),
-        F.max_by(F.when(inside, F.col("parent")), "near").alias("parent"),
+        F.min(F.when(inside, F.struct("near", "idx"))).alias("nearest"),
         F.max("bm25").alias("bm25"),
         F.max("top").alias("top"),
     )
     keyword = F.col("bm25") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
-    score = F.round(SEMANTIC_SHARE * F.coalesce("semantic", F.lit(0.0)) + KEYWORD_SHARE * keyword, 4)
-    texts = texts.withColumn("score", score).withColumn("parent", F.coalesce("parent", "text"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "idx"))
-    return texts.withColumn("rank", rank).where(F.col("rank") <= k).select("response_id", "doc_id", "claim_no", "claim", "rank", "idx", "text", "parent", "score")
+    texts = texts.withColumn("score", F.round(SEMANTIC_SHARE * F.coalesce("semantic", F.lit(0.0)) + KEYWORD_SHARE * keyword, 4))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "place"))
+    best = texts.withColumn("rank", rank).where(F.col("rank") <= k)
+    # the nearest chunk of a text has its text, and the paragraph where it stands
+    of = best.select(*by, "doc_id", "claim", "rank", F.col("place").alias("first"), "score", F.coalesce("nearest.idx", "place").alias("idx"), F.col("nearest").isNotNull().alias("inside"))
+    rows = of.join(chunk_rows(index.lists), ["doc_id", "idx"])
+    return rows.select(*by, "doc_id", "claim", "rank", F.col("first").alias("idx"), "text", F.when(F.col("inside"), F.col("parent")).otherwise(F.col("text")).alias("parent"), "score").select("response_id", "doc_id", "claim_no", "claim", "rank", "idx", "text", "parent", "score")
 
 
 def contexts(hits: DataFrame) -> DataFrame:

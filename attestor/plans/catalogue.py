@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import facts as K
 from attestor.functions import text as T
+from attestor.functions.rows import exploded, once
 from attestor.operators import models, passages, retrieval, summary
 from attestor.operators.verdict import needs_judge, verdict
 from attestor.plans import fixtures as X
@@ -41,7 +42,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:
-    return passages.responses(table(spark, d, "conversations"))
+    return passages.responses(spread(table(spark, d, "conversations")))
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ def child_chunks_w3(spark, d):
 
 @query(f"WITH {S.LISTS} SELECT lang, CAST(sum(len(s)) AS BIGINT) AS chunks, CAST(max(len(s)) AS BIGINT) AS most, CAST(count(*) AS BIGINT) AS docs, CAST(sum(list_sum(list_transform(s, lambda x: length(x)))) AS BIGINT) AS chars FROM lists GROUP BY lang")
 def chunk_stats_by_lang(spark, d):
-    rows = _docs(spark, d).select("lang", T.sentences(F.col("text")).alias("s"))
+    rows = once(_docs(spark, d), ["lang"], s=T.sentences(F.col("text")))
     chars = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     return rows.groupBy("lang").agg(F.sum(F.size("s")).alias("chunks"), F.max(F.size("s")).cast("long").alias("most"), F.count("*").alias("docs"), F.sum(chars).alias("chars"))
 
@@ -124,7 +125,7 @@ _LINES = rf"list_filter(list_transform(string_split(text, chr(10)), lambda x: re
 
 @query(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, s[i] AS line FROM (SELECT doc_id, {_LINES} AS s FROM documents) x, unnest(range(1, len(s) + 1)) AS r(i)")
 def page_line_clean(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.posexplode(T.page_lines(F.col("text"))).alias("line_no", "line"))
+    rows = exploded(_docs(spark, d), ["doc_id"], T.page_lines(F.col("text")), "line", "line_no")
     return rows.select("doc_id", *_long("line_no"), "line")
 
 
