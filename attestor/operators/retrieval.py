@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC_SHARE, KEYWORD_SHARE, TOP_K = 0.6, 0.4, 3
 #: Queries of a vector search that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: Texts that an embedding model gets at a time.
+EMBED_BATCH = 50
 #: Chunks of a block of postings.
 BLOCK_CHUNKS = 128
 
@@ -118,16 +120,16 @@ def summed_scores(weighed: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """An inverted index of documents' chunks: posting_blocks(), document_stats() and the chunks' lists."""
+    """An inverted index of documents' chunks: posting_blocks(), document_stats() and rows (doc_id, idx, text, parent) of the chunks."""
 
     blocks: DataFrame
     stats: DataFrame
-    lists: DataFrame
+    rows: DataFrame
 
     @staticmethod
     def of(lists: DataFrame, block: int = BLOCK_CHUNKS) -> Index:
         rows = postings(lists)
-        return Index(posting_blocks(rows, block), document_stats(lists, rows), lists)
+        return Index(posting_blocks(rows, block), document_stats(lists, rows), chunk_rows(lists))
 
 
 def shared_scores(claims: DataFrame, docs: DataFrame | Index) -> DataFrame:
@@ -251,7 +253,7 @@ def _candidates(claims: DataFrame, index: Index, k: int) -> DataFrame:
 def _all_scored(claims: DataFrame, index: Index, k: int, semantic: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """All chunks of each claim's document with BM25 and a provider's scores."""
     by, pair = ["response_id", "claim_no"], ["response_id", "claim_no", "doc_id", "idx"]
-    own = chunk_rows(index.lists).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = index.rows.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
     first = own.join(index.stats.select("doc_id", "marks"), "doc_id").select("doc_id", "idx", (F.array_position("marks", F.get("marks", F.col("idx"))) - 1).cast("int").alias("place"))
     rows = claims.join(first, "doc_id").join(shared_scores(claims, index).drop("semantic"), pair, "left").join(semantic(claims, own), pair, "left").na.fill(0.0, ["bm25", "semantic"])
     rows = rows.withColumn("semantic", F.round("semantic", 9)).withColumn("bm25", F.round("bm25", 9))
@@ -287,7 +289,7 @@ def hybrid(claims: DataFrame, docs: DataFrame | Index, k: int = TOP_K, semantic:
     best = texts.withColumn("rank", rank).where(F.col("rank") <= k)
     # the nearest chunk of a text has its text, and the paragraph where it stands
     of = best.select(*by, "doc_id", "claim", "rank", F.col("place").alias("first"), "score", F.coalesce("nearest.idx", "place").alias("idx"), F.col("nearest").isNotNull().alias("inside"))
-    rows = of.join(chunk_rows(index.lists), ["doc_id", "idx"])
+    rows = of.join(index.rows.select("doc_id", "idx", "text", "parent"), ["doc_id", "idx"])
     return rows.select(*by, "doc_id", "claim", "rank", F.col("first").alias("idx"), "text", F.when(F.col("inside"), F.col("parent")).otherwise(F.col("text")).alias("parent"), "score").select("response_id", "doc_id", "claim_no", "claim", "rank", "idx", "text", "parent", "score")
 
 
@@ -297,18 +299,30 @@ def contexts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("response_id", "doc_id", "claim_no", "claim").agg(listed.alias("parents")).withColumn("context", F.array_join("parents", " "))
 
 
-def embedded(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """rows with `embedding` of a text column; load() is called once a worker and gives a function of texts."""
+def embedded(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = EMBED_BATCH) -> DataFrame:
+    """rows with `embedding` of a text column; load() is called once a worker and gives a function of up to batch texts."""
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:
-            yield pd.Series([[float(x) for x in v] for v in model(texts.tolist())])
+            made = [v for i in range(0, len(texts), batch) for v in model(texts.iloc[i : i + batch].tolist())]
+            yield pd.Series([[float(x) for x in v] for v in made])
 
     return rows.withColumn("embedding", embed(column))
 
 
+def stored_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = EMBED_BATCH) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """model_cosine() on chunks that bring their embedding, as those of a ChunkStore do: only claims are embedded."""
+
+    def provide(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+        asked = embedded(claims.select("response_id", "claim_no", "doc_id", "claim"), "claim", load, batch).withColumnRenamed("embedding", "q")
+        pairs = asked.join(chunks.where("embedding is not null").select("doc_id", "idx", "embedding"), "doc_id")
+        return pairs.select("response_id", "claim_no", "doc_id", "idx", cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+    return provide
+
+
 def model_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A semantic provider by an embedding model: cosine of claims and the chunks of their own documents.
 

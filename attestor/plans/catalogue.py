@@ -156,7 +156,7 @@ def claims_distinct_limit(spark, d):
 
 def _store(spark: SparkSession, d: str) -> ChunkStore:
     """A store of all documents' chunks, in a scratch folder."""
-    store = ChunkStore(spark, scratch(spark, "store"), buckets=16)
+    store = ChunkStore(spark, scratch(spark, "store"))
     store.upsert(passages.chunks(_docs(spark, d)))
     return store
 
@@ -165,6 +165,17 @@ def _stored_counts(store: ChunkStore) -> DataFrame:
     return store.read().groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("chunks"))
 
 
+def _stored_index(spark: SparkSession, d: str) -> tuple[DataFrame, retrieval.Index]:
+    """All claims, and the stored index of their documents after some were replaced by themselves."""
+    claims, docs = _claims(spark, d), _docs(spark, d)
+    store = ChunkStore(spark, scratch(spark, "store"))
+    own = docs.join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
+    store.upsert(passages.chunks(own))
+    store.upsert(passages.chunks(own.where("doc_id % 3 = 0")))
+    claims = claims.withColumn("doc_id", F.col("doc_id").cast("string"))
+    return claims, store.index(claims)
+
+
 @query(CHUNKS_OF_ALL + "SELECT DISTINCT doc_id FROM chunk")
 def list_documents(spark, d):
     return _store(spark, d).documents().select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -204,7 +215,7 @@ def upsert_chunks(spark, d):
 def store_search(spark, d):
     """The first vector's nearest ones among the stored chunks of one document."""
     rows = table(spark, d, "embeddings")
-    store = ChunkStore(spark, scratch(spark, "store"), buckets=4)
+    store = ChunkStore(spark, scratch(spark, "store"))
     name = F.col("vec_id").cast("string")
     store.upsert(rows.select((F.col("vec_id") % 7).cast("string").alias("doc_id"), F.col("vec_id").cast("int").alias("idx"), name.alias("text"), name.alias("parent"), name.alias("chunk_id"), "embedding"))
     asked = rows.orderBy("vec_id").select("embedding").first()[0]
@@ -304,6 +315,23 @@ def bm25_normalized(spark, d):
     return rows.select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round(F.col("bm25") / F.when(top > 0, top).otherwise(1.0), 4).alias("score"))
 
 
+_BEST = "SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(doc_id AS BIGINT) AS doc_id, CAST(rank AS BIGINT) AS rank, CAST(idx AS BIGINT) AS idx, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY response_id, claim_no ORDER BY score DESC, idx) AS rank FROM (SELECT *, round(bm25, 9) AS score FROM bm)) WHERE rank <= 5"
+
+
+@query(_BM + _BEST)
+def bm25_topk(spark, d):
+    """The five best chunks of each claim, from stored postings, by block-max skipping."""
+    claims, index = _stored_index(spark, d)
+    return retrieval.bm25_topk(claims, index, 5).select("response_id", *_long("claim_no", "doc_id", "rank", "idx"), F.round("bm25", 4).alias("score"))
+
+
+@query(_BM + "SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(n_chunks AS BIGINT) AS n_chunks, round(avgdl, 6) AS avgdl, round(mean_idf, 6) AS mean_idf FROM stats JOIN (SELECT doc_id, avg(raw) AS mean_idf FROM idf0 GROUP BY doc_id) USING (doc_id)")
+def stored_stats(spark, d):
+    """Statistics that a store has kept through a replacement."""
+    _, index = _stored_index(spark, d)
+    return index.stats.select(*_long("doc_id", "n_chunks"), F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"))
+
+
 _COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
 _TOP = (
     "SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, round(score, 4) AS score FROM (SELECT q.vec_id AS query_id, v.vec_id, "

@@ -80,7 +80,7 @@ def verify(docs: DataFrame, responses: DataFrame, providers: Providers | None =
 
 
 def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, providers: Providers | None = None, options: Options | None = None) -> DataFrame:
-    """verify() on the store's chunks: documents that aren't stored yet are added first, stored ones aren't split again.
+    """verify() on the store's index: documents that aren't stored yet are added first, stored ones aren't split or counted again.
 
     doc_id is text on both sides, and should name a document's content.
     """
@@ -88,11 +88,11 @@ def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, prov
     store.upsert(passages.chunks(store.missing(docs)))
     options = options or Options()
     claims = passages.claims(responses, options.claim_limit)
-    return _verdicts(store.chunk_lists(claims), claims, providers or Providers(), options)
+    return _verdicts(store.index(claims), claims, providers or Providers(), options)
 
 
-def _verdicts(lists: DataFrame, claims: DataFrame, providers: Providers, options: Options) -> DataFrame:
-    rows = checked(retrieval.hybrid(claims, lists, options.top_k, providers.semantic), providers, options)
+def _verdicts(docs: DataFrame | retrieval.Index, claims: DataFrame, providers: Providers, options: Options) -> DataFrame:
+    rows = checked(retrieval.hybrid(claims, docs, options.top_k, providers.semantic), providers, options)
     rows = claims.join(_with_judge(rows, providers.judge).drop("claim"), models.CLAIM, "left")
     none = F.array().cast("array<string>")
     given = verdict(

@@ -35,4 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once to a scratch folder and read back: nothing above it is made again."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of stored() frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)

@@ -1,83 +1,68 @@
-"""A chunk store: a Parquet table bucketed into partitions by document, with replace-by-document writes and vector search."""
+"""A chunk store: chunks of documents, their inverted index and statistics, replaced by document, in one snapshot table."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.sources.scratch import remove
+from attestor.operators import retrieval
+from attestor.sources.scratch import discard, stored
+from attestor.sources.snapshots import SnapshotTable
 
-SCHEMA = "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>, bucket int"
-#: Documents share partitions, so that many small ones don't make as many folders.
-BUCKETS = 256
+ENTRIES = "array<struct<idx:int,f:int,len:int,norm:double,mark:bigint>>"
+#: The store's parts: chunks; blocks of postings; statistics of documents.
+PARTS = {
+    "chunks": "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>",
+    "postings": f"doc_id string, token string, block int, entries {ENTRIES}, n bigint, most_f int, least_len int",
+    "documents": "doc_id string, n_chunks int, marks array<bigint>, avgdl double, mean_idf double",
+}
 
 
 class ChunkStore:
-    """Chunks of documents in a folder, by bucket of doc_id. A write replaces the chunks of the documents written.
+    """Chunks of documents in a folder. A write replaces the chunks of the documents written, and what follows from them.
 
-    One writer at a time. Only the buckets that a write touches are replaced, when it has ended: a write that fails leaves
-    the table as it was, and one that is repeated gives the same table.
+    A write appends files and never changes one: it costs as much as the documents written. It is there as a whole or not at
+    all, for all parts. Postings, document frequencies and mean lengths are those of a document, so a write of some documents
+    leaves those of all others as they are, and they equal what a rebuild would give.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.table = spark, SnapshotTable(spark, path, PARTS)
 
-    def _exists(self, path: str) -> bool:
-        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(found)
-
-    def read(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
         """All chunks; none if nothing was ever written."""
-        if not self._exists(self.path):
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.table.read("chunks", version)
 
-    def _bucket(self, doc_id: Column | str) -> Column:
-        return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
+    def upsert(self, chunks: DataFrame) -> int | None:
+        """Replaces all chunks of the documents in chunks(doc_id, idx, text, parent, chunk_id and perhaps embedding); nothing if it is empty.
 
-    @contextmanager
-    def _staged(self, rows: DataFrame) -> Iterator[DataFrame]:
-        """rows written aside first, as a table can't be overwritten while it is read; the folder goes in any case."""
-        aside = f"{self.path}-staged-{uuid.uuid4().hex[:8]}"
+        The chunks are made once, written aside, and indexed from there. Gives the new version.
+        """
+        vector = F.col("embedding").cast("array<float>") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
+        fresh = stored(chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("idx").cast("int").alias("idx"), "text", "parent", "chunk_id", vector.alias("embedding")), "chunks")
         try:
-            rows.write.parquet(aside)
-            yield self.spark.read.schema(rows.schema).parquet(aside)
+            if fresh.isEmpty():
+                return None
+            index = retrieval.Index.of(listed(fresh))
+            return self.table.commit({"chunks": fresh, "postings": index.blocks, "documents": index.stats}, fresh.select("doc_id"))
         finally:
-            remove(self.spark, aside)
+            discard(fresh)
 
-    def _replace(self, rows: DataFrame) -> None:
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-
-    def upsert(self, chunks: DataFrame) -> None:
-        """Replaces all chunks of the documents in chunks(doc_id, idx, text, parent, chunk_id and perhaps embedding); nothing if it is empty."""
-        vector = F.col("embedding").cast("array<float>") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
-        new = chunks.select(F.col("doc_id").cast("string"), F.col("idx").cast("int"), "text", "parent", "chunk_id", vector.alias("embedding")).withColumn("bucket", self._bucket("doc_id"))
-        with self._staged(new) as fresh:
-            ids, old = fresh.select("doc_id", "bucket").distinct(), self.read()
-            kept = old.join(ids.select("bucket").distinct(), "bucket", "left_semi").join(ids, ["doc_id", "bucket"], "left_anti")
-            with self._staged(kept.select(*new.columns).union(fresh)) as rows:
-                self._replace(rows)
-
-    def delete(self, doc_ids: DataFrame) -> None:
-        """Removes the chunks of doc_ids(doc_id); a bucket that becomes empty goes with its folder."""
-        ids = doc_ids.select(F.col("doc_id").cast("string")).distinct().withColumn("bucket", self._bucket("doc_id"))
-        with self._staged(ids) as gone:
-            old = self.read()
-            touched = old.join(gone.select("bucket").distinct(), "bucket", "left_semi")
-            with self._staged(touched.join(gone, ["doc_id", "bucket"], "left_anti").select(*old.columns)) as rest:
-                had, left = ({r.bucket for r in rows.select("bucket").distinct().collect()} for rows in (touched, rest))  # self.buckets at most
-                self._replace(rest)
-                for bucket in had - left:
-                    remove(self.spark, f"{self.path}/bucket={bucket}")
+    def delete(self, doc_ids: DataFrame) -> int:
+        """Ends the chunks of doc_ids(doc_id)."""
+        return self.table.commit(ended=doc_ids.select("doc_id"))
 
     def of_document(self, doc_id: str) -> DataFrame:
-        """Chunks of one document: its bucket alone is read."""
-        bucket = self.spark.range(1).select(self._bucket(F.lit(doc_id))).first()[0]
-        return self.read().where((F.col("bucket") == bucket) & (F.col("doc_id") == doc_id))
+        """Chunks of one document: statistics and Bloom filters skip what doesn't hold it."""
+        return self.read().where(F.col("doc_id") == doc_id)
+
+    def index(self, docs: DataFrame, version: int | None = None) -> retrieval.Index:
+        """The stored inverted index of the documents of docs(doc_id): nothing is split or counted again."""
+        ids = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        part = lambda name: self.table.read(name, version).join(ids, "doc_id", "left_semi")
+        return retrieval.Index(part("postings"), part("documents"), rows=part("chunks").select("doc_id", "idx", "text", "parent", "embedding"))
 
     def search(self, vector: Sequence[float], top_k: int = 4, doc_id: str | None = None) -> DataFrame:
         """doc_id, idx, text, parent, score of the top_k stored chunks by cosine with vector, of one document if doc_id is given.
@@ -85,25 +70,23 @@ class ChunkStore:
         Each task keeps its own best top_k. Equal scores are in the order of document and place; chunks without an
         embedding aren't found.
         """
-        from attestor.operators.retrieval import cosine
-
         rows = self.read() if doc_id is None else self.of_document(doc_id)
         asked = F.array(*[F.lit(float(x)) for x in vector])
-        score = F.round(cosine(F.col("embedding"), asked), 6)
+        score = F.round(retrieval.cosine(F.col("embedding"), asked), 6)
         return rows.where("embedding is not null").select("doc_id", "idx", "text", "parent", score.alias("score")).orderBy(F.desc("score"), "doc_id", "idx").limit(top_k)
 
-    def chunk_lists(self, docs: DataFrame) -> DataFrame:
-        """doc_id, chunks (text and parent, by position) of the documents of docs(doc_id), as passages.chunk_lists() has them."""
-        rows = self.read().join(docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        listed = F.array_sort(F.collect_list(F.struct("idx", "text", "parent")))  # of one document
-        return rows.groupBy("doc_id").agg(F.transform(listed, lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"))).alias("chunks"))
-
     def missing(self, docs: DataFrame) -> DataFrame:
         """Rows of docs(doc_id, ...) whose chunks aren't stored yet; ids that name the content make this a cache."""
-        return docs.join(self.read().select("doc_id").distinct(), "doc_id", "left_anti")
+        return docs.join(self.table.read("documents").select("doc_id"), "doc_id", "left_anti")
 
     def documents(self) -> DataFrame:
-        return self.read().select("doc_id").distinct()
+        return self.table.read("documents").select("doc_id")
 
     def count(self) -> int:
-        return self.read().count()
+        return self.table.read("documents").agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
+
+
+def listed(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunks (text and parent, by position) of chunks(doc_id, idx, text, parent), as passages.chunk_lists() has them."""
+    found = F.array_sort(F.collect_list(F.struct("idx", "text", "parent")))  # of one document
+    return chunks.groupBy("doc_id").agg(F.transform(found, lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"))).alias("chunks"))

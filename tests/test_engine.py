@@ -156,7 +156,7 @@ def test_pair_needs_both_texts(spark):
 
 
 def test_store(spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "store"), buckets=4)
+    store = ChunkStore(spark, str(tmp_path / "store"))
     docs = spark.createDataFrame([("a", TOWER), ("b", TOWER + " One more sentence is here now.")], ["doc_id", "text"])
     assert store.count() == 0
     store.upsert(passages.chunks(docs))
@@ -173,7 +173,7 @@ def test_store(spark, tmp_path):
 
 
 def test_a_failed_write_leaves_the_store_as_it_was(spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    store = ChunkStore(spark, str(tmp_path / "store"))
     store.upsert(passages.chunks(spark.createDataFrame([("a", TOWER), ("b", TOWER)], ["doc_id", "text"])))
     before = sorted(map(str, store.read().collect()))
     broken = spark.createDataFrame([("a",), ("b",)], ["doc_id"]).select(F.when(F.col("doc_id") == "b", F.raise_error(F.lit("lost"))).otherwise(F.col("doc_id")).alias("doc_id"))
@@ -182,10 +182,73 @@ def test_a_failed_write_leaves_the_store_as_it_was(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         store.upsert(broken.select("doc_id", F.lit(0).alias("idx"), F.lit("t").alias("text"), F.lit("p").alias("parent"), F.lit("c").alias("chunk_id")))
     assert sorted(map(str, store.read().collect())) == before and [p.name for p in tmp_path.iterdir()] == ["store"]
+    assert store.table.versions() == [1] and not store.table.vacuum()  # no folder of the failed writes is left
+
+
+def live(store):
+    return {n: sorted(map(str, store.table.read(n).drop("entries").collect())) for n in store.table.parts}
+
+
+def test_a_write_of_one_document_appends_that_document_only(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    docs = spark.createDataFrame([(f"d{i}", TOWER + f" Sentence number {i} is the last one here.") for i in range(30)], ["doc_id", "text"])
+    store.upsert(passages.chunks(docs))
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "data").rglob("*.parquet")}
+    store.upsert(passages.chunks(docs.where("doc_id = 'd7'").withColumn("text", F.lit("Only this sentence is left of it."))))
+    now = set((tmp_path / "store" / "data").rglob("*.parquet"))
+    assert all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    folders = {p.parent for p in now - set(kept)}
+    assert len(folders) == 4 and spark.read.parquet(*map(str, folders)).where("doc_id <> 'd7'").count() == 0
+    assert store.of_document("d7").count() == 1 and store.count() == store.read().count() == 29 * 8 + 1
+    # old versions stay as they were, until they are vacuumed
+    assert store.read(version=1).count() == 30 * 8
+    with pytest.raises(ValueError, match="no version"):
+        store.read(version=9)
+    rebuilt = ChunkStore(spark, str(tmp_path / "rebuilt"))
+    rebuilt.upsert(store.read())
+    before = live(store)
+    assert before == live(rebuilt)
+    store.table.compact()
+    assert live(store) == before and len(store.table.commits()) == 1
+    assert store.table.vacuum() and live(store) == before and store.table.versions() == [3]
+
+
+def test_writers_that_meet_both_commit(spark, tmp_path, monkeypatch):
+    from attestor.sources.snapshots import SnapshotTable
+
+    one, two = (SnapshotTable(spark, str(tmp_path / "t"), {"rows": "doc_id string, n int"}) for _ in range(2))
+    one.commit({"rows": spark.createDataFrame([("a", 1)], ["doc_id", "n"])})
+    seen = one.versions()
+    two.commit({"rows": spark.createDataFrame([("b", 2)], ["doc_id", "n"])})
+    real, calls = one.versions, []
+    monkeypatch.setattr(one, "versions", lambda: calls.append(1) or (seen if len(calls) < 3 else real()))
+    assert one.commit({"rows": spark.createDataFrame([("a", 3)], ["doc_id", "n"])}, spark.createDataFrame([("a",)], ["doc_id"])) == 3
+    assert sorted(map(tuple, two.read("rows").collect())) == [("a", 3), ("b", 2)]
+
+
+def test_block_max_skipping_finds_the_best_chunks(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "rare", "the", "of", "and"]
+    text = " ".join(" ".join(rng.choices(words, weights=[2, 2, 2, 2, 1, 9, 9, 9], k=rng.randint(4, 9))).capitalize() + "." for _ in range(400))
+    docs = spark.createDataFrame([("d", text), ("e", "Alpha beta gamma delta."), ("f", "The of and the of. The of and the of.")], ["doc_id", "text"])
+    claims = spark.createDataFrame([("r", i, d, c) for i, (d, c) in enumerate([("d", "alpha rare"), ("d", "the of and"), ("d", "Rare rare beta delta."), ("e", "gamma"), ("f", "the of"), ("d", "unknown")])], "response_id string, claim_no int, doc_id string, claim string")
+    lists = passages.chunk_lists(docs)
+    index = retrieval.Index.of(lists, block=4)
+    assert index.blocks.where("doc_id = 'd'").select("block").distinct().count() > 50
+    every = {}
+    for r in retrieval.shared_scores(claims, retrieval.Index.of(lists)).collect():
+        every.setdefault(r.claim_no, []).append((-round(r.bm25, 9), r.idx))
+    for k, first in ((3, 1), (10, 2)):
+        got = {}
+        for r in retrieval.bm25_topk(claims, index, k, first).collect():
+            got.setdefault(r.claim_no, {})[r["rank"]] = (-r.bm25, r.idx)
+        assert {c: [x[i] for i in sorted(x)] for c, x in got.items()} == {c: sorted(x)[:k] for c, x in every.items()}
 
 
 def test_store_search(spark, tmp_path):
-    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    store = ChunkStore(spark, str(tmp_path / "store"))
     rows = [("a", 0, "x", "p", "a_0", [1.0, 0.0]), ("a", 1, "y", "p", "a_1", [0.6, 0.8]), ("b", 0, "z", "q", "b_0", [1.0, 0.0]), ("b", 1, "none", "q", "b_1", None)]
     store.upsert(spark.createDataFrame(rows, "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>"))
     assert [(r.text, r.score) for r in store.search([2.0, 0.0], 3).collect()] == [("x", 1.0), ("z", 1.0), ("y", 0.6)]
@@ -195,7 +258,7 @@ def test_store_search(spark, tmp_path):
 def test_stored_documents_are_not_split_again(spark, tmp_path):
     from attestor.plans.verify import verify_stored
 
-    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    store = ChunkStore(spark, str(tmp_path / "store"))
     docs = spark.createDataFrame([("a", TOWER)], ["doc_id", "text"])
     said = spark.createDataFrame([("r", "a", "The tower stands 330 meters tall and was built by Gustave Eiffel in Paris.")], ["response_id", "doc_id", "text"])
     first = verify_stored(store, docs, said).collect()
