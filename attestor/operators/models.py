@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
-from attestor.sources.scratch import stored
+from attestor.sources.cache import ContentCache
+from attestor.sources.scratch import scratch, stored
 
 ENTAILMENT, CONTRADICTION, NEUTRAL = "ENTAILMENT", "CONTRADICTION", "NEUTRAL"
 CLAIM = ["response_id", "doc_id", "claim_no"]
@@ -139,36 +140,48 @@ def judge_by_rule(gated: DataFrame) -> DataFrame:
 class Judge:
     """A real judge: call(prompt) gives a reply, with at most `calls` partitions asking at a time, `pause` seconds apart each.
 
-    Equal prompts are asked once. Replies are written to the shared scratch folder when the plan is made and then joined,
-    so that no later action asks the service again. An error becomes an UNKNOWN verdict whose reasoning names it, and the
-    claim goes on.
+    Equal prompts are asked once. A failed call is tried again up to `tries` times, after `wait` seconds and then twice as long
+    each time; after that it is an UNKNOWN verdict whose reasoning names the error, and the claim goes on. Replies are kept by
+    prompt in the folder `replies`, which later runs read and add to; errors never are. Without it they are kept for the run.
     """
 
     call: Callable[[str], str]
     calls: int = 4
     pause: float = 0.0
+    replies: str | None = None
+    tries: int = 3
+    wait: float = 1.0
 
     def __call__(self, gated: DataFrame) -> DataFrame:
-        call, pause = self.call, self.pause
+        call, pause, tries, wait = self.call, self.pause, self.tries, self.wait
+
+        def answer(text: str) -> tuple[str, bool]:
+            for turn in range(tries):
+                try:
+                    return call(text), False
+                except Exception as e:  # noqa: BLE001  any failure of a remote service
+                    error = str(e).replace("\n", " ")
+                if turn + 1 < tries:
+                    time.sleep(wait * 2**turn)
+            return "REASONING: API error: " + error, True
 
         def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 replies = []
-                for text in batch["prompt"]:
-                    try:
-                        replies.append(call(text))
-                    except Exception as e:  # noqa: BLE001  any failure of a remote service
-                        replies.append("REASONING: API error: " + str(e).replace("\n", " "))
+                for text in batch["text"]:
+                    replies.append(answer(text))
                     time.sleep(pause)
-                yield batch.assign(raw=replies)
+                yield pd.DataFrame({"name": batch["name"], "raw": [r for r, _ in replies], "failed": [f for _, f in replies]})
 
         # the claims with their prompts are made once too: asking and joining must see the same
-        asked = stored(gated.select(*CLAIM, prompt(F.col("parents"), F.col("claim")).alias("prompt")), "prompts")
-        replies = stored(asked.select("prompt").distinct().repartition(self.calls).mapInPandas(ask, "prompt string, raw string"), "replies")
-        return gated.join(asked.join(replies, "prompt").drop("prompt"), CLAIM)
+        asked = stored(gated.select(*CLAIM, prompt(F.col("parents"), F.col("claim")).alias("text")), "prompts")
+        spark = gated.sparkSession
+        cache = ContentCache(spark, self.replies or scratch(spark, "replies"), "raw string")
+        replies = cache.filled(asked, lambda lacking: lacking.repartition(self.calls).mapInPandas(ask, "name string, raw string, failed boolean"))
+        return gated.join(asked.join(replies, "text").drop("text"), CLAIM)
 
 
-def remote_judge(url: str, model: str, key_name: str = "JUDGE_API_KEY", calls: int = 4, seconds: float = 60.0) -> Judge:
+def remote_judge(url: str, model: str, key_name: str = "JUDGE_API_KEY", calls: int = 4, seconds: float = 60.0, replies: str | None = None) -> Judge:
     """A judge behind a chat-completions service. Each worker reads the key from its own environment.
 
     ValueError if the key isn't set where the plan is made; what goes wrong in a call is that claim's UNKNOWN.
@@ -183,7 +196,7 @@ def remote_judge(url: str, model: str, key_name: str = "JUDGE_API_KEY", calls: i
         with urllib.request.urlopen(request, timeout=seconds) as reply:
             return json.load(reply)["choices"][0]["message"]["content"]
 
-    return Judge(call, calls)
+    return Judge(call, calls, replies=replies)
 
 
 def judged(gated: DataFrame, judge: Callable[[DataFrame], DataFrame] = judge_by_rule) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import text as T
 from attestor.functions.rows import exploded, once
+from attestor.sources.cache import ContentCache
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEMANTIC_SHARE, KEYWORD_SHARE, TOP_K = 0.6, 0.4, 3
@@ -312,6 +313,15 @@ def embedded(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str
     return rows.withColumn("embedding", embed(column))
 
 
+def embedded_once(rows: DataFrame, column: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], cache: ContentCache, batch: int = EMBED_BATCH) -> DataFrame:
+    """embedded(), with vectors kept by content in cache (embedding array<float>): only texts that it lacks meet the model, each once.
+
+    The texts' vectors are joined back by text; a null text has none.
+    """
+    vectors = cache.filled(rows.select(F.col(column).alias("text")), lambda lacking: embedded(lacking, "text", load, batch).select("name", "embedding"))
+    return rows.join(vectors.withColumnRenamed("text", column), column, "left").select(*rows.columns, "embedding")
+
+
 def stored_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = EMBED_BATCH) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """model_cosine() on chunks that bring their embedding, as those of a ChunkStore do: only claims are embedded."""
 

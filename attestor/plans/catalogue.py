@@ -18,6 +18,7 @@ from attestor.plans.verify import Options, Providers, checked, hits, verify
 from attestor.sources.inputs import spread, table
 from attestor.sources.scratch import scratch
 from attestor.sources.store import ChunkStore
+from attestor.sources.vectors import MOST_LISTS, VectorIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,6 +359,25 @@ def vector_topk_filtered(spark, d):
     return retrieval.vector_topk(asked, rows, 8, same_label=True).select("query_id", *_long("rank"), "vec_id", F.round("score", 4).alias("score"))
 
 
+def _vector_index(spark, d, probes=None):
+    rows, asked = _queries_of(spark, d)
+    index = VectorIndex(spark, scratch(spark, "vectors"))
+    index.build(rows)
+    return index.search(asked, 8, probes).select("query_id", *_long("rank"), "vec_id", F.round("score", 4).alias("score"))
+
+
+@query()
+def vector_index_topk(spark, d):
+    """The stated queries' nearest vectors, from inverted lists at the calibrated number of probes."""
+    return _vector_index(spark, d)
+
+
+@query(_TOP.format(on="true"))
+def vector_index_exact(spark, d):
+    """The same index with all lists probed."""
+    return _vector_index(spark, d, MOST_LISTS)
+
+
 @query(_BM[:-1] + f", {S.SEMANTIC} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, doc_id, CAST(idx AS BIGINT) AS idx, round(semantic, 4) AS score FROM sem")
 def semantic_scores(spark, d):
     return _pair_scores(spark, d).select("response_id", *_long("claim_no"), "doc_id", *_long("idx"), F.round("semantic", 4).alias("score"))
