@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,50 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators.passages import page_texts
-
-_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:[^\]\\]|\\.)*\]\s*TJ|T\*|T[dD]\b|ET", re.S)
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
-
-
-def _unescaped(raw: bytes) -> bytes:
-    def one(m: re.Match) -> bytes:
-        c = m[1]
-        return bytes([int(c, 8) & 255]) if c[:1].isdigit() else _ESCAPES.get(c, c)
-
-    return re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S)
-
-
-def simple_pages(content: bytes) -> list[str]:
-    """Text of the content streams of a plain PDF (uncompressed or Flate, Latin-1 strings), a stream a page.
-
-    It knows no font encodings; a PDF library takes its place where one is installed. ValueError for other bytes.
-    """
-    if not content.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    pages = []
-    for head, body in _STREAM.findall(content):
-        if b"FlateDecode" in head:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error:
-                continue
-        if b"BT" not in body:
-            continue
-        out = []
-        for m in _SHOWN.finditer(body):
-            strings = [_unescaped(s) for s in _STRING.findall(m[0])]
-            out.append(b"".join(strings).decode("latin-1") if strings else "\n")
-        pages.append("".join(out))
-    return pages
+from attestor.sources.pdf_objects import page_texts as page_texts_of
 
 
 def _extractor() -> Callable[[bytes], list[str]]:
+    """A PDF library where one is installed, else the engine's own reader."""
     try:
         import fitz
     except ImportError:
-        return simple_pages
+        return page_texts_of
     return lambda content: [page.get_text("text") for page in fitz.open(stream=content, filetype="pdf")]
 
 

@@ -15,7 +15,6 @@ from attestor.operators import models, passages, retrieval, summary
 from attestor.operators.verdict import needs_judge, verdict
 from attestor.plans.catalogue import QUERIES
 from attestor.plans.verify import Options, Providers, verify
-from attestor.sources import pdf
 from attestor.sources.inputs import pair
 from attestor.sources.store import ChunkStore
 
@@ -325,16 +324,6 @@ def test_default_scores_equal_a_provider_of_the_same(spark):
     assert a == b and len(a) > 3
 
 
-def test_pdf(spark, tmp_path):
-    body = b"BT /F1 12 Tf (First \\(line\\)) Tj T* (12) Tj T* [(Sec) 20 (ond)] TJ ET"
-    packed = zlib.compress(body)
-    raw = b"%PDF-1.4\n1 0 obj <</Length 9 /Filter /FlateDecode>> stream\n" + packed + b"\nendstream endobj\n2 0 obj <</Length 3>> stream\nBT (Plain page) Tj ET\nendstream endobj"
-    (tmp_path / "a.pdf").write_bytes(raw)
-    (tmp_path / "b.pdf").write_bytes(b"not a pdf")
-    assert [r.text for r in pdf.read_pdfs(spark, str(tmp_path)).collect()] == ["First (line) Second Plain page"]
-    assert [(r.doc_id[-5:], r.error) for r in pdf.unreadable(spark, str(tmp_path)).collect()] == [("b.pdf", "ValueError: not a PDF")]
-
-
 def test_stream(spark, tmp_path):
     from attestor.streaming.responses import CONVERSATIONS, verify_stream
 
