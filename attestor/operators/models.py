@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as T
+from attestor.functions.rows import once
 from attestor.sources.cache import ContentCache
 from attestor.sources.scratch import scratch, stored
 
@@ -65,20 +66,29 @@ def entailment_by_overlap(hits: DataFrame) -> DataFrame:
     return hits.withColumn("share", overlap(F.col("claim"), F.col("parent"))).withColumn("label", label).withColumn("nli_score", F.round(score, 9)).drop("share")
 
 
-def entailment_by_model(hits: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list[tuple[str, float]]]]) -> DataFrame:
+def entailment_by_model(hits: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list[tuple[str, float]]]], batch: int = 32, limit: int | None = None, words: Callable[[Column], Column] = T.tokens) -> DataFrame:
     """Entailment by a real model: load() is called once a worker and gives a function of premises and claims.
 
-    Each (parent, claim) is inferred once, however often it was retrieved.
+    Each (parent, claim) is inferred once, however often it was retrieved. Pairs are dealt out and ordered by their number of
+    words, so that a batch holds pairs of one length and little of it is padding. With a limit, a pair that has more words
+    loses the end of its premise, never of its claim.
     """
 
     @F.pandas_udf("label string, nli_score double")
     def infer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = load()
         for parents, claims in batches:
-            yield pd.DataFrame(model(parents.tolist(), claims.tolist()), columns=["label", "nli_score"])
-
-    pairs = hits.select("parent", "claim").distinct()
-    inferred = pairs.withColumn("out", infer("parent", "claim")).select("parent", "claim", "out.label", "out.nli_score")
+            made = [x for i in range(0, len(parents), batch) for x in model(parents.iloc[i : i + batch].tolist(), claims.iloc[i : i + batch].tolist())]
+            yield pd.DataFrame(made, columns=["label", "nli_score"])
+
+    pairs = once(hits.select("parent", "claim").distinct(), ["parent", "claim"], premise=words(F.col("parent")), n_claim=F.size(words(F.col("claim"))))
+    premise = F.col("parent")
+    if limit is not None:
+        room = F.greatest(F.lit(limit) - F.col("n_claim"), F.lit(0))
+        premise = F.when(F.size("premise") > room, F.array_join(F.slice("premise", F.lit(1), room), " ")).otherwise(premise)
+    sized = pairs.select("parent", "claim", premise.alias("premise"), (F.size("premise") + F.col("n_claim")).alias("size"), F.xxhash64("parent", "claim").alias("tie"))
+    dealt = sized.repartitionByRange("size", "tie").sortWithinPartitions("size", "tie")
+    inferred = dealt.withColumn("out", infer("premise", "claim")).select("parent", "claim", "out.label", "out.nli_score")
     return hits.join(inferred, ["parent", "claim"])
 
 

@@ -50,11 +50,6 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
     return passages.claims(_responses(spark, d))
 
 
-def _own_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of the documents that have claims."""
-    return passages.chunks(_docs(spark, d).join(_claims(spark, d).select("doc_id").distinct(), "doc_id", "left_semi"))
-
-
 def _pair_scores(spark: SparkSession, d: str) -> DataFrame:
     claims = _claims(spark, d)
     own = _docs(spark, d).join(claims.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -225,11 +220,11 @@ def store_search(spark, d):
 
 def _fact_query(name: str) -> None:
     def found(spark, d, name=name):
-        rows = X.literals(spark, [(t,) for t in X.FACT_TEXTS], ["text"]).select("id", K.facts(F.col("text")).alias("f"))
+        rows = once(X.rendered(spark, d), ["id"], f=K.facts(F.col("claim"), names=(name,)))
         return rows.select("id", F.col(f"f.{name}").alias(name)).select("id", _flat(name))
 
     found.__name__ = f"fact_{name}"
-    query(f"WITH {S.FACT_ROWS} SELECT CAST(id AS BIGINT) AS id, array_to_string({S.facts_sql('text')[name]}, '; ') AS found FROM texts")(found)
+    query(f"WITH {S.RENDERED_SQL} SELECT id, array_to_string({S.facts_sql('claim')[name]}, '; ') AS found FROM rendered")(found)
 
 
 for _name in ("percentages", "numbers", "years", "absolutes", "stat_claims", "scale_claims", "organizations"):
@@ -283,22 +278,26 @@ def fact_score(spark, d):
     return _fact_result(X.rendered(spark, d))
 
 
-@query(f"WITH {S.PAIR_ROWS}, {S.compare_cte('literal')} {_FACT_RESULT}")
-def fact_score_literals(spark, d):
-    return _fact_result(X.literals(spark, X.FACT_PAIRS, ["source", "claim"]))
+@query(f"WITH {S.RENDERED_SQL}, turned AS (SELECT id, claim AS source, source AS claim FROM rendered), {S.compare_cte('turned')} {_FACT_RESULT}")
+def fact_score_turned(spark, d):
+    """The changed sentences as sources of the plain ones."""
+    return _fact_result(X.rendered(spark, d).select("id", F.col("claim").alias("source"), F.col("source").alias("claim")))
 
 
 _BM = f"WITH {S.SENT}, {S.CHUNK}, {S.CLAIMS}, {S.BM25} "
 
 
-@query(_BM + "SELECT doc_id, CAST(n_chunks AS BIGINT) AS n_chunks, round(avgdl, 6) AS avgdl FROM stats")
+_BM_ALL = f"WITH {S.SENT}, {S.CHUNK}, {S.bm25_cte('true')} "
+
+
+@query(_BM_ALL + "SELECT doc_id, CAST(n_chunks AS BIGINT) AS n_chunks, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_stats(spark, d):
-    return retrieval.corpus_stats(_own_chunks(spark, d)).select("doc_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    return retrieval.corpus_stats(passages.chunks(_docs(spark, d))).select("doc_id", "n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(_BM + "SELECT doc_id, token, round(idf, 6) AS idf FROM idf")
+@query(_BM_ALL + "SELECT doc_id, token, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
-    chunks = _own_chunks(spark, d)
+    chunks = passages.chunks(_docs(spark, d))
     return retrieval.inverse_frequencies(retrieval.term_counts(chunks), retrieval.corpus_stats(chunks)).select("doc_id", "token", F.round("idf", 6).alias("idf"))
 
 
@@ -404,31 +403,20 @@ def nli_best_evidence(spark, d):
     return models.best_evidence(scored).select("response_id", *_long("claim_no"), "nli_label", "nli_score", "evidence", "is_hallucinated")
 
 
-@query("SELECT label, upper(label) = 'CONTRADICTION' AS is_hallucinated FROM (VALUES ('CONTRADICTION'), ('contradiction'), ('ENTAILMENT'), ('Neutral')) v(label)")
+@query(f"WITH {S.ALL_HITS}, {S.NLI} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CAST(rank AS BIGINT) AS rank, label, label = 'CONTRADICTION' AS is_hallucinated FROM scored")
 def is_hallucinated(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("CONTRADICTION", "contradiction", "ENTAILMENT", "Neutral")], ["label"])
-    return rows.select("label", models.is_hallucinated(F.col("label")).alias("is_hallucinated"))
-
-
-def _grid(spark: SparkSession) -> DataFrame:
-    """All labels, scores around the cuts, all fact points and judge results: 1,008 rows."""
-    sizes = {"nli_label": ["ENTAILMENT", "CONTRADICTION", "NEUTRAL"], "s": ["0.5", "0.84", "0.85", "0.92"], "p": list(range(21)), "j": ["none", "HALLUCINATED", "SUPPORTED", "UNKNOWN"]}
-    rows, left = spark.range(0, 1008, 1, 1), F.col("id")
-    for name, values in sizes.items():
-        rows = rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), (left % len(values) + 1).cast("int")))
-        left = F.floor(left / len(values))
-    signals = F.when(F.col("p") > 0, F.array(F.lit("one"), F.lit("two"), F.lit("three"))).otherwise(F.array().cast("array<string>"))
-    return rows.select(F.concat_ws("/", "nli_label", "s", F.col("p").cast("string"), "j").alias("id"), "nli_label", F.col("s").cast("double").alias("nli_score"), (F.col("p") * 5).cast("int").alias("points"), signals.alias("signals"), "j")
+    scored = models.entailment_by_overlap(models.first_rank(_hits(spark, d)))
+    return scored.select("response_id", *_long("claim_no", "rank"), "label", models.is_hallucinated(F.col("label")).alias("is_hallucinated"))
 
 
 @query(f"WITH {S.GRID} SELECT id, {S.NEEDS} AS needs_llm FROM grid")
 def needs_llm_grid(spark, d):
-    return _grid(spark).select("id", needs_judge(F.col("nli_label"), F.col("nli_score"), F.col("points")).alias("needs_llm"))
+    return X.decisions(spark, d).select("id", needs_judge(F.col("nli_label"), F.col("nli_score"), F.col("points")).alias("needs_llm"))
 
 
 @query(f"WITH {S.GRID}, to_fuse AS (SELECT * FROM grid), {S.FUSE} SELECT id, CAST(\"case\" AS BIGINT) AS fusion_case, verdict, hallucination_score, sure AS confidence, explanation, given_correction AS correction, given_reasoning AS reasoning, fact_signals, llm_used FROM fused")
 def aggregate_grid(spark, d):
-    rows = _grid(spark)
+    rows = X.decisions(spark, d)
     given = verdict(F.col("nli_label"), F.col("nli_score"), F.lit("e"), F.col("points"), F.col("signals"), F.col("j") != "none", F.col("j"), F.when(F.col("j") == "UNKNOWN", "").otherwise("why"), F.lit("LOW"), F.lit("fix"))
     rows = rows.withColumn("v", given)
     return rows.select("id", F.col("v.case").cast("long").alias("fusion_case"), "v.verdict", "v.hallucination_score", "v.confidence", "v.explanation", "v.correction", "v.reasoning", F.array_join("v.fact_signals", "; ").alias("fact_signals"), "v.llm_used")
@@ -443,9 +431,9 @@ def judge_prompt(spark, d):
     return rows.select("response_id", *_long("claim_no"), models.prompt(F.col("parents"), F.col("claim")).alias("prompt"))
 
 
-@query(f"WITH {S.REPLY_ROWS} SELECT CAST(id AS BIGINT) AS id, " + ", ".join(f"{v} AS {k}" for k, v in S.REPLY_SQL.items()) + " FROM replies")
+@query(f"WITH {S.REPLY_ROWS} SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in S.REPLY_SQL.items()) + " FROM replies")
 def judge_parse(spark, d):
-    return X.literals(spark, [(r,) for r in X.REPLIES], ["raw"]).select("id", *models.parsed_reply(F.col("raw")))
+    return once(X.replies(spark, d), ["id"], raw=F.col("raw")).select("id", *models.parsed_reply(F.col("raw")))
 
 
 @query(f"WITH {S.VERIFY} SELECT response_id, CAST(claim_no AS BIGINT) AS claim_no, CASE WHEN judged = 1 THEN llm_verdict END AS llm_verdict FROM fused")

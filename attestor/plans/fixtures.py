@@ -1,49 +1,58 @@
-"""Small literal relations, and text rendered from the star schema, on which fact operators have something to find."""
+"""Text rendered from the star schema, on which fact operators, the judge's parser and the decision rules have something to find."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.sources.inputs import spread, table
 
-FACT_TEXTS = [
-    "In 2019 the World Health Organization said 40% of patients in 12 countries recovered.",
-    "In 1999 the World Trade Organization confirmed that 75% of patients in 30 countries always recovered.",
-    "It grew by 3.5 % in 1889 and 1,234 users of 0012 companies never left.",
-    "The Eiffel Tower stands in Paris. Every tower is officially global, global and proven.",
-    "No facts here at all.",
-    "",
-]
-FACT_PAIRS = [
-    (FACT_TEXTS[0], FACT_TEXTS[1]),
-    (FACT_TEXTS[0], "In 2001 the World Health Organization said 40% of patients in 12 countries recovered."),
-    ("The program helped patients in many places.", "The program helped 50% of patients."),
-    ("It ran in 1,000 countries.", "It ran in 5,000 countries."),
-    ("It had 12 countries and 007 users.", "It had 99999999999999999999 countries and 7 users and 8 users."),
-    ("Growth was 50 % in one place, 20% in another, 5% and 7%.", "Growth was 50% in 1987."),
-]
-REPLIES = [
-    "REASONING: a\nb\nVERDICT: HALLUCINATED\nCONFIDENCE: HIGH\nCORRECTION: x",
-    "**VERDICT:** HALLUCINATED",
-    "VERDICT: SUPPORTED\nVERDICT: HALLUCINATED",
-    "VERDICT: [HALLUCINATED]",
-    "  CONFIDENCE: LOW \nCORRECTION: CORRECTION: y\n VERDICT: SUPPORTED",
-    "",
-]
-
-
-def quoted(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
-def values_sql(rows: list[tuple]) -> str:
-    """The rows as SQL VALUES, with a number first, for DuckDB."""
-    return "VALUES " + ", ".join("(" + ", ".join([str(i), *(quoted(x) if isinstance(x, str) else str(x) for x in row)]) + ")" for i, row in enumerate(rows))
-
-
-def literals(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], ["id", *names])
+
+def picked(values: list, number: Column) -> Column:
+    """values[number modulo their count]."""
+    return F.element_at(F.array(*map(F.lit, values)), (number % len(values) + 1).cast("int"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and raw: a judge's reply for each order, in good form or with fields repeated, missing, decorated or indented."""
+    key, claim = F.col("id"), F.col("claim")
+    forms = [
+        F.concat(F.lit("REASONING: "), claim, F.lit("\nmore\nVERDICT: HALLUCINATED\nCONFIDENCE: HIGH\nCORRECTION: "), F.col("source")),
+        F.concat(F.lit("VERDICT: SUPPORTED\nVERDICT: HALLUCINATED\nREASONING:"), claim),
+        F.concat(F.lit("**VERDICT:** HALLUCINATED\n VERDICT: [HALLUCINATED]\n"), claim),
+        F.concat(F.lit("  CONFIDENCE: LOW \nCORRECTION: CORRECTION: "), claim, F.lit("\n VERDICT: SUPPORTED  ")),
+        F.lit(""),
+    ]
+    raw = F.when(key % 5 == 0, forms[0])
+    for k, form in enumerate(forms[1:], 1):
+        raw = raw.when(key % 5 == k, form)
+    return rendered(spark, sf_dir).select("id", raw.alias("raw"))
+
+
+REPLIES_SQL = """replies AS (SELECT id, CASE id % 5
+  WHEN 0 THEN 'REASONING: ' || claim || chr(10) || 'more' || chr(10) || 'VERDICT: HALLUCINATED' || chr(10) || 'CONFIDENCE: HIGH' || chr(10) || 'CORRECTION: ' || source
+  WHEN 1 THEN 'VERDICT: SUPPORTED' || chr(10) || 'VERDICT: HALLUCINATED' || chr(10) || 'REASONING:' || claim
+  WHEN 2 THEN '**VERDICT:** HALLUCINATED' || chr(10) || ' VERDICT: [HALLUCINATED]' || chr(10) || claim
+  WHEN 3 THEN '  CONFIDENCE: LOW ' || chr(10) || 'CORRECTION: CORRECTION: ' || claim || chr(10) || ' VERDICT: SUPPORTED  '
+  ELSE '' END AS raw FROM rendered)"""
+
+LABELS, LEVELS, JUDGED = ["ENTAILMENT", "CONTRADICTION", "NEUTRAL"], ["0.5", "0.84", "0.85", "0.92"], ["none", "HALLUCINATED", "SUPPORTED", "UNKNOWN"]
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, nli_label, nli_score, points, signals and j for each order: by its key all labels, scores around the cuts, fact points and judge's results."""
+    key = F.col("o_orderkey")
+    points = F.floor(key / 12) % 21 * 5
+    signals = F.when(points > 0, F.array(F.lit("one"), F.lit("two"), F.lit("three"))).otherwise(F.array().cast("array<string>"))
+    rows = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    return rows.select(key.cast("string").alias("id"), picked(LABELS, key).alias("nli_label"), picked(LEVELS, F.floor(key / 3)).cast("double").alias("nli_score"), points.cast("int").alias("points"), signals.alias("signals"), picked(JUDGED, F.floor(key / 252)).alias("j"))
+
+
+DECISIONS_SQL = (
+    "grid AS (SELECT CAST(k AS VARCHAR) AS id, ['ENTAILMENT', 'CONTRADICTION', 'NEUTRAL'][k % 3 + 1] AS nli_label, CAST(['0.5', '0.84', '0.85', '0.92'][k // 3 % 4 + 1] AS DOUBLE) AS nli_score, CAST(k // 12 % 21 * 5 AS INTEGER) AS points, "
+    "CASE WHEN k // 12 % 21 > 0 THEN ['one', 'two', 'three'] ELSE [] END AS signals, 'e' AS evidence, CASE WHEN j = 'none' THEN 0 ELSE 1 END AS judged, j AS llm_verdict, CASE WHEN j = 'UNKNOWN' THEN '' ELSE 'why' END AS reasoning, 'LOW' AS confidence, 'fix' AS correction "
+    "FROM (SELECT o_orderkey AS k, ['none', 'HALLUCINATED', 'SUPPORTED', 'UNKNOWN'][o_orderkey // 252 % 4 + 1] AS j FROM orders))"
+)
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from attestor.functions import facts as K
 from attestor.operators.models import PROMPT, REPLY
-from attestor.plans.fixtures import FACT_PAIRS, FACT_TEXTS, REPLIES, RENDERED_SQL, values_sql
+from attestor.plans.fixtures import DECISIONS_SQL, RENDERED_SQL, REPLIES_SQL
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
@@ -39,13 +39,20 @@ def claim_cte(source: str, limit: int = 20) -> str:
 
 
 CLAIMS = f"{RESP}, {claim_cte('resp')}"
+def bm25_cte(documents: str) -> str:
+    """Statistics by document of the chunks for which the condition on doc_id holds."""
+    return (
+        f"tok AS (SELECT doc_id, idx, unnest({token_list('text')}) AS token FROM chunk WHERE {documents}), "
+        "tf AS (SELECT doc_id, idx, token, count(*) AS f FROM tok GROUP BY ALL), "
+        "dl AS (SELECT doc_id, idx, sum(f) AS len FROM tf GROUP BY ALL), "
+        "stats AS (SELECT doc_id, count(*) AS n_chunks, avg(len) AS avgdl FROM dl GROUP BY ALL), "
+        "idf0 AS (SELECT doc_id, token, ln(n_chunks - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN stats USING (doc_id) GROUP BY doc_id, token, n_chunks), "
+        "idf AS (SELECT doc_id, token, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY doc_id) ELSE raw END AS idf FROM idf0)"
+    )
+
+
 BM25 = (
-    f"tok AS (SELECT doc_id, idx, unnest({token_list('text')}) AS token FROM chunk WHERE doc_id IN (SELECT doc_id FROM claims)), "
-    "tf AS (SELECT doc_id, idx, token, count(*) AS f FROM tok GROUP BY ALL), "
-    "dl AS (SELECT doc_id, idx, sum(f) AS len FROM tf GROUP BY ALL), "
-    "stats AS (SELECT doc_id, count(*) AS n_chunks, avg(len) AS avgdl FROM dl GROUP BY ALL), "
-    "idf0 AS (SELECT doc_id, token, ln(n_chunks - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN stats USING (doc_id) GROUP BY doc_id, token, n_chunks), "
-    "idf AS (SELECT doc_id, token, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY doc_id) ELSE raw END AS idf FROM idf0), "
+    f"{bm25_cte('doc_id IN (SELECT doc_id FROM claims)')}, "
     f"q AS (SELECT response_id, claim_no, doc_id, token, count(*) AS n FROM (SELECT response_id, claim_no, doc_id, unnest({token_list('claim')}) AS token FROM claims) GROUP BY ALL), "
     "bm AS (SELECT response_id, claim_no, doc_id, idx, sum(n * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl))) AS bm25 "
     "FROM q JOIN tf USING (doc_id, token) JOIN idf USING (doc_id, token) JOIN stats USING (doc_id) JOIN dl USING (doc_id, idx) GROUP BY ALL)"
@@ -107,10 +114,6 @@ def facts_sql(text: str) -> dict[str, str]:
     }
 
 
-FACT_ROWS = f"texts AS (SELECT * FROM ({values_sql([(t,) for t in FACT_TEXTS])}) v(id, text))"
-PAIR_ROWS = f"literal AS (SELECT * FROM ({values_sql(FACT_PAIRS)}) v(id, source, claim))"
-
-
 def compare_cte(rows: str) -> str:
     """Fact points and messages of rows(id, source, claim)."""
     c, s = facts_sql("claim"), facts_sql("source")
@@ -148,7 +151,7 @@ def reply_field(raw: str, prefix: str, default: str) -> str:
 
 
 REPLY_SQL = {name: reply_field("raw", prefix, default) for name, (prefix, default) in REPLY.items()}
-REPLY_ROWS = "replies AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {lit(r)})" for i, r in enumerate(REPLIES)) + ") v(id, raw))"
+REPLY_ROWS = f"{RENDERED_SQL}, {REPLIES_SQL}"
 
 #: Needs nli_label, nli_score, points, signals, judged (0 or 1), llm_verdict, reasoning, confidence, correction, evidence.
 NEEDS = "points >= 40 OR NOT ((nli_label = 'ENTAILMENT' AND nli_score >= 0.85 AND points < 20) OR (nli_label = 'CONTRADICTION' AND nli_score >= 0.92))"
@@ -202,8 +205,4 @@ def prompt_sql(source: str, claim: str) -> str:
     return f"{lit(head)} || {source} || {lit(middle)} || {claim} || {lit(tail)}"
 
 
-GRID = (
-    "grid AS (SELECT l || '/' || s || '/' || p || '/' || j AS id, l AS nli_label, CAST(s AS DOUBLE) AS nli_score, p * 5 AS points, CASE WHEN p > 0 THEN ['one', 'two', 'three'] ELSE [] END AS signals, 'e' AS evidence, "
-    "CASE WHEN j = 'none' THEN 0 ELSE 1 END AS judged, j AS llm_verdict, CASE WHEN j = 'UNKNOWN' THEN '' ELSE 'why' END AS reasoning, 'LOW' AS confidence, 'fix' AS correction "
-    "FROM (VALUES ('ENTAILMENT'), ('CONTRADICTION'), ('NEUTRAL')) a(l), (VALUES ('0.5'), ('0.84'), ('0.85'), ('0.92')) b(s), range(0, 21) c(p), (VALUES ('none'), ('HALLUCINATED'), ('SUPPORTED'), ('UNKNOWN')) d(j))"
-)
+GRID = DECISIONS_SQL

@@ -92,7 +92,11 @@ def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, prov
 
 
 def _verdicts(docs: DataFrame | retrieval.Index, claims: DataFrame, providers: Providers, options: Options) -> DataFrame:
-    rows = checked(retrieval.hybrid(claims, docs, options.top_k, providers.semantic), providers, options)
+    return verdicts_of(claims, checked(retrieval.hybrid(claims, docs, options.top_k, providers.semantic), providers, options), providers)
+
+
+def verdicts_of(claims: DataFrame, rows: DataFrame, providers: Providers) -> DataFrame:
+    """Verdicts of all claims, from the rows of checked() for those that have any."""
     rows = claims.join(_with_judge(rows, providers.judge).drop("claim"), models.CLAIM, "left")
     none = F.array().cast("array<string>")
     given = verdict(
