@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attestor.sources.scratch import remove, scratch
 
@@ -18,6 +19,9 @@ CHUNK_BYTES = 1 << 19
 #: Bounds of the batches that are sent to Python workers.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
+#: Keys of more rows than this, and than this part of all rows, are broadcast in a join.
+HOT_ROWS, HOT_KEYS = 256, 10_000
+
 U64 = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -59,6 +63,24 @@ def discard(*frames: DataFrame | None) -> None:
             remove(df.sparkSession, path)
 
 
+def met(rows: DataFrame, keys: DataFrame, on: str, value: str, count: str, total: int, spread: Column) -> DataFrame:
+    """rows with `value` of keys(on, value, count) where the column `on` agrees, null elsewhere; no task gets all rows of a key.
+
+    count is how many rows each key meets, of total. Keys that meet more than HOT_ROWS rows and more than a HOT_KEYS-th of all
+    are fewer than HOT_KEYS, and are broadcast. The rows that they met go through the join of all other keys by spread instead
+    of their key.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = keys.where(F.col(count) > limit).select(F.col(on).alias("hot_key"), F.col(value).alias("hot_value"))
+    cold = keys.where(F.col(count) <= limit).select(F.col(on).alias("cold_key"), F.col(value).alias("cold_value"))
+    rows = rows.join(F.broadcast(hot), F.col(on) == F.col("hot_key"), "left")
+    done = F.col("hot_key").isNotNull()
+    rows = rows.withColumn("by_key", F.when(done | F.col(on).isNull(), spread.cast(rows.schema[on].dataType)).otherwise(F.col(on)))
+    rows = rows.join(cold, F.col("by_key") == F.col("cold_key"), "left")
+    found = F.when(done, F.col("hot_value")).when(F.col(on).isNotNull(), F.col("cold_value"))
+    return rows.withColumn(value, found).drop("hot_key", "hot_value", "cold_key", "cold_value", "by_key")
+
+
 def chunked(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets from 0) of runs of whole texts; nulls count as empty."""
     if isinstance(text, pa.ChunkedArray):

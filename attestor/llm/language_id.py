@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import chunked, table, written
+from attestor.llm.common import chunked, met, table, written
 from attestor.llm.toxicity import lowered_safely
 
 #: Each trigram model is fitted on at most so many of the rows that declare its language, drawn by a hash of doc_id and text.
 FIT_ROWS = 1000
-#: A language is modelled if so many of all rows declare it.
-LEAST_ROWS = 5
+#: A language is modelled if so many of all rows declare it, and it is among the most frequent ones: a model takes 1 MiB of
+#: the driver while it is fitted and 256 KiB of each worker.
+LEAST_ROWS, MOST_LANGUAGES = 5, 256
 GRAMS = 1 << 16
 #: Log-probability of a trigram if all are alike, and how far a text's mean may fall from what its language's own texts
 #: reach (held out) towards that, before no language is the better explanation.
@@ -93,17 +94,19 @@ def _logs(counts: np.ndarray) -> np.ndarray:
     return np.log(smooth / smooth.sum())
 
 
-def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
+def fitted(docs: DataFrame, rows: int = FIT_ROWS, languages: int = MOST_LANGUAGES) -> TextModel:
     """The trigram models of docs(doc_id, text, declared), on at most `rows` rows of each language, drawn by a hash.
 
     Whole texts of any length count. A language needs LEAST_ROWS rows among all; where none has them, those of the first
-    `rows` rows are modelled. Executors count the trigrams, so the driver gets GRAMS counts for each half of a language at most.
+    `rows` rows are modelled. Of more than `languages` declared strings the most frequent are modelled: what else is declared
+    remains evidence like any other. Executors count the trigrams, so the driver gets GRAMS counts for each half of a language
+    at most.
     """
     sample = docs.where("declared is not null and text is not null").withColumn("draw", F.xxhash64("doc_id", "text"))
     # Twice as many rows as wanted are drawn by hash, so that no task ranks all rows of a frequent language.
     share = sample.groupBy("declared").agg(F.count("*").alias("n")).select(F.col("declared").alias("k_declared"), "n", F.least(F.lit(1.0), F.lit(2.0 * rows) / F.col("n")).alias("share"))
-    share = written(share, "declared")
-    share = F.broadcast(share) if share.count() <= BROADCAST_IDS else share  # joined by shuffle, all rows would meet by language
+    # no more than `languages` rows are left to be broadcast
+    share = F.broadcast(written(share.orderBy(F.desc(F.col("n") >= LEAST_ROWS), F.desc("n"), "k_declared").limit(languages), "declared"))
     chance = F.pmod(F.xxhash64("draw"), F.lit(1 << 30)) / float(1 << 30)
     some = sample.select("declared", "draw").join(share, F.col("declared") == F.col("k_declared")).where(chance < F.col("share"))
     one = Window.partitionBy("declared").orderBy("draw")
@@ -113,8 +116,8 @@ def fitted(docs: DataFrame, rows: int = FIT_ROWS) -> TextModel:
         drawn = ids.orderBy("draw", "declared").limit(rows)
     # repeated rows count in the same half
     drawn = drawn.groupBy("draw", "declared").agg((F.min("rank") % 2).cast("int").alias("half"))
-    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_IDS else drawn
-    texts = sample.join(drawn, ["draw", "declared"]).select("declared", "half", "text")
+    # languages * rows keys at most, of some 20 bytes
+    texts = sample.join(F.broadcast(drawn), ["draw", "declared"]).select("declared", "half", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +173,11 @@ def _normal(logs: Column) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-def _sums(rows: DataFrame, keys: list[str], of: str, width: int) -> DataFrame:
-    """Summed arrays of the rows of each key, as one array `sums`."""
+def _sums(rows: DataFrame, keys: list[str], of: str, width: int, *more: Column) -> DataFrame:
+    """Summed arrays of the rows of each key, as one array `sums`, and more aggregates."""
     parts = [F.sum(F.col(of)[i]).alias(f"s{i}") for i in range(width)]
-    return rows.groupBy(*keys).agg(*parts).select(*keys, F.array(*[f"s{i}" for i in range(width)]).alias("sums"))
+    rows = rows.groupBy(*keys).agg(*parts, *more)
+    return rows.withColumn("sums", F.array(*[f"s{i}" for i in range(width)])).drop(*[f"s{i}" for i in range(width)])
 
 
 def _total(a: Column) -> Column:
@@ -219,10 +223,10 @@ def identified(docs: DataFrame, model: TextModel | None = None) -> DataFrame:
     together = ["host", "declared", "suffix", "salt"]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_grams"), F.lit(SALTS)).cast("int"))
     parts = written(_sums(rows, together, "own", width).withColumn("domain", domain(F.col("host"))), "keys")
-    keyed = parts.drop("sums")
+    keyed, n_parts = parts.drop("sums"), parts.count()
     for key in ("host", "domain", "declared", "suffix"):
-        of_key = _sums(parts.where(F.col(key).isNotNull()), [key], "sums", width).select(F.col(key).alias(f"k_{key}"), F.col("sums").alias(f"of_{key}"))
-        keyed = keyed.join(of_key, F.col(key) == F.col(f"k_{key}"), "left").drop(f"k_{key}")
+        of_key = _sums(parts.where(F.col(key).isNotNull()), [key], "sums", width, F.count("*").alias("n_parts")).withColumnRenamed("sums", f"of_{key}")
+        keyed = met(keyed, of_key, key, f"of_{key}", "n_parts", n_parts, F.xxhash64(*together))
     keyed = keyed.select(*[F.col(k).alias(f"k_{k}") for k in together], *[f"of_{k}" for k in ("host", "domain", "declared", "suffix")])
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in together]
     out = rows.join(keyed, same[0] & same[1] & same[2] & same[3]).drop(*[f"k_{k}" for k in together])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import U64, chunked, discard, distinct_in_text, lists, mix, shingle_hashes, table, word_hashes, written
+from attestor.llm.common import U64, chunked, discard, distinct_in_text, lists, met, mix, shingle_hashes, table, word_hashes, written
 from attestor.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -159,10 +159,12 @@ def led_pairs(rows: DataFrame, reps: DataFrame, turn: int, percent: int) -> Data
     """
     draw = F.xxhash64(F.lit(turn), "rep", "bucket") if turn else F.xxhash64("rep")
     least = F.min(F.struct(draw.alias("draw"), "rep", "component"))
-    led = rows.groupBy("bucket").agg(least.alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    led = led.select("bucket", F.col("leader.rep").alias("head"), F.col("leader.component").alias("of_head"))
+    led = rows.groupBy("bucket").agg(least.alias("leader"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low <> high")
+    led = led.select("bucket", "members", F.col("leader.rep").alias("head"), F.col("leader.component").alias("of_head"))
     led = led.join(reps.select(F.col("rep").alias("head"), F.col("n_shingles").alias("head_n"), F.col("sketch").alias("head_sketch")), "head")
-    near = rows.join(led, "bucket").where((F.col("component") != F.col("of_head")) & _agree(percent))
+    led = led.select("bucket", "members", F.struct("head", "of_head", "head_n", "head_sketch").alias("led"))
+    near = met(rows.drop("members"), led, "bucket", "led", "members", rows.count(), F.xxhash64("rep", "bucket")).where("led is not null")
+    near = near.select("rep", "component", "n_shingles", "sketch", "led.*").where((F.col("component") != F.col("of_head")) & _agree(percent))
     first = F.col("rep") < F.col("head")
     sizes = [F.when(first, a).otherwise(b).alias(name) for a, b, name in ((F.col("n_shingles"), F.col("head_n"), "n_u"), (F.col("head_n"), F.col("n_shingles"), "n_v"))]
     return near.select(*_ordered("rep", "head"), *sizes).distinct()

@@ -21,6 +21,8 @@ from attestor.llm.encoding import Encoder
 END_ID = 2
 STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1000
+#: Bytes of text of a range at most, but for rows of one doc_id and text: what a task sorts and a file holds.
+RANGE_BYTES = 256 << 20
 BLOOM_FPP = 0.01
 FILE_SCHEMA = "doc_id bigint, text_hash bigint, n_tokens bigint, token_ids array<int>"
 
@@ -50,7 +52,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, kind: str = "byte",
     many rows share is spread over files too.
     """
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    ranged = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    held = ranged.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    ranged = ranged.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = tokenized(ranged, vocabulary, kind, end_id).write.mode("error")
     options = {"orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": row_group, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP}
     writer.options(**{k: str(v) for k, v in options.items()}).orc(out)

@@ -113,6 +113,33 @@ def test_token_files_prune_by_id(spark, corpus, tmp_path):
     assert found.count() == 1 and "EqualTo(doc_id,7)" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_files_have_stripes_row_groups_and_bloom_filters(spark, tmp_path):
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    token_orc.write_tokens(docs, vocabularies.path("byte_bpe_50k.json"), str(tmp_path / "t"), stripe_bytes=1 << 12)
+    files = sorted((tmp_path / "t").glob("*.orc"))
+    orc = spark._jvm.org.apache.orc.OrcFile
+    stripes = 0
+    for f in files:
+        reader = orc.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+        stripes += reader.getStripes().size()
+        wanted = spark.sparkContext._gateway.new_array(spark._jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        for i in range(len(wanted)):
+            wanted[i] = True
+        index = reader.rows().readRowIndex(0, None, wanted)
+        groups, blooms = index.getRowGroupIndex()[1], index.getBloomFilterIndex()
+        assert (reader.getRowIndexStride(), reader.getCompressionKind().toString()) == (1000, "ZSTD")
+        assert groups.getEntryCount() == blooms[1].getBloomFilterCount() == -(-reader.getStripes().get(0).getNumberOfRows() // 1000)
+        assert blooms[4] is None or not blooms[4].getBloomFilterCount()  # on the token ids there is none
+    assert len(files) == 4 and stripes > len(files)
+
+
+def test_ranges_follow_from_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_orc, "RANGE_BYTES", 2000)
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string")
+    token_orc.write_tokens(docs, vocabularies.path("byte_bpe_50k.json"), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*.orc"))) >= 9
+
+
 def shards_of(spark, docs, out, **options):
     sharding.write_shards(docs, out, **options)
     return sharding.read_shards(spark, out, sharding.records(docs).schema["record"].dataType)

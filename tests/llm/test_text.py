@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from corpus_cases import ODD, sentence
+from pyspark.sql import functions as F
 
 from attestor.llm import decontaminate, language_id, near_dup, pii, secrets, toxicity
 from attestor.llm.components import components
@@ -589,3 +590,26 @@ def test_stages_take_clashing_columns_and_odd_rows(spark, corpus):
         assert kept.count() <= docs.count() and kept.where("doc_id is null").count() == (1 if given else 0)
         packed = pipeline.STAGES[-1][1](spark, kept, base).collect()
         assert {r.doc_id for r in packed} == {r.doc_id for r in kept.collect()}
+
+
+def test_met_joins_frequent_and_rare_keys(spark, monkeypatch):
+    from attestor.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    values = ["often"] * 40 + ["also"] * 9 + ["rare", "once", "lost", None, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "id long, k string")
+    keys = spark.createDataFrame([("often", 1, 40), ("also", 2, 9), ("rare", 3, 1), ("once", 4, 1), ("none", 5, 0)], "k string, v long, n long")
+    of = {"often": 1, "also": 2, "rare": 3, "once": 4}
+    for names in (["id", "k"], ["id", "k"][::-1]):
+        got = common.met(rows.select(*names), keys, "k", "v", "n", len(values), F.xxhash64("id")).collect()
+        assert sorted((r.id, r.v) for r in got) == sorted(((i, of.get(k)) for i, k in enumerate(values)), key=lambda x: x[0])
+
+
+def test_only_the_most_frequent_declared_strings_are_modelled(spark):
+    words = {"xx": "alpha beta gamma", "yy": "kilo lima mike", "zz": "sierra tango uniform"}
+    rows = [(i, f"{words[d]} {words[d]} {i}", d) for i, d in enumerate(["xx"] * 30 + ["yy"] * 20 + ["zz"] * 10)] + [(100 + i, words["xx"], f"junk{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string").withColumns({"suffix": F.lit(None).cast("string"), "host": F.lit("h")})
+    assert language_id.fitted(docs, languages=2).languages == ["xx", "yy"]
+    assert language_id.fitted(docs).languages == ["xx", "yy", "zz"]
+    got = {r.doc_id: r.language for r in language_id.identified(docs).collect()}
+    assert all(got[i] == d for i, _, d in rows[:60]) and all(got[100 + i] == "xx" for i in range(40))
