@@ -333,6 +333,29 @@ def stored_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]],
     return provide
 
 
+@dataclass(frozen=True)
+class Embedder:
+    """An embedding model with a lasting cache: load() gives a function of texts, cache is the folder of the vectors.
+
+    Whatever the run, each text meets the model once.
+    """
+
+    load: Callable[[], Callable[[list[str]], list[list[float]]]]
+    cache: str
+    batch: int = EMBED_BATCH
+
+    def __call__(self, rows: DataFrame, column: str) -> DataFrame:
+        """rows with `embedding` of a text column."""
+        return embedded_once(rows, column, self.load, ContentCache(rows.sparkSession, self.cache, "embedding array<float>"), self.batch)
+
+    def semantic(self, claims: DataFrame, chunks: DataFrame) -> DataFrame:
+        """A semantic provider: cosine of claims and their documents' chunks; chunks that bring an embedding keep it."""
+        asked = self(claims.select("response_id", "claim_no", "doc_id", "claim"), "claim").withColumnRenamed("embedding", "q")
+        own = chunks if "embedding" in chunks.columns else self(chunks.select("doc_id", "idx", "text"), "text")
+        pairs = asked.join(own.where("embedding is not null").select("doc_id", "idx", "embedding"), "doc_id")
+        return pairs.select("response_id", "claim_no", "doc_id", "idx", cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+
 def model_cosine(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A semantic provider by an embedding model: cosine of claims and the chunks of their own documents.
 

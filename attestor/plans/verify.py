@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,13 +79,17 @@ def verify(docs: DataFrame, responses: DataFrame, providers: Providers | None =
     return _verdicts(_own_lists(docs, claims), claims, providers or Providers(), options)
 
 
-def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, providers: Providers | None = None, options: Options | None = None) -> DataFrame:
+def verify_stored(store: ChunkStore, docs: DataFrame, responses: DataFrame, providers: Providers | None = None, options: Options | None = None, embedder: retrieval.Embedder | None = None) -> DataFrame:
     """verify() on the store's index: documents that aren't stored yet are added first, stored ones aren't split or counted again.
 
-    doc_id is text on both sides, and should name a document's content.
+    doc_id is text on both sides, and should name a document's content. With an embedder, new chunks are stored with their
+    vectors, and semantic scores are cosines of these with the claims' vectors.
     """
     docs, responses = (x.withColumn("doc_id", F.col("doc_id").cast("string")) for x in (docs, responses))
-    store.upsert(passages.chunks(store.missing(docs)))
+    fresh = passages.chunks(store.missing(docs))
+    store.upsert(embedder(fresh, "text") if embedder else fresh)
+    if embedder:
+        providers = replace(providers or Providers(), semantic=embedder.semantic)
     options = options or Options()
     claims = passages.claims(responses, options.claim_limit)
     return _verdicts(store.index(claims), claims, providers or Providers(), options)

@@ -175,3 +175,45 @@ def test_the_judge_is_asked_again_after_errors_and_never_after_replies(spark, tm
     want = {0: fine, 1: fine, 2: ("UNKNOWN", "API error: too many requests"), 3: fine}
     assert verdicts() == want and count() == {"good": 1, "flaky": 2, "bad": 2}
     assert verdicts() == want and count() == {"good": 1, "flaky": 2, "bad": 4}
+
+
+def test_a_stored_verification_embeds_each_text_once(spark, tmp_path):
+    from attestor.plans.verify import verify_stored
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    embedder = retrieval.Embedder(letters(str(seen)), str(tmp_path / "cache"))
+    docs = spark.createDataFrame([("a", "The tower is tall and old. It was built by an engineer in Paris. Many people visit it every year.")], ["doc_id", "text"])
+    said = spark.createDataFrame([("r", "a", "The tower in the city was built by an engineer in Paris."), ("s", "a", "The tower in the city was built by an engineer in Paris.")], ["response_id", "doc_id", "text"])
+    store = ChunkStore(spark, str(tmp_path / "s"))
+    first = sorted(map(str, verify_stored(store, docs, said, embedder=embedder).collect()))
+    asked = sorted(p.read_text() for p in seen.iterdir())
+    assert len(asked) == len(set(asked)) == 4 and store.read().where("embedding is null").count() == 0
+    assert sorted(map(str, verify_stored(store, docs, said, embedder=embedder).collect())) == first
+    other = ChunkStore(spark, str(tmp_path / "other"))
+    verify_stored(other, docs, said, embedder=embedder).collect()
+    assert len(list(seen.iterdir())) == 4
+
+
+def test_the_package_is_sent(tmp_path):
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from attestor.ship import ship
+ship(spark)
+from attestor.sources.vectors import matrix
+def ask(batches):
+    from attestor.sources import vectors
+    for b in batches:
+        yield b
+assert spark.range(3).mapInArrow(ask, "id long").count() == 3
+print("sent")
+"""
+    root = str(Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, cwd=tmp_path, timeout=300)
+    assert "sent" in done.stdout, done.stderr[-2000:]
