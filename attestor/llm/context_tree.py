@@ -31,6 +31,8 @@ END = 0xFF
 BLOCK_BYTES, WINDOW = 32 << 20, 1 << 18
 #: Contexts with bytes that a task weighs at least before the next one; one subtree has up to 256 ** 3.
 TASK_GRAMS = 1 << 20
+#: Partitions that blocks are scored in, unless the session asks for more.
+MOST_PARTS = 20_000
 #: Entries of a counter that aren't merged yet.
 LOOSE = 4 << 20
 GRAM, WORD = 0, 1
@@ -289,6 +291,7 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     and empty texts are the end alone, null held_out counts as false, null ids and repeated rows are rows like any other.
     Without training rows every decision has probability 1/2.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     stored = written(blocks(rows, block_bytes), "blocks")
     each = stored.where("kind is not null").select("block", "kind", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("block", "kind", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
@@ -298,7 +301,8 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     found = gram_scores(totals.where(F.col("kind") == GRAM)).select(F.lit(GRAM).alias("kind"), "key", "value")
     values = written(found.unionByName(words.select("kind", "key", F.col("n").cast("double").alias("value"))), "values")
     discard(totals)
-    answers = each.select("block", "kind", "key").join(values, ["kind", "key"]).select("block", "kind", "key", "value")
+    # exploded rows are many more than their files' size tells, so neither side is to be broadcast
+    answers = each.select("block", "kind", "key").join(values.hint("merge"), ["kind", "key"]).select("block", "kind", "key", "value")
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         known = {}
@@ -313,7 +317,9 @@ def scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         return pa.Table.from_batches(out)
 
     held = stored.where("kind is null").select(F.col("block").alias("of_block"), "doc_id", "held_out", "text")
-    return held.groupBy("of_block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    # several partitions for each block, as long as that isn't many, so that few tasks get two
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, 4 * stored.select("block").distinct().count()))
+    return held.repartition(parts, "of_block").groupBy("of_block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInArrow(score, SCORES)
 
 
 def _looked_up(known: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
