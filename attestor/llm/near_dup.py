@@ -316,8 +316,11 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
 
     rows = reps.select("rep", "n_shingles", F.explode("keys").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")).where("members > 1")
-    rows = rows.select("rep", "bucket").join(shared, "bucket").join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    shared = written(shared.select("bucket", "members", F.struct("members", "total").alias("of_bucket")), "shared")
+    rows = met(rows.select("rep", "bucket"), shared, "bucket", "of_bucket", "members", reps.count() * cuts.bands, F.xxhash64("rep", "bucket"))
+    rows = rows.where("of_bucket is not null").select("rep", "bucket", "of_bucket.*").join(reps.select("rep", "n_shingles", "sketch"), "rep")
     rows = written(rows.select("bucket", "members", "total", "rep", "n_shingles", "sketch"), "buckets")
+    discard(shared)
     links, found = None, None
     for turn in range(LEADER_ROUNDS):
         near = written(led_pairs(_placed(rows, found), reps, turn, percent), "near")
@@ -326,8 +329,8 @@ def classes(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHOLD_PE
         discard(near)
 
     placed = _placed(rows.where("members > 2"), found)
-    live = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_rows = placed.join(live, "bucket").join(reps.select("rep", "keys"), "rep")
+    live = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_open")).where("low <> high").select("bucket", "n_open", F.lit(True).alias("live"))
+    open_rows = met(placed, live, "bucket", "live", "n_open", rows.count(), F.xxhash64("rep", "bucket")).where("live").drop("live").join(reps.select("rep", "keys"), "rep")
     links, found = _linked(links, tiled_links(open_rows, known, k, percent))
     discard(rows, reps, links)
 
