@@ -419,3 +419,40 @@ def test_plan_uses_every_piece_once():
 def test_two_pieces_replace_the_smallest():
     # 60 + 30 leaves 10; without the 30 the gap is 40, which 25 + 14 fill to 39
     assert packing.plan({60: 1, 30: 1, 25: 1, 14: 1}, 100)[0] == ([60, 25, 14], 1)
+
+
+def plain_plan(lengths, most):
+    """Best-two-fit on a list of lengths: every pair is tried; a pattern is repeated while its pieces last."""
+    left, out = sorted(lengths, reverse=True), []
+    while left:
+        taken, room = [], most
+        while fits := [n for n in left if n <= room]:
+            taken.append(fits[0])
+            left.remove(fits[0])
+            room -= fits[0]
+        if room and len(taken) > 1:
+            gap, least = room + taken[-1], taken[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if least < a + b <= gap]
+            if pairs:
+                _, a, b = max(pairs)
+                left.append(taken.pop())
+                for n in (a, b):
+                    left.remove(n)
+                    taken.append(n)
+                left.sort(reverse=True)
+        out.append(sorted(taken))
+        while all(left.count(n) >= taken.count(n) for n in taken):
+            for n in taken:
+                left.remove(n)
+            out.append(sorted(taken))
+    return sorted(out)
+
+
+def test_plans_are_best_two_fit():
+    rng = random.Random(12)
+    for most in (20, 64, 101):
+        for _ in range(60):
+            lengths = [rng.choice([rng.randint(1, most), rng.randint(most // 4, most // 2), 7]) for _ in range(rng.randint(0, 40))]
+            counts = {n: lengths.count(n) for n in lengths}
+            got = sorted(sorted(pattern) for pattern, times in packing.plan(counts, most) for _ in range(times))
+            assert got == plain_plan(lengths, most)
