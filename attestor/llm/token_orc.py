@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ from attestor.llm.encoding import Encoder
 END_ID = 2
 STRIPE_BYTES = 32 << 20
 ROW_GROUP = 1000
-#: Bytes of text of a range at most, but for rows of one doc_id and text: what a task sorts and a file holds.
-RANGE_BYTES = 256 << 20
+#: Bytes of text of a range, which a task sorts and a file holds, and the first rows whose mean size tells how many ranges
+#: that makes. Only the number of ranges follows from these rows.
+RANGE_BYTES, SIZED_ROWS = 256 << 20, 2000
 BLOOM_FPP = 0.01
 FILE_SCHEMA = "doc_id bigint, text_hash bigint, n_tokens bigint, token_ids array<int>"
 
@@ -52,8 +54,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, out: str, kind: str = "byte",
     many rows share is spread over files too.
     """
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    held = ranged.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // RANGE_BYTES))
+    sizes = [r[0] or 0 for r in ranged.select(F.octet_length("text")).take(SIZED_ROWS)]
+    held = docs.count() * sum(sizes) / max(1, len(sizes))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(held / RANGE_BYTES))
     ranged = ranged.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = tokenized(ranged, vocabulary, kind, end_id).write.mode("error")
     options = {"orc.compress": "ZSTD", "orc.stripe.size": stripe_bytes, "orc.create.index": "true", "orc.row.index.stride": row_group, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": BLOOM_FPP}
