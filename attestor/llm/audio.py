@@ -312,7 +312,10 @@ def _measured(ids: pa.Array, n_bytes: pa.Array, values: list[pa.Buffer], pcm: li
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every row's stored media and PCM, as features() has them; null and empty texts are one unit of zeros."""
+    """Digests of every row's stored media and PCM, as features() has them; null and empty texts are one unit of zeros.
+
+    Null ids and repeated rows are rows like any other; other columns are not read; without rows there is nothing.
+    """
     out = scratch(spark, "media")
     store_pcm(encoded(table(spark, sf_dir, "documents"), PCM_RATE), out)
     return features(spark.read.schema("doc_id bigint, n_bytes bigint, media binary, pcm binary").parquet(out))

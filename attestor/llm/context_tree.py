@@ -344,7 +344,10 @@ def _scored(batch: pa.RecordBatch, known: dict[int, tuple[np.ndarray, np.ndarray
 
 
 def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """scores() of every row of documents; rows whose CRC-32 of doc_id as text (null: empty) leaves 2 modulo 7 are held out."""
+    """scores() of every row of documents; rows whose CRC-32 of doc_id as text (null: empty) leaves 2 modulo 7 are held out.
+
+    Nulls, repeats and empty tables as in scores(); other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     return scores(docs.select("doc_id", (F.crc32(name) % 7 == 2).alias("held_out"), "text"))

@@ -180,6 +180,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
     """The rows of docs, with all columns, whose text contains no item; each block filters what the one before kept.
 
     Rows are judged by their own texts, as in contained(): null and empty texts stay, repeated rows go or stay together.
+    Columns beside doc_id and text may have any names.
     """
     at = docs.columns.index("text")
 
@@ -197,7 +198,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_items, item_ids and leaked of every row of documents, each judged by its own text, as contained() has it."""
+    """doc_id, n_items, item_ids and leaked of every row of documents, each judged by its own text, as contained() has it.
+
+    Null and empty texts contain nothing; other columns are not read; without rows there is nothing, without items no leak.
+    """
     rows = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join(F.col("items").cast("array<string>"), ",").alias("item_ids"), (F.size("items") > 0).alias("leaked"))
 

@@ -104,7 +104,7 @@ def _with_ranks(ranked: DataFrame, percent: int) -> DataFrame:
 
 
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_features, weight, score and rank of every row of documents, with benchmark as the target, as resampled() has them."""
+    """doc_id, n_features, weight, score and rank of every row of documents, with benchmark as the target, as resampled() has them; other columns are not read."""
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

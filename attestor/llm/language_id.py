@@ -275,7 +275,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that identified() accepts; rows without doc_id stay."""
+    """The rows of docs, with all columns, that identified() accepts; rows without doc_id stay. Columns beside the known ones may have any names."""
     # Written before it is filtered: a filter would be moved below the projections, and repeat their work in each of its terms.
     judged = written(identified(from_documents(docs)).select("doc_id", "accepted"), "judged")
     out = written(judged.where("not accepted and doc_id is not null").select("doc_id").distinct(), "rejected")
@@ -283,7 +283,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, language, posterior, text_language and accepted of every row of documents, as identified() has them."""
+    """doc_id, language, posterior, text_language and accepted of every row of documents, as identified() has them; other columns are not read."""
     return identified(from_documents(table(spark, sf_dir, "documents")))
 
 

@@ -358,11 +358,12 @@ def deduplicated(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = THRESHO
     """The rows of docs, with all columns, that classes() keeps: one document of each component.
 
     Rows without doc_id stay; all rows of a kept doc_id stay, repeats too. A doc_id that has a row to drop goes with all of them.
+    Columns beside doc_id and text may have any names.
     """
     out = written(classes(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped")
     return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of documents, as classes() has them, on four-word shingles."""
+    """doc_id, n_shingles, component_id and kept of every row of documents, as classes() has them, on four-word shingles; other columns are not read."""
     return classes(table(spark, sf_dir, "documents"), k=4)

@@ -168,12 +168,15 @@ def packed(cut: DataFrame, most: int = SEQUENCE_TOKENS) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str, kind: str = "word", most: int = SEQUENCE_TOKENS, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of docs(doc_id, text) with their sequences; the pieces are written once to shared storage."""
+    """Pieces of docs(doc_id, text) with their sequences; the pieces are written once to shared storage; other columns are not read."""
     return packed(written(pieces(docs, vocabulary, kind, most, end_id, with_ids), "pieces"), most)
 
 
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of every row of documents and their places; a null or empty text is one piece, repeated rows repeat."""
+    """The pieces of every row of documents and their places; a null or empty text is one piece, repeated rows repeat.
+
+    A null doc_id is one like any other; other columns are not read; without rows there are no pieces.
+    """
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

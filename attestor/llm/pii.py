@@ -286,7 +286,10 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts and spans of every row of documents; null and empty texts have none, repeated rows repeat."""
+    """doc_id, counts and spans of every row of documents; null and empty texts have none, repeated rows repeat.
+
+    A null doc_id is one like any other; other columns are not read; without rows there is nothing.
+    """
     rows = spans(table(spark, sf_dir, "documents"))
     listed = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter("spans", lambda x: x["kind"] != "other")

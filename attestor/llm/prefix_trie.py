@@ -156,7 +156,7 @@ def trie(rows: DataFrame) -> DataFrame:
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trie of all conversations, rebuilt by blocks of a hundred ids; nulls, ties and repeated rows as in numbered()."""
+    """The trie of all conversations, rebuilt by blocks of a hundred ids; nulls, ties and repeated rows as in numbered(); other columns are not read."""
     return trie(rebuilt(numbered(table(spark, sf_dir, "conversations"))))
 
 

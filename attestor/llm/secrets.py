@@ -237,7 +237,7 @@ def scanned(docs: DataFrame, ratio: Ratio | None = None) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mask, and n_chars, where present, brought up to date.
 
-    All rows and columns stay, repeated rows and those without doc_id too; a null text stays null.
+    All rows and columns, of any names, stay, repeated rows and those without doc_id too; a null text stays null.
     """
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs))
@@ -260,7 +260,10 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts and spans of every row of documents; null and empty texts have none, repeated rows repeat."""
+    """doc_id, counts and spans of every row of documents; null and empty texts have none, repeated rows repeat.
+
+    A null doc_id is one like any other; other columns are not read; without rows there is nothing.
+    """
     spans = F.col("spans")
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter(spans, lambda x: x["kind"] != "random")

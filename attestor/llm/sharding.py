@@ -10,9 +10,8 @@ its slots. So all places follow from the seed and the records, however these are
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,10 +49,16 @@ def surveyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     text = F.col("record.text")
     others = (F.coalesce(F.octet_length(F.col("record")[c].cast("string")), F.lit(0)) for c in docs.schema["record"].dataType.names if c not in ("doc_id", "text"))
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    names = {"of_group": F.xxhash64(F.lit(seed), text), "draw": F.xxhash64(F.lit(seed), *whole), "tie": F.xxhash64(F.lit(seed + 1), *whole), "size": size, "bytes": reduce(lambda a, b: a + b, others, size)}
+    names = {"of_group": F.xxhash64(F.lit(seed), text), "draw": F.xxhash64(F.lit(seed), *whole), "tie": F.xxhash64(F.lit(seed + 1), *whole), "size": size, "bytes": _total([size, *others])}
     return docs.withColumns(names)
 
 
+def _total(parts: list[Column]) -> Column:
+    """The sum of parts, as a tree of little depth: a table may have hundreds of columns, and as many shards be asked for."""
+    half = len(parts) // 2
+    return parts[0] if half == 0 else _total(parts[:half]) + _total(parts[half:])
+
+
 def layout(docs: DataFrame, n_shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[Layout, DataFrame]:
     """The layout of docs(record), and the survey that it follows from: counts of equal hashes, as written."""
     spark = docs.sparkSession
@@ -115,7 +120,7 @@ def scattered(rows: DataFrame, to: Layout) -> DataFrame:
     cut = F.broadcast(to.groups.withColumnRenamed("shard", "own_shard").withColumnRenamed("of_group", "in_group"))
     rows = rows.withColumns({"part": part, "of_range": _range()})
     rows = rows.join(cut, (F.col("of_group") == F.col("in_group")) & (F.col("part") >= F.col("low")) & (F.col("part") < F.col("high")), "left")
-    by_range = reduce(lambda a, b: a + b, (F.when(F.col("of_range") >= c, 1).otherwise(0) for c in to.cuts), F.lit(0))
+    by_range = _total([F.lit(0), *(F.when(F.col("of_range") >= c, 1).otherwise(0) for c in to.cuts)])
     rows = rows.withColumn("shard", F.coalesce("own_shard", by_range))
     draw = F.when(F.col("copy").isNull(), F.col("draw")).otherwise(F.xxhash64("draw", "copy"))
     rows = rows.withColumn("draw", draw).withColumn("bucket", F.col("shard") * to.per_shard + F.pmod(F.xxhash64(F.lit(to.seed + 3), "draw"), F.lit(to.per_shard)).cast("int"))
@@ -184,7 +189,8 @@ def read_shards(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of documents, read back from the shards.
 
-    Rows with null ids or texts, and repeated rows, are rows like any other.
+    Rows with null ids or texts, and repeated rows, are rows like any other; all other columns go into the shards, whatever their
+    number and names.
     """
     out, docs = scratch(spark, "shards"), table(spark, sf_dir, "documents")
     write_shards(docs, out)

@@ -103,6 +103,7 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row of documents, from its ORC files read back.
 
     A null or empty text is the end id alone; null ids come first, rows of one id in the order of text_hash.
+    Other columns are not read; without rows there is nothing.
     """
     import public_tokenizers
 
