@@ -18,7 +18,7 @@ STATISTIC = r"\b(\d+\.?\d*\s*%)\s+(?:of\s+)?([a-zA-Z\s]{3,30})"
 ORGANIZATION = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,5})\b"
 # The same with borders and blanks of all scripts: letters, numbers and _ are of words, separators and some controls are blank.
 ORGANIZATION_ANY_SCRIPT = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:[\t-\r\x1c-\x20\x85\p{Z}]+[A-Z][a-z]+){1,5})(?![\p{L}\p{N}_])"
-ORGANIZATIONS_MOST, SHOWN_PERCENTAGES = 20, 3
+ORGANIZATIONS_MOST, ORGANIZATION_WORDS, SHOWN_PERCENTAGES = 20, 3, 3
 WEIGHTS = {"percentage_differs": 40, "percentage_new": 30, "year": 20, "scale": 35, "organization": 25, "absolute": 10}
 CONTRADICTS = 30
 
@@ -63,6 +63,11 @@ def organizations(text: Column, any_script: bool = False, most: int | None = ORG
     return found if most is None else F.slice(found, 1, most)
 
 
+def is_checked(organization: Column) -> Column:
+    """Whether a name has enough words to be looked for in the source."""
+    return F.size(F.split(organization, r"\s+")) >= ORGANIZATION_WORDS
+
+
 def facts(text: Column, full_years: bool = False, names: tuple[str, ...] = (), organization_limit: int | None = ORGANIZATIONS_MOST) -> Column:
     """Facts of a text as one struct, so that each pattern runs once a row: those named, or all."""
     made = {
@@ -106,7 +111,7 @@ def signals(claim: Column, source: Column, source_text: Column) -> list[tuple[st
 
     off = F.filter(claim["scale_claims"], lambda c: (F.size(counts(c)) > 0) & ~F.array_contains(counts(c), _count(c["a"])))
     scale = F.transform(off, lambda c: F.concat(F.lit("Scale mismatch for '"), c["b"], F.lit("': claim="), c["a"], F.lit(", source=["), F.array_join(counts(c), ", "), F.lit("]")))
-    unknown = F.filter(claim["organizations"], lambda o: (F.size(F.split(o, r"\s+")) >= 3) & ~F.contains(F.lower(source_text), F.lower(o)))
+    unknown = F.filter(claim["organizations"], lambda o: is_checked(o) & ~F.contains(F.lower(source_text), F.lower(o)))
     organization = F.transform(unknown, lambda o: F.concat(F.lit("Unknown organization: '"), o, F.lit("'")))
     absolute = F.when(F.size(claim["absolutes"]) > 0, F.array(F.concat(F.lit("Absolute language detected: "), _quoted(claim["absolutes"])))).otherwise(nothing)
     return [

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions import facts as K
 from attestor.functions import text as T
 from attestor.functions.rows import exploded, once
-from attestor.operators import models, passages, retrieval, summary
+from attestor.operators import mentions, models, passages, retrieval, summary
 from attestor.operators.verdict import needs_judge, verdict
 from attestor.plans import fixtures as X
 from attestor.plans import sql as S
@@ -284,6 +284,29 @@ def fact_score_turned(spark, d):
     return _fact_result(X.rendered(spark, d).select("id", F.col("claim").alias("source"), F.col("source").alias("claim")))
 
 
+@query(
+    f"WITH texts AS (SELECT doc_id, lower(text) AS text, {S.bordered('text')} AS marked FROM documents), "
+    f"names AS (SELECT DISTINCT lower(o) AS name FROM (SELECT unnest(regexp_extract_all(marked, '{K.ORGANIZATION}', 1)) AS o FROM texts) WHERE len(string_split_regex(o, '\\s+')) >= 3) "
+    "SELECT doc_id, name, CAST(strpos(text, name) AS BIGINT) AS first_at FROM texts JOIN names ON contains(text, name)"
+)
+def organization_mentions(spark, d):
+    """Where each document first names each organization that any document names."""
+    docs = _docs(spark, d)
+    found = mentions.mentions(docs, mentions.named(docs, "text", ["doc_id"], any_script=True))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "first_at")
+
+
+@query(
+    f"WITH {S.RENDERED_SQL}, asked AS (SELECT DISTINCT id, unnest(regexp_extract_all(claim, '{K.ORGANIZATION}', 1)) AS name FROM rendered) "
+    "SELECT a.id, name FROM asked a JOIN rendered r ON r.id = a.id WHERE len(string_split_regex(name, '\\s+')) >= 3 AND NOT contains(lower(source), lower(name))"
+)
+def unknown_organizations(spark, d):
+    """Organizations of each changed sentence that its plain one lacks."""
+    rows = X.rendered(spark, d)
+    claims = rows.select(F.col("id").alias("response_id"), F.lit(0).alias("claim_no"), F.col("id").alias("doc_id"), "claim")
+    return mentions.unknown_organizations(claims, rows.select(F.col("id").alias("doc_id"), F.col("source").alias("text"))).select(F.col("response_id").alias("id"), "name")
+
+
 _BM = f"WITH {S.SENT}, {S.CHUNK}, {S.CLAIMS}, {S.BM25} "
 
 
