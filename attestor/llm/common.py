@@ -45,12 +45,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared scratch folder and read back: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """df, written to the shared scratch folder and read back: cuts lineage and survives lost executors. codec overrides the session's."""
     spark = df.sparkSession
     bounded(spark)
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
