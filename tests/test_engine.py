@@ -379,3 +379,18 @@ def test_organizations_of_documents_in_any_script(spark, tmp_path):
     got = {r.doc_id: r.found for r in QUERIES["fact_orgs_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else "; ".join(re.findall(pattern, t)[:20]) for i, t in enumerate(texts)}
     assert got[1] == "Banque Populaire; Air France" and got[4].startswith("Banque\xa0Populaire Ouest")
+
+
+def test_of_equal_texts_the_last_of_the_nearest_brings_its_paragraph(spark):
+    first, other = "Red apples grow on old trees near the river bank.", "Green pears grow in the garden behind the house."
+    rest = [f"Number {w} stands for something else entirely here." for w in ("one", "two", "three", "four", "five", "six")]
+    paragraphs = [[first, other, *rest[:3]], [rest[3], first, other, *rest[4:]]]
+    docs = spark.createDataFrame([(1, " ".join(s for p in paragraphs for s in p))], "doc_id int, text string")
+    claims = spark.createDataFrame([("r", 1, 0, f"{first[:-1]} and {other}")], "response_id string, doc_id int, claim_no int, claim string")
+    hits = retrieval.hybrid(claims, passages.chunk_lists(docs)).orderBy("rank").collect()
+    assert hits[0].text == f"{first} {other}" and hits[0].parent == " ".join(paragraphs[1])
+
+
+def test_rounded_as_sql_engines_do(spark):
+    assert 1.005 * 100 < 100.5 and 0.05625 * 10000 == 562.5
+    assert [one(spark, retrieval.rounded(F.col("x"), d), x=x) for x, d in ((1.005, 2), (0.05625, 4), (-0.05625, 4))] == [1.0, 0.0563, -0.0563]
