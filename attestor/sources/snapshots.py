@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,23 +89,33 @@ class SnapshotTable:
         name = f"{kind}-{uuid.uuid4().hex[:16]}"
         try:
             options = {f"parquet.bloom.filter.enabled#{self.key}": "true", f"parquet.bloom.filter.expected.ndv#{self.key}": str(KEYS_EXPECTED)}
-            rows.withColumn("batch", F.lit(name)).sortWithinPartitions(self.key).write.options(**options).parquet(f"{self.path}/data/{name}")
+            rows.withColumn("batch", F.lit(name)).sortWithinPartitions(self.key).write.options(**options).parquet(f"{self.path}/data/{name}", compression="zstd")
         except BaseException:
             remove(self.spark, f"{self.path}/data/{name}")
             raise
         return name
 
-    def commit(self, rows: dict[str, DataFrame] | None = None, ended: DataFrame | None = None) -> int:
+    def commit(self, rows: dict[str, DataFrame | Callable[[Callable[[str], DataFrame]], DataFrame]] | None = None, ended: DataFrame | str | None = None) -> int | None:
         """Adds rows to parts and ends what earlier commits hold of the keys in ended; gives the new version.
 
-        What is written is written once, before the version is published; a failure before that changes nothing.
+        What is written is written once, before the version is published; a failure before that changes nothing. A part
+        may be a function of what the parts before it have written, by name; so may ended be the name of a part, whose keys
+        end. If the first part has no rows, nothing is published.
         """
         made = Commit(0)
         names = []
+        fresh = lambda part: self.spark.read.schema(self._schema(part)).parquet(f"{self.path}/data/{made.rows[part]}")
         try:
             for part, df in (rows or {}).items():
+                if callable(df):
+                    df = df(fresh)
                 made.rows[part] = self._written(df.select(*[F.col(c).cast(t) for c, t in self._columns(part)]), part)
                 names.append(made.rows[part])
+                if len(names) == 1 and fresh(part).isEmpty():
+                    remove(self.spark, f"{self.path}/data/{names[0]}")
+                    return None
+            if isinstance(ended, str):
+                ended = fresh(ended)
             if ended is not None and self.commits():  # there is nothing to end in an empty table
                 made.ended = self._written(ended.select(F.col(self.key).cast(dict(self._columns(next(iter(self.parts))))[self.key]).alias(self.key)).distinct(), "ended")
                 names.append(made.ended)

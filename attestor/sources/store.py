@@ -8,16 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.operators import retrieval
-from attestor.sources.scratch import discard, stored
 from attestor.sources.snapshots import SnapshotTable
 from attestor.sources.vectors import VectorIndex
 
-ENTRIES = "array<struct<idx:int,f:int,len:int,norm:double,mark:bigint>>"
 #: The store's parts: chunks; blocks of postings; statistics of documents.
 PARTS = {
     "chunks": "doc_id string, idx int, text string, parent string, chunk_id string, embedding array<float>",
-    "postings": f"doc_id string, token string, block int, entries {ENTRIES}, n bigint, most_f int, least_len int",
-    "documents": "doc_id string, n_chunks int, marks array<bigint>, avgdl double, mean_idf double",
+    "postings": f"doc_id string, {retrieval.KINDS['postings']}",
+    "documents": f"doc_id string, {retrieval.KINDS['documents']}",
 }
 
 
@@ -39,17 +37,12 @@ class ChunkStore:
     def upsert(self, chunks: DataFrame) -> int | None:
         """Replaces all chunks of the documents in chunks(doc_id, idx, text, parent, chunk_id and perhaps embedding); nothing if it is empty.
 
-        The chunks are made once, written aside, and indexed from there. Gives the new version.
+        The chunks are made and written once, and indexed from there. Gives the new version.
         """
         vector = F.col("embedding").cast("array<float>") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
-        fresh = stored(chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("idx").cast("int").alias("idx"), "text", "parent", "chunk_id", vector.alias("embedding")), "chunks")
-        try:
-            if fresh.isEmpty():
-                return None
-            index = retrieval.Index.of(listed(fresh))
-            return self.table.commit({"chunks": fresh, "postings": index.blocks, "documents": index.stats}, fresh.select("doc_id"))
-        finally:
-            discard(fresh)
+        rows = chunks.select("doc_id", "idx", "text", "parent", "chunk_id", vector.alias("embedding"))
+        index = {kind: lambda written, kind=kind: retrieval.index_rows(written("chunks"), kind) for kind in ("postings", "documents")}
+        return self.table.commit({"chunks": rows, **index}, "chunks")
 
     def delete(self, doc_ids: DataFrame) -> int:
         """Ends the chunks of doc_ids(doc_id)."""
@@ -98,9 +91,3 @@ class ChunkStore:
 
     def count(self) -> int:
         return self.table.read("documents").agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
-
-
-def listed(chunks: DataFrame) -> DataFrame:
-    """doc_id, chunks (text and parent, by position) of chunks(doc_id, idx, text, parent), as passages.chunk_lists() has them."""
-    found = F.array_sort(F.collect_list(F.struct("idx", "text", "parent")))  # of one document
-    return chunks.groupBy("doc_id").agg(F.transform(found, lambda c: F.struct(c["text"].alias("text"), c["parent"].alias("parent"))).alias("chunks"))

@@ -6,6 +6,7 @@ import re
 import zlib
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,37 @@ def test_of_equal_texts_the_last_of_the_nearest_brings_its_paragraph(spark):
 def test_rounded_as_sql_engines_do(spark):
     assert 1.005 * 100 < 100.5 and 0.05625 * 10000 == 562.5
     assert [one(spark, retrieval.rounded(F.col("x"), d), x=x) for x, d in ((1.005, 2), (0.05625, 4), (-0.05625, 4))] == [1.0, 0.0563, -0.0563]
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 100])
+def test_batches_are_cut_between_documents(rows):
+    ids = [1, 1, 1, 2, 3, 3, None, None, 5]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": ids[lo : lo + 4], "idx": list(range(lo, min(lo + 4, 9)))}) for lo in (0, 4, 8)]
+    parts = [p.to_pydict() for p in retrieval.whole_documents(iter(batches), rows)]
+    assert [x for p in parts for x in p["doc_id"]] == ids and [x for p in parts for x in p["idx"]] == list(range(9))
+    assert all(not set(a["doc_id"]) & set(b["doc_id"]) for a, b in zip(parts, parts[1:], strict=False))
+
+
+def test_documents_are_counted_where_they_lie(spark):
+    rows = [(d, i, " ".join(f"w{(d * 7 + i * j) % 5}" for j in range(4))) for d in range(40) for i in range(6)]
+    chunks = spark.createDataFrame(rows, "doc_id int, idx int, text string")
+    found = {kind: retrieval.index_rows(chunks, kind, block=4) for kind in retrieval.KINDS}
+    for df in found.values():  # one shuffle of texts, and none of what is counted
+        assert df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    tokens = {(d, i): t.split() for d, i, t in rows}
+    blocks = {(r.doc_id, r.token, r.block): r for r in found["postings"].collect()}
+    assert set(blocks) == {(d, w, i // 4) for (d, i), ws in tokens.items() for w in ws}
+    for (d, w, b), r in blocks.items():
+        own = {i: tokens[d, i] for i in range(b * 4, min(6, b * 4 + 4)) if w in tokens[d, i]}
+        assert {e.idx: (e.f, e.len) for e in r.entries} == {i: (ws.count(w), len(ws)) for i, ws in own.items()}
+        assert r.df == sum(w in tokens[d, i] for i in range(6)) and r.n == len(own) and r.most_f == max(ws.count(w) for ws in own.values())
+    assert len(found["idf"].collect()) == len({(d, w) for d, w, _ in blocks})
+    assert [(r.n_chunks, r.avgdl) for r in found["documents"].collect()] == [(6, 4.0)] * 40
+
+
+def test_vector_search_in_tiles(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0], i % 2) for i in range(200)] + [(900, None, 0), (901, [0.0] * 3, 0)], "vec_id long, embedding array<float>, label int")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    for same in (False, True):
+        one_tile, tiles = (sorted(retrieval.vector_topk(asked, vectors.coalesce(1), 8, same, block=4, tile=t).collect()) for t in (1000, 3))
+        assert one_tile == tiles and len(tiles) == 80
