@@ -84,12 +84,13 @@ class SnapshotTable:
                 fs.delete(aside, False)
         return bool(done)
 
-    def _written(self, rows: DataFrame, kind: str) -> str:
-        """The new folder of rows, sorted by key within each file, with Bloom filters on the key."""
+    def _written(self, rows: DataFrame, kind: str, ordered: bool = False) -> str:
+        """The new folder of rows, sorted by key within each file (unless they are so already), with Bloom filters on the key."""
         name = f"{kind}-{uuid.uuid4().hex[:16]}"
         try:
             options = {f"parquet.bloom.filter.enabled#{self.key}": "true", f"parquet.bloom.filter.expected.ndv#{self.key}": str(KEYS_EXPECTED)}
-            rows.withColumn("batch", F.lit(name)).sortWithinPartitions(self.key).write.options(**options).parquet(f"{self.path}/data/{name}", compression="zstd")
+            rows = rows if ordered else rows.sortWithinPartitions(self.key)
+            rows.withColumn("batch", F.lit(name)).write.options(**options).parquet(f"{self.path}/data/{name}", compression="zstd")
         except BaseException:
             remove(self.spark, f"{self.path}/data/{name}")
             raise
@@ -99,7 +100,7 @@ class SnapshotTable:
         """Adds rows to parts and ends what earlier commits hold of the keys in ended; gives the new version.
 
         What is written is written once, before the version is published; a failure before that changes nothing. A part
-        may be a function of what the parts before it have written, by name; so may ended be the name of a part, whose keys
+        may be a function of what the parts before it have written, by name, which gives rows sorted by key; so may ended be the name of a part, whose keys
         end. If the first part has no rows, nothing is published.
         """
         made = Commit(0)
@@ -107,9 +108,9 @@ class SnapshotTable:
         fresh = lambda part: self.spark.read.schema(self._schema(part)).parquet(f"{self.path}/data/{made.rows[part]}")
         try:
             for part, df in (rows or {}).items():
-                if callable(df):
+                if ordered := callable(df):
                     df = df(fresh)
-                made.rows[part] = self._written(df.select(*[F.col(c).cast(t) for c, t in self._columns(part)]), part)
+                made.rows[part] = self._written(df.select(*[F.col(c).cast(t) for c, t in self._columns(part)]), part, ordered)
                 names.append(made.rows[part])
                 if len(names) == 1 and fresh(part).isEmpty():
                     remove(self.spark, f"{self.path}/data/{names[0]}")
