@@ -452,6 +452,26 @@ def test_toxicity_takes_null_ids_repeats_and_no_rows(spark):
     assert toxicity.fitted(docs.limit(0), labels).scores(np.zeros(0, dtype=np.uint8), np.array([0, 0]))[0] < 0.7
 
 
+def test_toxicity_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """More rows than a shard has: all of them count in the thresholds, marks of few rows are learned, and no order shows."""
+    rng = np.random.default_rng(4)
+    marks = ["vileword", "grimword", "foulword"]
+    rows = [(i, " ".join(rng.choice(["plain", "calm", "stone", "river", "the", "and"], 12)) + (f" {marks[i % 3]}" if i % 4 == 0 else "")) for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    counted, calibrated = [], toxicity.calibrated
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    monkeypatch.setattr(toxicity, "calibrated", lambda x, y, langs, n=None: counted.append((int(n.sum()), int((y * n).sum()))) or calibrated(x, y, langs, n))
+    nets = [toxicity.fitted(spark.createDataFrame(own, "doc_id long, text string").repartition(k), labels) for own, k in ((rows, 3), (rows[::-1], 5))]
+    known = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert counted == [(len(known), sum(i % 4 == 0 for i in known))] * 2
+    assert np.array_equal(nets[0].embed, nets[1].embed) and np.array_equal(nets[0].cuts, nets[1].cuts)
+    held = [(i, text) for i, text in rows if i not in set(known)]
+    score = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(held, "doc_id long, text string"), nets[0]).collect()}
+    assert np.mean([(score[i] >= 0.7) == (i % 4 == 0) for i, _ in held]) > 0.97
+    same = spark.createDataFrame([(i, "one text") for i in range(300)], "doc_id long, text string")
+    assert np.isfinite(toxicity.fitted(same, labels).cuts).all()
+
+
 def test_toxicity_without_labels(spark, corpus):
     rows = toxicity.op5_toxicity(spark, corpus(ODD)).collect()
     assert len(rows) == len(ODD) and not any(r.predicted for r in rows)
