@@ -429,3 +429,13 @@ def test_vector_search_in_tiles(spark):
     for same in (False, True):
         one_tile, tiles = (sorted(retrieval.vector_topk(asked, vectors.coalesce(1), 8, same, block=4, tile=t).collect()) for t in (1000, 3))
         assert one_tile == tiles and len(tiles) == 80
+
+
+def test_postings_hold_counts_alone(spark):
+    """No names of texts and no derived lengths in an entry; white space of any kind parts tokens."""
+    texts = ["One two\x85two", "two \x1c three  ONE one"]
+    chunks = spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "doc_id long, idx int, text string")
+    found = {r.token: [e.asDict() for e in r.entries] for r in retrieval.index_rows(chunks, "postings").collect()}
+    assert found["two"] == [{"idx": 0, "f": 2, "len": 3, "squares": 5}, {"idx": 1, "f": 1, "len": 4, "squares": 6}]
+    assert found["one"] == [{"idx": 0, "f": 1, "len": 3, "squares": 5}, {"idx": 1, "f": 2, "len": 4, "squares": 6}]
+    assert set(found) == {"one", "two", "three"}
