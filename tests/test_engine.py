@@ -439,3 +439,22 @@ def test_postings_hold_counts_alone(spark):
     assert found["two"] == [{"idx": 0, "f": 2, "len": 3, "squares": 5}, {"idx": 1, "f": 1, "len": 4, "squares": 6}]
     assert found["one"] == [{"idx": 0, "f": 1, "len": 3, "squares": 5}, {"idx": 1, "f": 2, "len": 4, "squares": 6}]
     assert set(found) == {"one", "two", "three"}
+
+
+def test_claims_meet_whole_documents(spark):
+    """Whatever the blocks, hits are those of an index; claims and chunks are shuffled by document, and nothing between."""
+    import random
+
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta", "rare", "the", "of", "and"]
+    said = [" ".join(rng.choices(words, k=rng.randint(4, 7))).capitalize() + "." for _ in range(30)]
+    texts = [(d, " ".join(rng.choices(said, k=n))) for d, n in ((1, 40), (2, 1), (3, 7), (4, 0))]
+    lists = passages.chunk_lists(spark.createDataFrame(texts, "doc_id long, text string"))
+    asked = [(f"r{i % 4}", i, i % 5 if i else None, " ".join(rng.choices([*words, "none"], k=rng.randint(1, 9)))) for i in range(60)] + [("s", 0, 1, ""), ("s", 1, 1, "none")]
+    claims = spark.createDataFrame(asked, "response_id string, claim_no int, doc_id long, claim string")
+    want = sorted(map(str, retrieval.hybrid(claims, retrieval.Index.of(lists), 3).collect()))
+    for block, terms in ((64, 1_000_000), (1, 1), (5, 40)):
+        found = retrieval.hybrid(claims, lists, 3, block=block, terms=terms)
+        assert sorted(map(str, found.collect())) == want and len(want) > 60
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(") == 2 == plan.count("hashpartitioning(doc_id")
