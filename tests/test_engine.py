@@ -458,3 +458,11 @@ def test_claims_meet_whole_documents(spark):
         assert sorted(map(str, found.collect())) == want and len(want) > 60
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("hashpartitioning(") == 2 == plan.count("hashpartitioning(doc_id")
+
+
+def test_parts_are_bounded_in_rows(spark):
+    from attestor.sources.inputs import spread
+
+    rows = spark.range(1000, numPartitions=5)
+    assert [spread(rows, most).rdd.getNumPartitions() for most in (None, 1000, 100, 33)] == [5, 5, 10, 31]
+    assert spread(rows, 33).agg(F.sum("id")).first()[0] == 499500
