@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 import zlib
 from itertools import product
@@ -466,3 +468,29 @@ def test_parts_are_bounded_in_rows(spark):
     rows = spark.range(1000, numPartitions=5)
     assert [spread(rows, most).rdd.getNumPartitions() for most in (None, 1000, 100, 33)] == [5, 5, 10, 31]
     assert spread(rows, 33).agg(F.sum("id")).first()[0] == 499500
+
+
+def test_opposite_weights_cancel(spark):
+    """Tokens in k and in n - k chunks: the mean weight is 0 in whatever order they come, and so is a score that rests on it alone."""
+    rows, n = [], 9
+    for doc in range(30):
+        spread = random.Random(doc).sample(range(1, n), n - 1)
+        rows += [(doc, i, " ".join(f"d{doc}t{k}" for k in spread if i < k)) for i in range(n - 1)] + [(doc, n - 1, "")]
+    chunks = spark.createDataFrame(rows, "doc_id int, idx int, text string").coalesce(1)
+    index = retrieval.Index(retrieval.index_rows(chunks, "postings"), retrieval.index_rows(chunks, "documents"), chunks)
+    assert [r.mean_idf for r in index.stats.collect()] == [0.0] * 30
+    claims = spark.createDataFrame([(f"r{doc}", 0, doc, f"d{doc}t8 d{doc}t6") for doc in range(30)], "response_id string, claim_no int, doc_id int, claim string")
+    scores = [r.bm25 for r in retrieval.shared_scores(claims, index).collect()]
+    assert len(scores) == 30 * 8 and set(scores) == {0.0}
+
+
+def test_weights_are_those_of_the_c_library(spark):
+    """Normalized scores lie on halves where a last bit decides; a store without weights still has them counted."""
+    n = 60
+    chunks = spark.createDataFrame([(1, i, " ".join(f"t{k}" for k in range(1, n) if i < k) or "none") for i in range(n)], "doc_id int, idx int, text string")
+    blocks, stats = retrieval.index_rows(chunks, "postings"), retrieval.index_rows(chunks, "documents")
+    claims = spark.createDataFrame([("r", 0, 1, " ".join(f"t{k}" for k in range(1, n // 2)))], "response_id string, claim_no int, doc_id int, claim string")
+    found = lambda blocks: {int(r.token[1:]): r.idf for r in retrieval.weighed_terms(claims, blocks, stats).collect()}
+    want = {k: math.log(n - k + 0.5) - math.log(k + 0.5) for k in range(1, n // 2)}
+    assert found(blocks) == want
+    assert found(blocks.withColumn("idf", F.lit(None).cast("double"))) == pytest.approx(want)
