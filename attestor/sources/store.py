@@ -63,23 +63,26 @@ class ChunkStore:
         version = self.table.versions()[-1]
         VectorIndex(self.spark, f"{self.table.path}/vectors/{version:08d}").build(self.read(version).select(F.col("chunk_id").alias("vec_id"), "embedding"), n_lists)
 
-    def search(self, vector: Sequence[float], top_k: int = 4, doc_id: str | None = None, exact: bool = True, probes: int | None = None) -> DataFrame:
+    def search(self, vector: Sequence[float], top_k: int = 4, doc_id: str | None = None, exact: bool = True, probes: int | None = None, digits: int | None = None) -> DataFrame:
         """doc_id, idx, text, parent, score of the top_k stored chunks by cosine with vector, of one document if doc_id is given.
 
         An exact search scans all chunks, or the document's; each task keeps its own best top_k. Equal scores are in the order
-        of document and place; chunks without an embedding aren't found. exact=False reads only the lists nearest to vector of
-        an index that build_vectors() has made of this version; without one, or for one document, the search is exact.
+        of document and place; chunks without an embedding aren't found. Scores have 6 digits; with `digits` they are rounded
+        once more before they are ordered, so that more of them are equal. exact=False reads only the lists nearest to vector of
+        an index that build_vectors() has made of this version; without one, for one document or with digits, the search is exact.
         """
         version = (self.table.versions() or [0])[-1]
         path = f"{self.table.path}/vectors/{version:08d}"
-        if not exact and doc_id is None and self.table.exists(f"{path}/lists"):
+        if not exact and doc_id is None and digits is None and self.table.exists(f"{path}/lists"):
             asked = self.spark.createDataFrame([(0, [float(x) for x in vector])], "query_id int, q array<float>")
             near = VectorIndex(self.spark, path).search(asked, top_k, probes).select(F.col("vec_id").alias("chunk_id"), "score")
             rows = self.read(version).join(F.broadcast(near), "chunk_id")  # top_k rows
             return rows.select("doc_id", "idx", "text", "parent", "score").orderBy(F.desc("score"), "doc_id", "idx").limit(top_k)
         rows = self.read() if doc_id is None else self.of_document(doc_id)
         asked = F.array(*[F.lit(float(x)) for x in vector])
-        score = F.round(retrieval.cosine(F.col("embedding"), asked), 6)
+        score = retrieval.rounded(retrieval.cosine(F.col("embedding"), asked), 6)
+        if digits is not None:
+            score = retrieval.rounded(score, digits)
         return rows.where("embedding is not null").select("doc_id", "idx", "text", "parent", score.alias("score")).orderBy(F.desc("score"), "doc_id", "idx").limit(top_k)
 
     def missing(self, docs: DataFrame) -> DataFrame:
